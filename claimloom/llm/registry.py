@@ -1,11 +1,17 @@
 """Queries and oracles of the training-data operators."""
 
-from . import decontaminate, exact_dedup, mixing, suffix_dedup
+from . import chat_format, decontaminate, exact_dedup, gru_lm, language_id, mixing, ngram_join, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_gru_lm": gru_lm.op6_gru_lm,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {

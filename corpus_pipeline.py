@@ -1,8 +1,62 @@
-"""Corpus pipeline; its stages are filled in as the operators land."""
+"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, mixing.
 
-STAGES: list = []
+Each stage reads its predecessor's rows. All but the last return the columns of documents; the
+last repeats each document as often as the mix takes it, with its number in ``copy``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
+from claimloom.llm.common import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.learn(texts, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("_predicted = 0").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_distinct(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays."""
+    found = ngram_join.ngram_components(docs.select("doc_id", "text"), size=5, percent=80)
+    out = found.where("doc_id != component_id").select("doc_id")
+    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a ten-word window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    out = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where("contaminated").select("doc_id")
+    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing", mix),
+]
+#: The toxicity score and the Jaccard components have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, "stage")
+    return docs
