@@ -36,7 +36,7 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 BITS = 13
 TRAIN_ROWS = 2_000
-PIECE = 1 << 20
+PIECE = 1 << 19
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters stay, other ASCII becomes a space, bytes of other characters stay.
 KEPT = np.array([c if c > 127 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)

@@ -34,7 +34,7 @@ from .graph import components
 from .slabs import NO_ID, Rolling, mix, pack, unpack
 
 SKETCH_BITS = 20
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Whitespace (fixed values).
 SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)

@@ -78,9 +78,10 @@ def each_slab(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Slab, dict]]:
             yield Slab(row.pop("slab"), row.pop("doc_id"), row.pop("size"), row.pop("data")), row
 
 
-def with_replies(slabs: DataFrame, replies: DataFrame) -> DataFrame:
-    """Each slab with the list ``replies`` of the (kind, blob) that were sent to it."""
-    packed = replies.groupBy("slab").agg(F.collect_list(F.struct("kind", "blob")).alias("replies"))
+def with_replies(slabs: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """Each slab with the list ``replies`` of the (kind, blob) that were sent to it. Replies are
+    dealt as the slab table is bucketed, so that the slabs stay where they are."""
+    packed = replies.repartition(buckets, "slab").groupBy("slab").agg(F.collect_list(F.struct("kind", "blob")).alias("replies"))
     return slabs.join(packed.hint("merge"), "slab", "left")
 
 
@@ -132,7 +133,7 @@ class Rolling:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(data):
-            n = max(len(data) + 1, 1 << 21)
+            n = max(len(data) + 1, 1 << 19)
             for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
                 powers = np.full(n, base, np.uint64)
                 powers[0] = 1

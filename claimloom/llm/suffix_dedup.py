@@ -36,8 +36,8 @@ from .common import buckets_for, written
 from .slabs import Rolling, Slab, by_bucket, each_slab, pack, signed, slab_table, unpack, with_replies
 
 GRAM = 18
-PIECE = 2 << 20
-LONGEST = 16 << 20
+PIECE = 1 << 19
+LONGEST = 4 << 20
 LOW = np.uint64((1 << 26) - 1)
 #: Different phrases of one trigger beyond which their windows are dealt by fingerprint.
 MANY = 2048
@@ -133,8 +133,9 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], np.maximum.reduceat(reach, at) - base[at]
 
 
-def repeated_spans(slabs: DataFrame, buckets: int, depth: int = 50, many: int = MANY) -> DataFrame:
-    """(slab, kind, blob): packed spans of each slab that a smaller document holds."""
+def repeated_spans(slabs: DataFrame, own: int, buckets: int, depth: int = 50, many: int = MANY) -> DataFrame:
+    """(slab, kind, blob): packed spans of each slab that a smaller document holds. ``own``: the
+    slab table's buckets; ``buckets``: ranges of triggers."""
     fields = [pa.int32(), pa.int64(), pa.binary()]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +276,7 @@ def repeated_spans(slabs: DataFrame, buckets: int, depth: int = 50, many: int =
 
     sent = slabs.mapInArrow(send, "bucket int, slab long, blob binary")
     told = by_bucket(sent, parse_order, "slab long, kind int, blob binary")
-    answers = written(with_replies(slabs, told).mapInArrow(answer, "bucket int, slab long, kind int, blob binary"), "phrases")
+    answers = written(with_replies(slabs, told, own).mapInArrow(answer, "bucket int, slab long, kind int, blob binary"), "phrases")
     spans = by_bucket(answers.where("bucket >= 0"), dictionary_order, "slab long, kind int, blob binary")
     return answers.where("bucket < 0").select("slab", "kind", "blob").unionByName(spans)
 
@@ -288,7 +289,8 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, kept: bool = True, buckets: i
     and, if ``kept``, the bytes that stay. One row for each row of ``docs``.
     """
     slabs = slab_table(docs)
-    spans = repeated_spans(slabs, buckets or 2 * buckets_for(docs), depth, many)
+    own = buckets_for(docs)
+    spans = repeated_spans(slabs, own, buckets or 2 * own, depth, many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, more in each_slab(batches):
@@ -306,7 +308,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, kept: bool = True, buckets: i
             yield rows(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"],
                        [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, pa.string(), pa.binary()])
 
-    return with_replies(slabs, spans).mapInArrow(
+    return with_replies(slabs, spans, own).mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
