@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, written
-from .slabs import Rolling, Slab, by_bucket, each_slab, pack, signed, slab_table, unpack, with_replies
+from .slabs import Rolling, Slab, by_bucket, each_slab, mix, pack, signed, slab_table, unpack, with_replies
 
 GRAM = 18
 PIECE = 1 << 19
@@ -89,7 +89,7 @@ def phrases(slab: Slab, rolling: Rolling, depth: int) -> Iterator[dict]:
         fingerprint = rolling.of(sums, first, last + depth - 1)
         doc = np.array([d for d, _, _ in part])[where[first]]
         shift = (np.array([a for _, a, _ in part]) - starts[:-1])[where[first]]
-        high = grams[trigger[first]] >> np.uint64(24)
+        high = mix(grams[trigger[first]] + np.uint64(1)) >> np.uint64(24)  # least hashes crowd near 0
         yield {"data": data, "sums": sums, "trigger": high, "doc": doc, "first": first, "last": last, "shift": shift,
                "key": (fingerprint & ~np.uint64(0xFFFF)) | (high & np.uint64(0xFFFF))}
 
