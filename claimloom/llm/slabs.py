@@ -24,7 +24,7 @@ SLAB = "slab long, doc_id array<long>, size array<int>, data binary"
 NO_ID = (1 << 63) - 1
 
 
-def slab_table(docs: DataFrame, slab_bytes: int = 4 << 20, level: int = 1) -> DataFrame:
+def slab_table(docs: DataFrame, slab_bytes: int = 2 << 20, level: int = 1) -> DataFrame:
     """``docs`` (doc_id, text) as slabs; null texts are empty, repeated rows stay."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

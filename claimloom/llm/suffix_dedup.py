@@ -290,7 +290,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, kept: bool = True, buckets: i
     """
     slabs = slab_table(docs)
     own = buckets_for(docs)
-    spans = repeated_spans(slabs, own, buckets or 2 * own, depth, many)
+    spans = repeated_spans(slabs, own, buckets or 4 * own, depth, many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, more in each_slab(batches):
