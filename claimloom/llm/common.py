@@ -46,6 +46,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 _roots: set[str] = set()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of whole texts hold few rows, since texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, small_batches
 from .mixing import draw
 
 #: Families of common languages (fixed values); any other language is a family of its own.
@@ -153,6 +153,7 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of rows (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, salted_join, written
+from .common import buckets_for, salted_join, small_batches, written
 from .graph import components
 from .slabs import NO_ID, Rolling, mix, pack, unpack
 
@@ -230,9 +230,10 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_rows: int = 20_000) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_rows: int = 4_000) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
     buckets = 2 * buckets_for(docs)

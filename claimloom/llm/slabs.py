@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, buckets_for
+from .common import bucketed, buckets_for, small_batches
 
 SLAB = "slab long, doc_id array<long>, size array<int>, data binary"
 #: A null doc_id counts as larger than any other.
@@ -53,6 +53,7 @@ def slab_table(docs: DataFrame, slab_bytes: int = 2 << 20, level: int = 1) -> Da
         if parts:
             yield row()
 
+    small_batches(docs.sparkSession)
     n = buckets_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return bucketed(rows.mapInArrow(pack, SLAB), "slabs", "slab", n)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, small_batches, written
 from .mixing import draw
 
 #: Letters that look like Latin ones (fixed values).
@@ -150,6 +150,7 @@ def fit(rows: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> list[float]:
 
 def score(docs: DataFrame, model: dict, cut: float = 0.3) -> DataFrame:
     """``docs`` with score, predicted, n_words and spans (start and end in folded text)."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     given = docs.withColumn("_text", F.col("text").cast("string"))
 
