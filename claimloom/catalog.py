@@ -127,9 +127,12 @@ CONTENT_IDS_SQL = r"""SELECT doc_id, 'claim_' || substr(sha256(regexp_replace(lo
 
 def trigram_similarity(spark, sf_dir):
     """Benchmark passages against the documents that hold one of their word trigrams."""
-    grams = lambda df, key: df.select(key, T.word_ngrams(T.words(F.col("text")), 3).alias("g_" + key)).withColumn("g", F.explode("g_" + key))
-    items = grams(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "g", F.size("g_item_id").alias("ni"))
-    docs = grams(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "g", F.size("g_doc_id").alias("nd"))
+    def grams(df, key, size):  # the size goes before the explode, which would copy the array to every row
+        g = df.select(key, T.word_ngrams(T.words(F.col("text")), 3).alias("gs"))
+        return g.select(key, F.size("gs").alias(size), "gs").select(key, size, F.explode("gs").alias("g"))
+
+    items = grams(table(spark, sf_dir, "benchmark"), "item_id", "ni")
+    docs = grams(table(spark, sf_dir, "documents"), "doc_id", "nd")
     met = docs.join(items, "g").groupBy("item_id", "doc_id", "ni", "nd").agg(F.count("*").alias("shared"))
     return met.select("item_id", "doc_id", "shared", F.round(F.col("shared") / (F.col("ni") + F.col("nd") - F.col("shared")), 6).alias("similarity"))
 

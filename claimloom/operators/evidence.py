@@ -26,7 +26,9 @@ RATINGS = {
 def relevant_documents(claims: DataFrame, docs: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` documents of each claim by relevance, clamp(2.5 Jaccard + 0.5 share of claim words)."""
     def tokens(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.array_distinct(T.words(F.col("text"), False))).alias("w"), F.size(F.array_distinct(T.words(F.col("text"), False))).cast("long").alias("n_" + key))
+        ws = df.select(key, T.words(F.col("text"), False).alias("ws"))  # distinct already
+        return ws.select(key, F.size("ws").cast("long").alias("n_" + key), F.explode("ws").alias("w"))
+
     met = tokens(docs, "doc_id").join(tokens(claims, "item_id"), "w").groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("common"))
     both = F.col("common").cast("double")
     score = F.least(F.lit(1.0), both / (F.col("n_item_id") + F.col("n_doc_id") - F.col("common")) * 2.5 + both / F.col("n_item_id") * 0.5)
