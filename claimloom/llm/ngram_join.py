@@ -3,15 +3,20 @@
 1. Every document becomes its set of word shingles; equal sets are one class, carried on by
    its smallest doc_id. A table of fixed size counts shingles over all documents (by hash), which
    gives the global order.
-2. Prefix filter: sets that overlap enough share one of their rarest shingles. Workers chain
-   the classes that share one, in order of size, as long as neighbours' sizes allow a link.
-   A slab chains its own and sends only the ends of each chain, so a shingle's load is
-   bounded by the number of slabs. Chains connect into blocks of classes that may link.
+2. Candidates by the pigeonhole principle: sets that link differ in at most d shingles, so of
+   more than d parts, dealt by hash, one is equal in both (``part_tokens``). Such a part holds
+   several shingles, so a passage shared by otherwise different texts brings none together.
+   Below a threshold of ``PARTS_FROM`` parts get too small; there the tokens are the rarest
+   shingles instead, one of which sets that overlap enough share (``prefix_tokens``).
+   Workers chain the classes that share a token, in order of size, as long as neighbours'
+   sizes allow a link. A slab chains its own and sends only the ends
+   of each chain, so a token's load is bounded by the number of slabs. Chains connect into
+   blocks of classes that may link.
 3. In a block, sets go into a prefix tree in global order, most frequent shingle first, which
    is what near copies share. A set walks the tree with the overlap so far; a subtree is
    left when the shingles that remain on either side can't reach the threshold, or when it
-   belongs to the set's component already. A block beyond ``block_rows`` classes is split into
-   parts and each two parts meet in a task of their own, so no link is lost.
+   belongs to the set's component already. A block beyond ``block_rows`` classes or ``block_shingles``
+   shingles is split into parts and each two parts meet in a task of their own, so no link is lost.
 4. Components of all links; every member of a class gets the smallest doc_id.
 
 A link needs 100 * intersection >= percent * union. Fewer words than a shingle make one
@@ -33,7 +38,12 @@ from .common import buckets_for, salted_join, small_batches, written
 from .graph import components
 from .slabs import NO_ID, Rolling, mix, pack, unpack
 
-SKETCH_BITS = 20
+#: A fine table tells rare shingles from common ones and keeps blocks small: 2^22 counts are 16 MB.
+SKETCH_BITS = 22
+#: From this similarity on, parts hold enough shingles to tell more than the rarest ones do.
+PARTS_FROM = 85
+#: Ways to deal a set's shingles into parts, tried in turn where one leaves many parts empty.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PIECE = 1 << 19
 #: Whitespace (fixed values).
 SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -85,9 +95,62 @@ def _whole(words: np.ndarray) -> np.uint64:
     return out[0]
 
 
-def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
-    """The least intersection with any set that a set of size n can link with."""
-    return -(-n * percent // 100)
+def size_bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of bands of set sizes; for links whose smaller set is in a band, the number
+    of parts and how many of them may be empty: their difference exceeds what such sets differ in."""
+    ratio, low = max((100 / percent) ** 2, 1.1), [1]
+    while low[-1] < 1 << 31:
+        low.append(max(low[-1] + 1, int(low[-1] * ratio)))
+    low = np.array(low, np.int64)
+    differ = (low[1:] - 1) * (100 - percent) // percent
+    empty = np.exp(-low[:-1] / (differ + 1)) * (differ + 1)
+    spare = np.where(differ == 0, 0, 1 + np.ceil(1.5 * (empty + np.sqrt(empty)))).astype(np.int64)
+    return low, differ + 1 + spare, spare
+
+
+def part_tokens(value: np.ndarray, edge: np.ndarray, percent: int, bands: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, token) such that any two sets that link share a token.
+
+    A set deals its shingles into the parts of its own band and, where a smaller set in the band
+    below may link with it, of that one. A token is the hash of a non-empty part. Sets that link
+    share more parts than may be empty; a set with more empty ones deals them again by the next
+    seed, and after the last one has a token that all such sets of the band share.
+    """
+    low, parts, spare = bands
+    n = np.diff(edge)
+    band = np.searchsorted(low, n, "right") - 1
+    below = (band > 0) & (100 * (low[band] - 1) >= percent * n)
+    own, tokens = [], []
+    for doc, k in ((np.flatnonzero(n > 0), band), (np.flatnonzero(below), band - 1)):
+        for seed in SEEDS:
+            if not len(doc):
+                break
+            many, base = parts[k[doc]], n[doc]
+            at = np.repeat(np.arange(len(doc)), base)
+            v = value[np.arange(len(at)) + np.repeat(edge[:-1][doc] - (np.cumsum(base) - base), base)]
+            part = ((mix(v ^ np.uint64(seed)) >> np.uint64(32)) * many[at].astype(np.uint64)) >> np.uint64(32)
+            slot = (np.cumsum(many) - many)[at] + part.astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            slot = slot[order]
+            first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            total = np.add.reduceat(mix(v + np.uint64(seed))[order], first)
+            which = at[order][first]
+            name = part[order][first] * np.uint64(SEEDS[0]) + k[doc][which].astype(np.uint64)
+            own.append(doc[which])
+            tokens.append(mix(total ^ mix(name ^ np.uint64(seed))))
+            doc = doc[many - np.bincount(which, minlength=len(doc)) > spare[k[doc]]]
+        own.append(doc)
+        tokens.append(mix(k[doc].astype(np.uint64) + np.uint64(SEEDS[2])))
+    return np.concatenate(own), np.concatenate(tokens)
+
+
+def prefix_tokens(value: np.ndarray, edge: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, token): the rarest shingles, as many as leave too few for a link."""
+    n = np.diff(edge)
+    own, need = np.repeat(np.arange(len(n)), n), -(-n * percent // 100)
+    rank = np.lexsort((value, counts[value >> np.uint64(64 - SKETCH_BITS)], own))
+    pick = rank[np.arange(len(value)) - edge[:-1][own] < (n - need + 1)[own]]
+    return own[pick], value[pick]
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -105,11 +168,6 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield ids, texts
 
 
-def ordered(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rank keys in the global order, rarest first: count, then hash."""
-    return np.lexsort((values, counts[values >> np.uint64(64 - SKETCH_BITS)]))
-
-
 def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of all documents counted by hash: 2^SKETCH_BITS numbers, however large the input."""
     parts = 64
@@ -162,10 +220,10 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
     length = np.array([len(s) for s in sets])
     flat, edge = np.concatenate(sets), np.concatenate([[0], np.cumsum(length)])
-    names, flat = np.unique(flat, return_inverse=True)
-    mask = np.zeros(len(names), bool)
+    width = int(flat.max()) + 1
+    mask = np.zeros(width, bool)
     # Sets near the middle of a group link with most of it; a few of them spare most walks.
-    middle = np.add.reduceat(np.bincount(flat, minlength=len(names))[flat] / 1.0, edge[:-1]) / length
+    middle = np.add.reduceat(np.bincount(flat, minlength=width)[flat], edge[:-1]) / length
     for _ in range(min(16, n)):
         open_ = np.array([find(x) for x in range(n)])
         if (open_ == open_[0]).all():
@@ -176,7 +234,7 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
         pivot = alone[np.argmax(middle[alone])]
         middle[pivot] = -1
         mask[flat[edge[pivot] : edge[pivot + 1]]] = True
-        both = np.add.reduceat(mask[flat].astype(np.int64), edge[:-1])
+        both = np.add.reduceat(mask[flat], edge[:-1], dtype=np.int64)
         mask[:] = False
         for y in np.flatnonzero(100 * both >= percent * (length + length[pivot] - both)):
             union(pivot, int(y))
@@ -230,13 +288,13 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_rows: int = 4_000) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_rows: int = 4_000, block_shingles: int = 1_500_000) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
-    buckets = 2 * buckets_for(docs)
+    buckets, bands = 2 * buckets_for(docs), size_bands(percent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -245,16 +303,10 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
             n = np.diff(edge)
             node, other = set_prints(value, edge)
             _, first = np.unique(node, return_index=True)
-            first = first[n[first] > 0]
-            own, tokens = np.repeat(np.arange(len(n)), n), []
-            pick = np.zeros(len(value), bool)
-            rank = np.lexsort((value, counts.value[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], own))
-            place = np.arange(len(value)) - edge[:-1][own]
-            pick[rank] = place < (n - least_overlap(n, percent) + 1)[own]
             ok = np.zeros(len(n), bool)
             ok[first] = True
-            pick &= ok[own]
-            token, doc = value[pick] >> np.uint64(16), own[pick]
+            doc, token = part_tokens(value, edge, percent, bands) if percent >= PARTS_FROM else prefix_tokens(value, edge, percent, counts.value)
+            token, doc = token[ok[doc]] >> np.uint64(16), doc[ok[doc]]
             order, head, a, b = chain(token, n[doc], node[doc], percent)
             tail = np.append(head[1:], True)
             ends = order[head | tail]
@@ -290,8 +342,8 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
     blocks = components(edges).withColumnRenamed("id", "node").withColumnRenamed("component", "block")
     classes = written(members.groupBy("node", "other", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
     inside = classes.where("n > 0").join(blocks, "node")
-    sizes = inside.groupBy("block").agg(F.count("*").alias("rows")).where("rows > 1")
-    inside = inside.join(sizes, "block").withColumn("parts", F.ceil(F.col("rows") / F.lit(block_rows)).cast("int"))
+    sizes = inside.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
+    inside = inside.join(sizes, "block").withColumn("parts", F.greatest(F.ceil(F.col("rows") / F.lit(block_rows)), F.ceil(F.col("shingles") / F.lit(block_shingles))).cast("int"))
     part = F.pmod(F.xxhash64("node", "other"), F.col("parts")).cast("int")
     meets = F.when(F.col("parts") == 1, F.array(F.lit("0"))).otherwise(F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part))))
@@ -301,7 +353,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
 
     def join(table: pd.DataFrame) -> pd.DataFrame:
         rolling, sets, keys = Rolling(), [], []
-        raw = [(t or "").encode() for t in table["text"]]
+        raw = [(t or "").encode() for t in table.pop("text")]
         at = 0
         for _, group in pieces_of(raw):
             value, edge = shingle_sets(group, size, rolling)
@@ -313,6 +365,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
             at += len(group)
         if len(sets) < 2:
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        del raw
         names = np.unique(np.concatenate(sets))
         rank = np.empty(len(names), np.uint32)
         rank[np.lexsort((names, -counts.value[(names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)))] = np.arange(len(names))
