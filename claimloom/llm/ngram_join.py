@@ -45,6 +45,8 @@ PARTS_FROM = 85
 #: Ways to deal a set's shingles into parts, tried in turn where one leaves many parts empty.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PIECE = 1 << 19
+#: Sets that walk the prefix tree together, the cells of their table, and the shingles looked up at once.
+WALKERS, WALK_CELLS, STEP_CELLS = 128, 1 << 25, 1 << 20
 #: Whitespace (fixed values).
 SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -247,44 +249,60 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
         m = min(size[i], size[i - 1])
         d = np.flatnonzero(seq[i][:m] != seq[i - 1][:m])
         lcp[i] = d[0] if len(d) else m
-    kids: dict[tuple[int, int, int], list] = {}
-
-    def children(lo: int, hi: int, depth: int) -> list:
-        """(lo, hi, depth reached, least and greatest size) of the branches below a node."""
-        if (lo, hi, depth) not in kids:
-            cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] <= depth)).tolist(), hi]
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                to = int(size[a]) if b == a + 1 else int(lcp[a + 1 : b].min())
-                out.append((a, b, to, int(size[a:b].min()), int(size[a:b].max())))
-            kids[lo, hi, depth] = out
-        return kids[lo, hi, depth]
-
-    for i in range(n):
-        x, nx = seq[i], int(size[i])
-        own = np.array([find(y) for y in order]) if i % 64 == 0 else own  # stale equality stays true
+    # Nodes level by level: range of sets, depth before and after, least and greatest size, children.
+    rows: list[tuple] = [(0, n, 0, 0, int(size.min()), int(size.max()))]
+    first, many = [], []
+    for lo, hi, _, depth, _, _ in rows:
+        first.append(len(rows))
+        cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] <= depth)).tolist(), hi] if hi > lo + 1 else []
+        for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+            to = int(size[c]) if d == c + 1 else int(lcp[c + 1 : d].min())
+            rows.append((c, d, depth, to, int(size[c:d].min()), int(size[c:d].max())))
+        many.append(len(rows) - first[-1])
+    lo, hi, since, to, low, high = np.array(rows, np.int64).T
+    first, many, step = np.array(first), np.array(many), to - since
+    flat = np.concatenate(seq)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    source, last = begin[lo] + since, flat[np.maximum(begin[lo] + to - 1, 0)].astype(np.int64)
+
+    def runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+    batch = max(1, min(WALKERS, WALK_CELLS // width))
+    for at in range(0, n, batch):
+        # The batch's sets walk together; a step is a set at a node, with the overlap on the way there.
+        i = np.arange(at, min(n, at + batch))
+        own = np.array([find(x) for x in order])
         change = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, n)
-        mask[x] = True
-        stack = [(0, n, 0, 0)]
+        whole = np.where(change[np.minimum(np.searchsorted(change, lo, "right"), len(change) - 1)] >= hi, own[lo], -1)
+        mask = np.zeros((len(i), width), bool)
+        where = np.repeat(np.arange(len(i)), size[i])
+        mask[where, flat[begin[i[0]] : begin[i[-1] + 1]]] = True
+        place = where * width + flat[begin[i[0]] : begin[i[-1] + 1]]  # ascending
+        stack = [(np.arange(len(i)), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64))]
         while stack:
-            lo, hi, depth, have = stack.pop()
-            for a, b, to, low, high in children(lo, hi, depth):
-                if b <= i + 1 or 100 * high < percent * nx or 100 * nx < percent * low:
-                    continue
-                if change[np.searchsorted(change, a, "right")] >= b and find(order[a]) == find(order[i]):
-                    continue
-                step = seq[a][depth:to]
-                got = have + int(mask[step].sum())
-                left = nx - int(np.searchsorted(x, step[-1], "right")) if len(step) else nx - got
-                need = -(-percent * (nx + max(low, to)) // (100 + percent))
-                if got + min(high - to, left) < need:
-                    continue
-                if b == a + 1:
-                    if a != i and 100 * got >= percent * (nx + to - got):
-                        union(order[i], order[a])
-                else:
-                    stack.append((a, b, to, got))
-        mask[x] = False
+            w, node, have = stack.pop()
+            x, nx = i[w], size[i[w]]
+            ok = (hi[node] > x + 1) & (100 * high[node] >= percent * nx) & (100 * nx >= percent * low[node]) & (whole[node] != own[x])
+            w, node, have, x, nx = w[ok], node[ok], have[ok], x[ok], nx[ok]
+            if len(w) > 1 and step[node].sum() > STEP_CELLS:
+                half = len(w) // 2
+                stack += [(w[:half], node[:half], have[:half]), (w[half:], node[half:], have[half:])]
+                continue
+            length_ = step[node]
+            hits = np.concatenate([[0], np.cumsum(mask[np.repeat(w, length_), flat[runs(source[node], length_)]])])
+            ends = np.cumsum(length_)
+            got = have + hits[ends] - hits[ends - length_]
+            left = np.where(length_ > 0, nx - (np.searchsorted(place, w * width + last[node], "right") - (begin[x] - begin[i[0]])), nx - got)
+            need = -(-percent * (nx + np.maximum(low[node], to[node])) // (100 + percent))
+            ok = got + np.minimum(high[node] - to[node], left) >= need
+            leaf = hi[node] == lo[node] + 1
+            found = np.flatnonzero(ok & leaf & (lo[node] != x) & (100 * got >= percent * (nx + to[node] - got)))
+            for c, d in zip(x[found].tolist(), lo[node[found]].tolist(), strict=True):
+                union(order[c], order[d])
+            w, node, got = w[ok & ~leaf], node[ok & ~leaf], got[ok & ~leaf]
+            if len(w):
+                stack.append((np.repeat(w, many[node]), runs(first[node], many[node]), np.repeat(got, many[node])))
     return np.array([find(x) for x in range(n)])
 
 

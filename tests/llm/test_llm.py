@@ -205,3 +205,27 @@ def test_empty_tables(spark):
     assert secrets.scan(none).count() == 0
     assert gru_lm.score_documents(none).count() == 0
     assert toxicity.score(none, toxicity.learn(none, labels)).count() == 0
+
+
+def test_prefix_tree_links_equal_brute_force(monkeypatch):
+    rng = random.Random(5)
+    for trial in range(120):
+        percent = rng.choice([50, 80, 90])
+        seeds = [rng.sample(range(60), rng.randint(1, 30)) for _ in range(rng.randint(1, 6))]
+        sets = []
+        for _ in range(rng.randint(1, 40)):
+            one = set(rng.choice(seeds))
+            for _ in range(rng.randint(0, 4)):
+                one ^= {rng.randrange(60)}
+            sets.append(one or {1})
+        least = list(range(len(sets)))
+        for _ in sets:
+            for a, x in enumerate(sets):
+                for b, y in enumerate(sets[:a]):
+                    if 100 * len(x & y) >= percent * len(x | y):
+                        least[a] = least[b] = min(least[a], least[b])
+        if trial % 2:
+            monkeypatch.setattr(ngram_join, "WALKERS", 3)
+            monkeypatch.setattr(ngram_join, "STEP_CELLS", 7)
+        assert ngram_join.trie_links([np.array(sorted(x), np.uint32) for x in sets], percent).tolist() == least
+        monkeypatch.undo()
