@@ -51,6 +51,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def filter_by_bloom(spark: SparkSession) -> None:
+    """Joins of whole texts with a filtered table of ids drop most other texts before the shuffle, by
+    Spark's runtime Bloom filter: 2 MB at any size of input; where it fills up, more texts are shuffled."""
+    for key, value in {"applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1GB", "expectedNumItems": "2000000", "numBits": str(1 << 24)}.items():
+        spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

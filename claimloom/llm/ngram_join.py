@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, salted_join, small_batches, written
+from .common import buckets_for, filter_by_bloom, salted_join, small_batches, written
 from .graph import components
 from .slabs import NO_ID, Rolling, mix, pack, unpack
 
@@ -365,7 +365,8 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
     part = F.pmod(F.xxhash64("node", "other"), F.col("parts")).cast("int")
     meets = F.when(F.col("parts") == 1, F.array(F.lit("0"))).otherwise(F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part))))
-    wanted = written(inside.select("doc_id", "node", "other", "block", F.explode(meets).alias("meet")), "wanted")
+    wanted = written(inside.select("doc_id", "node", "other", "block", "parts", F.explode(meets).alias("meet")), "wanted").where("parts > 0")
+    filter_by_bloom(spark)
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     texts = keyed.join(wanted, "doc_id").select("block", "meet", "node", "other", "text")
 
