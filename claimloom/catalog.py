@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom import catalog_claims
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
 from claimloom.operators import evidence as E
@@ -250,3 +251,5 @@ ORACLES = {
     "canonical_url": CANONICAL_SQL, "evidence_dedup_exact": DEDUP_SQL, "domain_category": DOMAIN_SQL, "content_ids": CONTENT_IDS_SQL, "trigram_similarity": TRIGRAM_SQL,
     "source_reliability": RELIABILITY_SQL, "rating_map": RATING_SQL, "stance_consensus": CONSENSUS_SQL, "score_components": COMPONENTS_SQL, "claim_score": CLAIM_SCORE_SQL, "document_score": DOCUMENT_SCORE_SQL,
 }
+QUERIES |= catalog_claims.QUERIES
+ORACLES |= catalog_claims.ORACLES

@@ -59,3 +59,31 @@ def category(name: Column, hint: Column | None = None) -> Column:
 
 def content_id(prefix: str, *parts: Column, size: int = 12) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(*parts).cast("binary"), 256), 1, size))
+
+
+#: Hosts that no request may reach, and non-public IPv4 ranges as (first address, prefix length) (fixed values).
+BLOCKED_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal", "169.254.169.254", "instance-data", "metadata")
+BLOCKED_NETS = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
+    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+
+
+def net_range(first: str, prefix: int) -> tuple[int, int]:
+    at = sum(int(x) << s for x, s in zip(first.split("."), (24, 16, 8, 0), strict=True))
+    return at, at + (1 << (32 - prefix)) - 1
+
+
+def validity(url: Column) -> Column:
+    """OK, EMPTY, BAD_SCHEME, NO_HOST, BLOCKED_IP or BLOCKED_HOST; of IPv6 hosts the local ranges are blocked."""
+    host = F.regexp_replace(F.regexp_replace(netloc(url), "^.*@", ""), ":[0-9]*$", "")
+    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    parts = F.split(host, r"\.")
+    value = sum((F.get(parts, F.lit(k)).try_cast("long") * (1 << s) for k, s in enumerate((24, 16, 8, 0))), F.lit(0))
+    inside = F.lit(False)
+    for net in BLOCKED_NETS:
+        inside = inside | value.between(*net_range(*net))
+    local = host.rlike(r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]$")
+    return (F.when(F.coalesce(F.trim(url), F.lit("")) == "", "EMPTY").when(~scheme(url).isin("http", "https"), "BAD_SCHEME").when(host == "", "NO_HOST")
+            .when((host.rlike(rf"^({octet}\.){{3}}{octet}$") & inside) | local, "BLOCKED_IP")
+            .when(host.isin(*BLOCKED_HOSTS) | host.endswith(".local") | host.endswith(".internal"), "BLOCKED_HOST").otherwise("OK"))
