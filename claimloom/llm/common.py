@@ -65,6 +65,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` isn't in ``gone`` (one column of longs). Up to ``most`` keys, 8 MB,
+    are broadcast, so whole texts stay where they are; more are joined by a shuffle."""
+    keys = written(gone.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), "gone")
+    return docs.join(F.broadcast(keys) if keys.count() <= most else keys.hint("merge"), key, "left_anti").select(docs.columns)
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` as an external table in the shared folder, bucketed and sorted by ``key``."""
     table = f"claimloom_{name}_{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, buckets_for, new_path, salted_join, written
+from .common import LOWER, UPPER, ascii_lower, buckets_for, new_path, salted_join, without, written
 
 
 def text_digest(text: Column) -> Column:
@@ -77,7 +77,7 @@ def keep_distinct(docs: DataFrame, index: DigestIndex | None = None) -> DataFram
     named = written(docs.select(F.struct(*columns).alias("doc"), text_digest(F.col("text")).alias("digest"),
                                 F.monotonically_increasing_id().alias("row")), "named")
     out = index.ingest(named.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "digest")).where("not kept").select("row")
-    return named.join(out, "row", "left_anti").select("doc.*")
+    return without(named, out, "row").select("doc.*")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

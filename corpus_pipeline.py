@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from claimloom.llm.common import written
+from claimloom.llm.common import without, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +28,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays."""
     found = ngram_join.ngram_components(docs.select("doc_id", "text"), size=5, percent=80)
     out = found.where("doc_id != component_id").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, out, "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     out = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where("contaminated").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, out, "doc_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
