@@ -9,9 +9,10 @@
    Below a threshold of ``PARTS_FROM`` parts get too small; there the tokens are the rarest
    shingles instead, one of which sets that overlap enough share (``prefix_tokens``).
    Workers chain the classes that share a token, in order of size, as long as neighbours'
-   sizes allow a link. A slab chains its own and sends only the ends
-   of each chain, so a token's load is bounded by the number of slabs. Chains connect into
-   blocks of classes that may link.
+   sizes allow a link. A slab chains its own and sends the ends of each chain and, between them,
+   the least and the greatest size of each band of sizes that allow a link, so a class of another
+   slab that may link with any of them finds a neighbour, and a token's load is bounded by the
+   number of slabs and bands. Chains connect into blocks of classes that may link.
 3. In a block, sets go into a prefix tree in global order, most frequent shingle first, which
    is what near copies share. A set walks the tree with the overlap so far; a subtree is
    left when the shingles that remain on either side can't reach the threshold, or when it
@@ -205,6 +206,26 @@ def chain(token: np.ndarray, size: np.ndarray, node: np.ndarray, percent: int) -
     return order, head, pair[:, 0], pair[:, 1]
 
 
+def link_bands(percent: int) -> np.ndarray:
+    """Lower bounds of bands of set sizes; any two sizes of a band allow a link."""
+    low = [1]
+    while low[-1] < 1 << 31:
+        low.append(low[-1] * 100 // percent + 1)
+    return np.array(low, np.int64)
+
+
+def sent(size: np.ndarray, head: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """True for the rows of ``chain`` that stand for all: each chain's first and last of every band.
+
+    Neighbours among a chain's sent rows allow a link, so where sizes of two chains do, either the ranges
+    of the chains meet or their nearest ends allow it: their sent rows form one chain again.
+    """
+    band = np.searchsorted(low, size, "right")
+    first = head.copy()
+    first[1:] |= band[1:] != band[:-1]
+    return first | np.append(first[1:], True)
+
+
 def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set (arrays of ranks in global order) the number of its component's first set."""
     n = len(sets)
@@ -312,7 +333,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
-    buckets, bands = 2 * buckets_for(docs), size_bands(percent)
+    buckets, bands, low = 2 * buckets_for(docs), size_bands(percent), link_bands(percent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -326,8 +347,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
             doc, token = part_tokens(value, edge, percent, bands) if percent >= PARTS_FROM else prefix_tokens(value, edge, percent, counts.value)
             token, doc = token[ok[doc]] >> np.uint64(16), doc[ok[doc]]
             order, head, a, b = chain(token, n[doc], node[doc], percent)
-            tail = np.append(head[1:], True)
-            ends = order[head | tail]
+            ends = order[sent(n[doc][order], head, low)]
             bucket = (token[ends] * np.uint64(buckets)) >> np.uint64(48)
             out = [(None, pack([(a, 8), (b, 8)]))] if len(a) else []
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))

@@ -229,3 +229,53 @@ def test_prefix_tree_links_equal_brute_force(monkeypatch):
             monkeypatch.setattr(ngram_join, "STEP_CELLS", 7)
         assert ngram_join.trie_links([np.array(sorted(x), np.uint32) for x in sets], percent).tolist() == least
         monkeypatch.undo()
+
+
+def test_ngram_components_over_pieces(spark):
+    """Texts of many sizes share a passage of rare words; those in between have near copies in other pieces."""
+    r = random.Random(7)
+    common = [f"c{k}" for k in range(260)]
+    passage = [f"p{k}" for k in range(11)]
+
+    def near(m, at):
+        w = common[: m - 7]  # m shingles with the passage
+        for k in at:
+            w[k] = f"u{r.random()}"
+        return " ".join(passage + w)
+
+    long = " ".join(common + [f"z{k}" for k in range(2000)])
+    one = [(k, long) for k in range(30)] + [(100 + m, near(m, ())) for m in (50, 62, 77, 96, 124, 154, 192)] + [(1, near(100, (30, 60)))]
+    two, three = [(900, near(100, (30, 60)))], [(901, near(101, (30, 60)))]
+    parts = [[(k + 1000 if t is long else k, t) for k, t in p] for p in (one, two, three)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(list), "doc_id long, text string")
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    want = components(rows, 5, 80)
+    assert {i: c for i, _, c in want}[900] == {i: c for i, _, c in want}[901] == 1
+    assert sorted(tuple(x) for x in ngram_join.ngram_components(docs, size=5, percent=80).collect()) == want
+
+
+def test_sent_rows_of_pieces_chain_as_all_rows_do():
+    r = np.random.default_rng(3)
+    for percent in (60, 80, 90):
+        low = ngram_join.link_bands(percent)
+        for _ in range(300):
+            size = r.integers(1, 120, r.integers(2, 14))
+            piece = r.integers(0, 3, len(size))
+            node = np.arange(len(size), dtype=np.uint64)
+            token = np.zeros(len(size), np.uint64)
+            root = list(range(len(size)))
+            keep = []
+            for p in range(3):
+                at = np.flatnonzero(piece == p)
+                order, head, a, b = ngram_join.chain(token[at], size[at], node[at], percent)
+                keep += node[at][order][ngram_join.sent(size[at][order], head, low)].astype(int).tolist()
+                for x, y in zip(a.astype(int), b.astype(int)):
+                    root = [root[x] if c == root[y] else c for c in root]
+            keep = np.array(keep)
+            _, _, a, b = ngram_join.chain(token[keep], size[keep], node[keep], percent)
+            for x, y in zip(a.astype(int), b.astype(int)):
+                root = [root[x] if c == root[y] else c for c in root]
+            for x in range(len(size)):
+                for y in range(x):
+                    if 100 * min(size[x], size[y]) >= percent * max(size[x], size[y]):
+                        assert root[x] == root[y]
