@@ -13,7 +13,7 @@ WIRES = {
 MONTHS = (
     "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec"
 ).split()
-PACKET_ITEMS, PACKET_CHARS, ITEM_CHARS = 10, 10_000, 1_200
+PACKET_ITEMS, PACKET_CHARS, ITEM_CHARS, PACKET_FACT_CHECKS = 10, 10_000, 1_200, 5
 
 
 def age_days(raw: Column, as_of: int) -> Column:
@@ -75,10 +75,13 @@ def clusters(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def packet(evidence: DataFrame) -> DataFrame:
-    """Items of (claim_id, ord, text, priority figures) that go to reasoning: by priority, bounded in number and length."""
+    """Items of (claim_id, ord, text, priority figures) that go to reasoning: by priority, bounded in number and length;
+    a claim's fact-checks beyond the fifth leave their places to other items."""
     priority = (F.when(F.col("fact_check"), 100).when(F.col("primary"), 90).when(F.col("discrepant"), 80).when(F.col("stance").isin("SUPPORTING", "CONTRADICTING"), 70)
                 .when(F.col("stance") == "NEUTRAL", 40).otherwise(20))
     by = Window.partitionBy("claim_id").orderBy(F.col("priority").desc(), "ord")
     chars = F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(ITEM_CHARS)).cast("long")
+    nth = F.row_number().over(Window.partitionBy("claim_id", "fact_check").orderBy("ord"))
+    evidence = evidence.withColumn("_nth", nth).where(~F.coalesce("fact_check", F.lit(False)) | (F.col("_nth") <= PACKET_FACT_CHECKS))
     first = evidence.select("claim_id", "ord", chars.alias("chars"), priority.alias("priority")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PACKET_ITEMS)
     return first.withColumn("total", F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= PACKET_CHARS)
