@@ -22,6 +22,15 @@ RATINGS = {
     "needs context": ("Needs Context", "NEUTRAL"), "missing context": ("Missing Context", "NEUTRAL"), "disputed": ("Disputed", "NEUTRAL"),
 }
 
+#: Where the table has no rating: words, of which any decides, with verdict and stance, in this order (fixed values).
+PARTLY = "half|partly|mixture|partially"
+RATING_WORDS = [
+    ("pants on fire|fake|fabricated|hoax|debunked|untrue|unfounded|bust|disproven", "False", "CONTRADICTING"), ("misleading|distort", "Misleading", "CONTRADICTING"),
+    ("mostly false|mostly incorrect", "Mostly False", "CONTRADICTING"), (f"(?=.*({PARTLY})).*(false|incorrect)", "Partly False", "NEUTRAL"), ("false|incorrect", "False", "CONTRADICTING"),
+    ("mostly true|mostly correct|mostly accurate", "Mostly True", "SUPPORTING"), (f"(?=.*({PARTLY})).*(true|correct|accurate|verified|confirmed)", "Partly True", "NEUTRAL"),
+    ("true|correct|accurate|verified|confirmed", "True", "SUPPORTING"), ("half|mixture|mixed|unproven|unverified|inconclusive|context|disputed", "Needs Context", "NEUTRAL"),
+]
+
 
 def relevant_documents(claims: DataFrame, docs: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` documents of each claim by relevance, clamp(2.5 Jaccard + 0.5 share of claim words)."""
@@ -41,11 +50,14 @@ def first_wins(evidence: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def rate(ratings: DataFrame) -> DataFrame:
-    """Verdict and stance of ``rating``: the table, else words in it, else neutral."""
+    """Verdict and stance of ``rating``: the table, else words in it, else the rating itself and neutral."""
     key = F.lower(F.trim("rating"))
     table = F.create_map(*[F.lit(x) for k, v in RATINGS.items() for x in (k, "|".join(v))])
     hit = F.split(F.element_at(table, key), r"\|")
-    return ratings.withColumn("verdict", F.coalesce(F.get(hit, F.lit(0)), F.col("rating"))).withColumn("stance", F.coalesce(F.get(hit, F.lit(1)), F.lit("NEUTRAL")))
+    word = [(key.rlike(rf"(?s)^(?:{p})" if p.startswith("(?=") else p), v, s) for p, v, s in RATING_WORDS]
+    verdict = F.coalesce(F.get(hit, F.lit(0)), *[F.when(w, F.lit(v)) for w, v, _ in word], F.col("rating"))
+    stance = F.coalesce(F.get(hit, F.lit(1)), *[F.when(w, F.lit(s)) for w, _, s in word], F.lit("NEUTRAL"))
+    return ratings.withColumn("verdict", verdict).withColumn("stance", stance)
 
 
 def consensus(comparisons: DataFrame) -> DataFrame:
