@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if conf.get("spark.master", "").startswith("local"):
+        master = conf.get("spark.master", "")
+        if master == "local" or master.startswith("local["):  # not local-cluster, whose executors have folders of their own
             root = getattr(shared_dir, "made", None) or tempfile.mkdtemp(prefix="claimloom-")
             shared_dir.made = root
         else:
@@ -46,16 +50,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 _roots: set[str] = set()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts hold few rows, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions inside; the caller's own come back afterwards."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def filter_by_bloom(spark: SparkSession) -> None:
-    """Joins of whole texts with a filtered table of ids drop most other texts before the shuffle, by
-    Spark's runtime Bloom filter: 2 MB at any size of input; where it fills up, more texts are shuffled."""
-    for key, value in {"applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1GB", "expectedNumItems": "2000000", "numBits": str(1 << 24)}.items():
-        spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
+#: Joins of whole texts with a filtered table of ids drop most other texts before the shuffle, by Spark's
+#: runtime Bloom filter: 2 MB at any size of input; where it fills up, more texts are shuffled.
+BLOOM = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in {
+    "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1GB", "expectedNumItems": "2000000", "numBits": str(1 << 24)}.items()}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +76,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of ``numbered``.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row in ``ROW``, the same in every job. Rows of a plain scan go by their
+    file and their place in it, which costs no copy; any other rows are written once with their numbers."""
+    try:
+        placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    except AnalysisException:  # no scan of files
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    files = written(placed.select("__file").distinct().repartition(1).withColumn("__number", F.monotonically_increasing_id()), "files")
+    row = F.shiftleft(F.col("__number"), 40) + F.col("__index")
+    return placed.join(F.broadcast(files), "__file").select(*[F.col(f"`{c}`") for c in docs.columns], row.alias(ROW))
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
     """Rows of ``docs`` whose ``key`` isn't in ``gone`` (one column of longs). Up to ``most`` keys, 8 MB,
     are broadcast, so whole texts stay where they are; more are joined by a shuffle."""
@@ -72,10 +99,24 @@ def without(docs: DataFrame, gone: DataFrame, key: str, most: int = 1 << 20) ->
     return docs.join(F.broadcast(keys) if keys.count() <= most else keys.hint("merge"), key, "left_anti").select(docs.columns)
 
 
+def _drop(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session has ended, and its catalog with it
+        pass
+
+
+def temporary_table(spark: SparkSession, name: str) -> str:
+    """A new table's name; what it names is dropped when the process ends."""
+    table = f"claimloom_{name}_{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, table)
+    return table
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` as an external table in the shared folder, bucketed and sorted by ``key``."""
-    table = f"claimloom_{name}_{uuid.uuid4().hex}"
     spark = df.sparkSession
+    table = temporary_table(spark, name)
     (df.write.bucketBy(buckets, key).sortBy(key).format("parquet")
        .option("path", new_path(spark, name)).saveAsTable(table))
     return spark.table(table)
@@ -86,11 +127,18 @@ def size_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 12) -> int:
+def ranges_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 12) -> int:
+    """Ranges of keys to deal what ``df`` sends, so that each holds about ``bytes_each`` of input, at any size."""
     size = size_of(df)
     if size > 1 << 50:  # unknown: not a scan
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, min(100_000, size // bytes_each + 1))
+    return max(least, size // bytes_each + 1)
+
+
+def buckets_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 12) -> int:
+    """Buckets of a table like ``df``: as many as Spark allows at most, whose rows are read one by one."""
+    most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, ranges_for(df, bytes_each, least))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -17,26 +17,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, buckets_for, small_batches
+from .common import bucketed, buckets_for, size_of
 
 SLAB = "slab long, doc_id array<long>, size array<int>, data binary"
 #: A null doc_id counts as larger than any other.
 NO_ID = (1 << 63) - 1
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3, seed 42) of longs, by which a bucketed table deals its rows."""
+    u = np.uint32
+    turn = lambda v, r: (v << u(r)) | (v >> u(32 - r))
+    h = np.full(len(x), 42, u)
+    for k in (x.astype(np.uint64) & np.uint64(0xFFFFFFFF), x.astype(np.uint64) >> np.uint64(32)):
+        h = turn(h ^ (turn(k.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
+def numbers_in(first: int, bucket: int, buckets: int) -> Iterator[int]:
+    """Numbers from ``first`` on that Spark puts into ``bucket``."""
+    while True:
+        x = np.arange(first, first + 4096, dtype=np.int64)
+        yield from x[np.mod(spark_hash(x).astype(np.int64), buckets) == bucket].tolist()
+        first += 4096
+
+
 def slab_table(docs: DataFrame, slab_bytes: int = 2 << 20, level: int = 1) -> DataFrame:
-    """``docs`` (doc_id, text) as slabs; null texts are empty, repeated rows stay."""
+    """``docs`` (doc_id, text) as slabs; null texts are empty, repeated rows stay. Eight or more consecutive slabs
+    of a task share a bucket, and so a file: a slab's number is chosen for the bucket it gives."""
+    n = buckets_for(docs)
+    size = size_of(docs)
+    run = max(8, size // n // slab_bytes) if size < 1 << 50 else 8
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
+        task, made = TaskContext.get().partitionId(), 0
         ids: list = []
         parts: list = []
         held = 0
+        numbers = iter(())
 
         def row() -> pa.RecordBatch:
+            nonlocal numbers
+            if made % run == 0:
+                numbers = numbers_in((task << 40) + (made << 24), (task + made // run) % n, n)
             data = zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                [pa.array([next(numbers)], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([[len(x) for x in parts]], pa.list_(pa.int32())), pa.array([data], pa.binary())],
                 names=["slab", "doc_id", "size", "data"])
 
@@ -53,8 +82,6 @@ def slab_table(docs: DataFrame, slab_bytes: int = 2 << 20, level: int = 1) -> Da
         if parts:
             yield row()
 
-    small_batches(docs.sparkSession)
-    n = buckets_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return bucketed(rows.mapInArrow(pack, SLAB), "slabs", "slab", n)
 
@@ -124,24 +151,48 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substring from prefix sums, modulo 2^64, over a random value for each byte."""
+    """Hashes of any substring from prefix sums, over a random value for each byte: two polynomials modulo
+    the prime 2^31 - 1 with bases of their own, 62 bits together. Strings of n bytes that differ have equal
+    hashes for at most about n of the bases of either, whatever their letters."""
 
-    BASE = 0x9E3779B97F4A7C15
+    P = np.uint64((1 << 31) - 1)
+    BASES = (1_437_926_351, 862_091_677)
 
     def __init__(self, seed: int = 17):
-        self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.table = np.random.default_rng(seed).integers(1, int(self.P), (2, 256), np.uint64)
+        self.up = self.down = np.ones((2, 1), np.uint32)
+
+    @classmethod
+    def fold(cls, x: np.ndarray) -> np.ndarray:
+        """Congruent, below 2^33; below 2^32 for products."""
+        return (x & cls.P) + (x >> np.uint64(31))
+
+    @classmethod
+    def reduced(cls, x: np.ndarray) -> np.ndarray:
+        x = cls.fold(cls.fold(cls.fold(x)))
+        return np.where(x >= cls.P, x - cls.P, x)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(data):
+        if self.up.shape[1] <= len(data):
             n = max(len(data) + 1, 1 << 19)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                powers = np.full(n, base, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+            powers = []
+            for bases in (self.BASES, [pow(b, -1, int(self.P)) for b in self.BASES]):
+                lanes = []
+                for base in bases:
+                    x, step = np.ones(1, np.uint64), base
+                    while len(x) < n:
+                        x, step = np.concatenate([x, self.reduced(x * np.uint64(step))]), step * step % int(self.P)
+                    lanes.append(x[:n].astype(np.uint32))
+                powers.append(np.stack(lanes))
+            self.up, self.down = powers
+        out = np.zeros((2, len(data) + 1), np.uint64)
+        for k in range(2):
+            np.cumsum(self.fold(self.table[k][data] * self.up[k, : len(data)]), out=out[k, 1:])
         return out
 
+    def lane(self, k: int, sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """One polynomial's value, below 2^31 - 1."""
+        return self.reduced(self.fold(self.fold(sums[k][end] - sums[k][start])) * self.down[k][start])
+
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.down[start])
+        return mix((self.lane(0, sums, start, end) << np.uint64(31)) | self.lane(1, sums, start, end))
