@@ -6,19 +6,25 @@ stand, and every window has one. A phrase is a maximal run of windows with one t
 the bytes they cover; phrases cut a text as rolling-hash triggers cut it in prefix-free
 parsing, save that no stretch is left without a trigger.
 
-1. Parse order. Every slab sends its distinct phrases (trigger, phrase fingerprint, least
-   doc_id). A worker sorts a range of triggers, which puts the corpus's phrase occurrences in
-   the order of the parse: occurrences of a phrase stand together, so each learns whether a
-   smaller document holds it whole.
-2. Dictionary order. Phrases that share a trigger but differ (the ends of a repeat) are sent
-   once from the first document that holds each. A worker sorts their suffixes to a depth of
-   50 bytes; neighbours that agree over that depth are one repeated string, and its least
-   doc_id decides. A trigger with very many different phrases is not kept in one
-   place: its windows are dealt by their own fingerprint instead.
-3. Both orders' spans meet in the slab and are merged.
-
+1. Parse. Every slab sends its distinct phrases (trigger, phrase fingerprint, least doc_id). A
+   worker sorts a range of triggers, so occurrences of a phrase stand together and each learns
+   whether a smaller document holds it whole.
+2. Dictionary and parse meet. Phrases that share a trigger but differ (the ends of a repeat) are
+   sent once from the first document that holds each. A phrase's dictionary part ends with the
+   trigger, its parse part begins there. The suffix array of the dictionary parts (all their suffixes
+   that hold the trigger, by a sort of the reversed parts and its LCP array) tells which suffixes
+   are equal; the suffix array of the parse parts (a sort and its LCP array) gives the order of
+   what follows. For each suffix, its occurrences in the order of the parse are the corpus order;
+   neighbours whose suffix and common continuation reach 50 bytes are one repeated string, and
+   its least doc_id decides. All of this compares bytes.
+   A trigger with over ``many`` different phrases is parted by the 16 bytes beside it: of the
+   windows that hold it, those with 16 bytes before it go by these, the others by the 16 after it.
+3. The spans of both steps meet in the slab and are merged.
+
+Phrases are equal when 88 bits of hashes modulo a prime are, which isn't verified on bytes.
 Null texts are empty; texts under 50 bytes lose nothing; rows with the same doc_id do
-not make each other repeats; a null doc_id counts as larger than any other.
+not make each other repeats; a null doc_id counts as larger than any other. Very long texts are
+parsed in overlapping parts of 4 MB.
 """
 
 from __future__ import annotations
@@ -32,16 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, written
+from .common import buckets_for, ranges_for, written
 from .slabs import Rolling, Slab, by_bucket, each_slab, mix, pack, signed, slab_table, unpack, with_replies
 
 GRAM = 18
 PIECE = 1 << 19
 LONGEST = 4 << 20
 LOW = np.uint64((1 << 26) - 1)
-#: Different phrases of one trigger beyond which their windows are dealt by fingerprint.
-MANY = 2048
-PARSE, DICTIONARY, WINDOWS = 0, 1, 2
+#: Different phrases of one trigger beyond which they are dealt by the bytes beside it.
+MANY, BESIDE = 2048, 16
+PARSE, DICTIONARY, CROWD = 0, 1, 2
+#: The windows of a phrase that a record is for: all, those with BESIDE bytes before the trigger, the others.
+WHOLE, BEFORE, AFTER = 0, 1, 2
+RECORD = [4, 1, 1, 4, 4, 8]  # bytes of size, left, half, doc, start, number
 
 
 def pieces(slab: Slab, depth: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -69,9 +78,9 @@ def phrases(slab: Slab, rolling: Rolling, depth: int) -> Iterator[dict]:
         sizes = np.array([b - a for _, a, b in part])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         sums = rolling.sums(data)
-        at = np.arange(len(data) - GRAM + 1)
-        grams = rolling.of(sums, at, at + GRAM)
-        value = (grams & ~LOW) | at.astype(np.uint64)
+        n = len(data) - GRAM + 1
+        grams = mix(rolling.lane(0, sums, slice(0, n), slice(GRAM, n + GRAM)) * np.uint64(0x9E3779B97F4A7C15))
+        value = (grams & ~LOW) | np.arange(n, dtype=np.uint64)
         least, step = value, 1
         while step * 2 <= width:
             least, step = np.minimum(least[:-step], least[step:]), step * 2
@@ -89,8 +98,9 @@ def phrases(slab: Slab, rolling: Rolling, depth: int) -> Iterator[dict]:
         fingerprint = rolling.of(sums, first, last + depth - 1)
         doc = np.array([d for d, _, _ in part])[where[first]]
         shift = (np.array([a for _, a, _ in part]) - starts[:-1])[where[first]]
-        high = mix(grams[trigger[first]] + np.uint64(1)) >> np.uint64(24)  # least hashes crowd near 0
-        yield {"data": data, "sums": sums, "trigger": high, "doc": doc, "first": first, "last": last, "shift": shift,
+        at = trigger[first]
+        high = rolling.of(sums, at, at + GRAM) >> np.uint64(24)
+        yield {"data": data, "sums": sums, "trigger": high, "at": at, "doc": doc, "first": first, "last": last, "shift": shift,
                "key": (fingerprint & ~np.uint64(0xFFFF)) | (high & np.uint64(0xFFFF))}
 
 
@@ -133,6 +143,48 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], np.maximum.reduceat(reach, at) - base[at]
 
 
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of bytes, and how many leading bytes each shares with the one before it (0 for the first)."""
+    words = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    words[:, : text.shape[1]] = text
+    order = np.lexsort(words.view(">u8").astype(np.uint64).T[::-1])
+    text = text[order]
+    differ = text[1:] != text[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), text.shape[1])
+    return order, np.concatenate([[0], common])
+
+
+def repeats(data: np.ndarray, size: np.ndarray, left: np.ndarray, half: np.ndarray, number: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``depth`` bytes that also stand in a phrase of a smaller number: (phrase, place in it).
+
+    Phrases are consecutive in ``data``; the first ``left`` bytes of each end with its trigger.
+    """
+    begin = np.cumsum(size) - size
+    place = np.arange(depth)
+    reach = lambda at, n: np.where(place < n[:, None], data[np.clip(at, 0, len(data) - 1)], 0)
+    dictionary = reach((begin + left - 1)[:, None] - place, left)
+    parse = reach((begin + left - GRAM)[:, None] + place, size - left + GRAM)
+    d_order, d_common = suffix_array(dictionary)
+    p_order, p_common = suffix_array(parse)
+    suffix, following = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    found, at = [], []
+    for r in range(GRAM, depth + 1):  # the suffix's length: a window has r bytes up to the trigger's end
+        suffix[d_order] = np.cumsum(d_common < r)
+        following[p_order] = np.cumsum(p_common < depth - r + GRAM)
+        ok = (r <= left) & (left - r + depth <= size) & ((half == WHOLE) | ((half == BEFORE) == (r >= GRAM + BESIDE)))
+        own = p_order[ok[p_order]]
+        own = own[np.argsort(suffix[own], kind="stable")]  # the corpus order of these suffixes
+        if not len(own):
+            continue
+        new = groups(suffix[own], following[own])
+        least = np.minimum.reduceat(number[own], np.flatnonzero(new))
+        later = own[number[own] > least[np.cumsum(new) - 1]]
+        found.append(later)
+        at.append(left[later] - r)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found]), np.concatenate([none, *at])
+
+
 def repeated_spans(slabs: DataFrame, own: int, buckets: int, depth: int = 50, many: int = MANY) -> DataFrame:
     """(slab, kind, blob): packed spans of each slab that a smaller document holds. ``own``: the
     slab table's buckets; ``buckets``: ranges of triggers."""
@@ -174,7 +226,7 @@ def repeated_spans(slabs: DataFrame, own: int, buckets: int, depth: int = 50, ma
         ask = ~later & differ[of][phrase]
         crowd = (count > many)[of][phrase]
         out = []
-        for kind, pick in ((PARSE, later), (DICTIONARY, ask & ~crowd), (WINDOWS, ask & crowd)):
+        for kind, pick in ((PARSE, later), (DICTIONARY, ask & ~crowd), (CROWD, ask & crowd)):
             pick = np.flatnonzero(pick)
             pick = pick[np.argsort(slab[pick], kind="stable")]
             for s in np.split(pick, np.flatnonzero(np.diff(slab[pick])) + 1):
@@ -185,7 +237,7 @@ def repeated_spans(slabs: DataFrame, own: int, buckets: int, depth: int = 50, ma
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for slab, more in each_slab(batches):
-            told = {PARSE: [], DICTIONARY: [], WINDOWS: []}
+            told = {PARSE: [], DICTIONARY: [], CROWD: []}
             for r in more["replies"] or ():
                 low, key, doc = unpack(r["blob"], [2, 6, 8])
                 told[r["kind"]].append(((key << np.uint64(16)) | low, signed(doc)))
@@ -207,77 +259,57 @@ def repeated_spans(slabs: DataFrame, own: int, buckets: int, depth: int = 50, ma
             d, a, b = merged(doc[later], start[later], end[later])
             out = [(-1, slab.slab, pack([(d, 4), (a, 4), (b, 4)]), PARSE)] if len(d) else []
             source = np.repeat(np.arange(len(parts)), [len(p["first"]) for p in parts])
-            for kind in (DICTIONARY, WINDOWS):
+            for kind in (DICTIONARY, CROWD):
                 if not len(told[kind][0]):
                     continue
                 wanted = np.zeros(len(names), bool)
                 wanted[np.searchsorted(names, told[kind][0])] = True
                 pick = np.flatnonzero(wanted[of] & ~later)
                 for p in np.unique(source[pick]):
-                    part, own = parts[p], pick[source[pick] == p]
-                    own_first, own_last = first[own], last[own]
-                    if kind == DICTIONARY:
-                        trigger = joined(parts, "trigger")[own]
-                        bucket = ((trigger * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64)
-                        order = np.argsort(bucket, kind="stable")
-                        text = part["data"].tobytes()
-                        for bk, s in dealt(bucket[order], buckets):
-                            o = order[s]
-                            head = pack([(own_last[o] - own_first[o] + depth - 1, 4), (doc[own[o]], 4), (start[own[o]], 4), (number[own[o]].view(np.uint64), 8)])
-                            body = b"".join(text[x : y + depth - 1] for x, y in zip(own_first[o].tolist(), own_last[o].tolist(), strict=True))
-                            out.append((bk, slab.slab, len(o).to_bytes(4, "little") + head + body, kind))
-                    else:
-                        n = own_last - own_first
-                        at = np.repeat(own_first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        at, row = np.unique(at, return_index=True)
-                        row = np.repeat(own, n)[row]
-                        print_ = rolling.of(part["sums"], at, at + depth)
-                        order = np.argsort(print_)
-                        bucket = ((print_[order] >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(40)
-                        for bk, s in dealt(bucket, buckets):
-                            o = order[s]
-                            out.append((bk, slab.slab, pack([(print_[o], 8), (doc[row[o]], 4), (at[o] + shift[row[o]], 4), (number[row[o]].view(np.uint64), 8)]), kind))
+                    own = pick[source[pick] == p]
+                    out += [(b, slab.slab, x, kind) for b, x in records(parts[p], rolling, own, kind, own - np.flatnonzero(source == p)[0], doc, start, number)]
             if out:
                 yield rows([(b, s, k, x) for b, s, x, k in out], ["bucket", "slab", "kind", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()])
 
-    def dictionary_order(table: pd.DataFrame) -> pd.DataFrame:
+    def records(part: dict, rolling: Rolling, own: np.ndarray, kind: int, at: np.ndarray, doc: np.ndarray, start: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob) of the phrases ``own``, which are ``at`` in their part."""
+        first, last, mark, text = part["first"][at], part["last"][at], part["at"][at], part["data"].tobytes()
+        if kind == DICTIONARY:
+            halves = [(np.arange(len(own)), WHOLE, part["trigger"][at])]
+        else:
+            before, after = np.flatnonzero(first <= mark - BESIDE), np.flatnonzero(last > mark - BESIDE + 1)
+            halves = [(k, half, rolling.of(part["sums"], mark[k] - (BESIDE if half == BEFORE else 0), mark[k] + GRAM + (BESIDE if half == AFTER else 0)) >> np.uint64(24))
+                      for k, half in ((before, BEFORE), (after, AFTER))]
+        for k, half, key in halves:
+            bucket = ((key * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for b, s in dealt(bucket[order], buckets):
+                o = k[order[s]]
+                head = pack([(last[o] - first[o] + depth - 1, 4), (mark[o] + GRAM - first[o], 1), (np.full(len(o), half), 1), (doc[own[o]], 4), (start[own[o]], 4), (number[own[o]].view(np.uint64), 8)])
+                yield b, len(o).to_bytes(4, "little") + head + b"".join(text[x : y + depth - 1] for x, y in zip(first[o].tolist(), last[o].tolist(), strict=True))
+
+    def combine(table: pd.DataFrame) -> pd.DataFrame:
+        heads, bytes_ = [], []
+        for blob in table["blob"]:
+            n, width = int.from_bytes(blob[:4], "little"), sum(RECORD)
+            heads.append([c.astype(np.int64) for c in unpack(blob[4 : 4 + width * n], RECORD)])
+            bytes_.append(np.frombuffer(blob, np.uint8, offset=4 + width * n))
+        slab = np.repeat(table["slab"].to_numpy(), [len(h[0]) for h in heads])
+        size, left, half, doc, start, number = (np.concatenate(c) for c in zip(*heads, strict=True))
+        data = np.concatenate(bytes_)
+        hit, at = repeats(data, size, left, half, number, depth)
         out = []
-        for kind, own in table.groupby("kind"):
-            slab, doc, start, number, word = [], [], [], [], []
-            for s, blob in zip(own["slab"], own["blob"], strict=True):
-                if kind == DICTIONARY:
-                    n = int.from_bytes(blob[:4], "little")
-                    size, d, a, num = unpack(blob[4 : 4 + 20 * n], [4, 4, 4, 8])
-                    data = np.frombuffer(blob, np.uint8, offset=4 + 20 * n)
-                    count = size.astype(np.int64) - depth + 1
-                    begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))[:-1]])
-                    off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    word.append(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, depth)[np.repeat(begin, count) + off]).view(f"S{depth}").ravel())
-                    d, a, num = np.repeat(d, count), np.repeat(a.astype(np.int64), count) + off, np.repeat(num, count)
-                else:
-                    w, d, a, num = unpack(blob, [8, 4, 4, 8])
-                    word.append(w)
-                slab.append(np.full(len(d), s))
-                doc.append(d.astype(np.int64))
-                start.append(a.astype(np.int64))
-                number.append(signed(num))
-            slab, doc, start, number, word = (np.concatenate(x) for x in (slab, doc, start, number, word))
-            order = np.argsort(word, kind="stable")  # the suffix array, to the depth that matters
-            new = groups(word[order])
-            of = np.cumsum(new) - 1
-            least = np.minimum.reduceat(number[order], np.flatnonzero(new))
-            hit = order[number[order] > least[of]]
-            hit = hit[np.argsort(slab[hit], kind="stable")]
-            for s in np.split(hit, np.flatnonzero(np.diff(slab[hit])) + 1):
-                if len(s):
-                    d, a, b = merged(doc[s], start[s], start[s] + depth)
-                    out.append((slab[s[0]], PARSE, pack([(d, 4), (a, 4), (b, 4)])))
+        hit, at = (x[np.argsort(slab[hit], kind="stable")] for x in (hit, at))
+        for s in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(slab[hit])) + 1):
+            if len(s):
+                d, a, b = merged(doc[hit[s]], start[hit[s]] + at[s], start[hit[s]] + at[s] + depth)
+                out.append((slab[hit[s[0]]], PARSE, pack([(d, 4), (a, 4), (b, 4)])))
         return pd.DataFrame(out, columns=["slab", "kind", "blob"])
 
     sent = slabs.mapInArrow(send, "bucket int, slab long, blob binary")
     told = by_bucket(sent, parse_order, "slab long, kind int, blob binary")
     answers = written(with_replies(slabs, told, own).mapInArrow(answer, "bucket int, slab long, kind int, blob binary"), "phrases")
-    spans = by_bucket(answers.where("bucket >= 0"), dictionary_order, "slab long, kind int, blob binary")
+    spans = by_bucket(answers.where("bucket >= 0"), combine, "slab long, kind int, blob binary")
     return answers.where("bucket < 0").select("slab", "kind", "blob").unionByName(spans)
 
 
@@ -290,7 +322,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, kept: bool = True, buckets: i
     """
     slabs = slab_table(docs)
     own = buckets_for(docs)
-    spans = repeated_spans(slabs, own, buckets or 4 * own, depth, many)
+    spans = repeated_spans(slabs, own, buckets or 4 * ranges_for(docs), depth, many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, more in each_slab(batches):
