@@ -16,9 +16,15 @@
 3. In a block, sets go into a prefix tree in global order, most frequent shingle first, which
    is what near copies share. A set walks the tree with the overlap so far; a subtree is
    left when the shingles that remain on either side can't reach the threshold, or when it
-   belongs to the set's component already. A block beyond ``block_rows`` classes or ``block_shingles``
-   shingles is split into parts and each two parts meet in a task of their own, so no link is lost.
-4. Components of all links; every member of a class gets the smallest doc_id.
+   belongs to the set's component already. The first sets walk alone, the later ones together.
+   Texts are compared there by their words' bytes, hashes only name them.
+4. A block beyond ``block_rows`` classes or ``block_shingles`` shingles is split into parts, each with
+   a few representatives of the block, so most of a group of near copies is one component after
+   this round. A second round compares the classes outside the block's largest component, which are
+   few as a rule, with all others in parts, knowing the components; so no link is lost. Texts
+   travel twice for a group of near copies of any size, and once more for each ``block_rows`` loose classes.
+5. Components of all links; every member of a class gets the smallest doc_id. Classes are told apart
+   by 128 bits of hashes modulo a prime, and numbered, so nothing rests on fewer bits.
 
 A link needs 100 * intersection >= percent * union. Fewer words than a shingle make one
 shingle of them all; null texts and texts without words have an empty set and link with
@@ -27,6 +33,7 @@ nothing. Rows with equal doc_id are one document each; a null doc_id counts as t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, filter_by_bloom, salted_join, small_batches, written
+from .common import BLOOM, ranges_for, salted_join, settings, written
 from .graph import components
 from .slabs import NO_ID, Rolling, mix, pack, unpack
 
@@ -48,25 +55,35 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PIECE = 1 << 19
 #: Sets that walk the prefix tree together, the cells of their table, and the shingles looked up at once.
 WALKERS, WALK_CELLS, STEP_CELLS = 128, 1 << 25, 1 << 20
+#: Classes of a split block that every part of it holds.
+REPRESENTATIVES = 4
 #: Whitespace (fixed values).
 SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[True], SPACE[data], [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def shingled(word: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the shingle that begins at each word; the last ``size - 1`` have none."""
+    value = word.copy()
+    for k in range(1, size):
+        value[: len(word) - k] = mix(value[: len(word) - k] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
+    return value
+
+
 def shingle_sets(texts: list[bytes], size: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, and where each text's begin (sorted within a text)."""
     data = LOWERED[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    space = SPACE[data]
-    sums = rolling.sums(data)
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    word = rolling.of(sums, start, end)
+    start, end = word_bounds(data)
+    word = rolling.of(rolling.sums(data), start, end)
     doc = np.searchsorted(begin, start, "right") - 1
     n = np.bincount(doc, minlength=len(texts))
-    value = word.copy()
-    for k in range(1, size):
-        value[: len(word) - k] = mix(value[: len(word) - k] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
+    value = shingled(word, size)
     last = np.arange(len(word)) - (np.cumsum(n) - n)[doc]
     keep = last <= np.maximum(n[doc] - size, 0)
     short = np.flatnonzero((n > 0) & (n < size))
@@ -81,6 +98,50 @@ def shingle_sets(texts: list[bytes], size: int, rolling: Rolling) -> tuple[np.nd
     return value[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(texts)))])
 
 
+def same_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Whether strings of one name are equal, byte by byte; and the first string of each name."""
+    _, first, of = np.unique(name, return_index=True, return_inverse=True)
+    twin, n = first[of], end - start
+    if (n != n[twin]).any():
+        return False, first
+    other = np.flatnonzero(twin != np.arange(len(name)))
+    n = n[other]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return bool((data[np.repeat(start[other], n) + step] == data[np.repeat(start[twin[other]], n) + step]).all()), first
+
+
+def names_hold(texts: list[bytes], size: int, rolling: Rolling) -> bool:
+    """Whether in these texts equal hashes mean equal words, and equal shingle hashes equal words in turn."""
+    kept, shingles = [], []
+    for _, group in pieces_of(texts):
+        data = LOWERED[np.frombuffer(b" ".join([*group, b""]), np.uint8)]
+        start, end = word_bounds(data)
+        word = rolling.of(rolling.sums(data), start, end)
+        ok, first = same_strings(data, start, end, word)
+        if not ok:
+            return False
+        kept += [data[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if len(word) >= size:  # those over the edge of two texts do no harm
+            shingles.append(np.unique(np.stack([shingled(word, size)[: len(word) - size + 1], *(word[k : len(word) - size + 1 + k] for k in range(size))], 1), axis=0))
+    data = np.frombuffer(b" ".join([*kept, b""]), np.uint8)
+    start, end = word_bounds(data)
+    if not same_strings(data, start, end, rolling.of(rolling.sums(data), start, end))[0]:
+        return False
+    rows = np.unique(np.concatenate(shingles), axis=0) if shingles else np.zeros((0, 1), np.uint64)
+    return len(np.unique(rows[:, 0])) == len(rows)
+
+
+def plain_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Shingle sets by numbers given to the words themselves, for texts whose hashes collide."""
+    names: dict = {}
+    out = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", t.translate(LOWERED.tobytes()))
+        grams = [tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))] if w else []
+        out.append(np.unique(np.array([names.setdefault(g, len(names)) for g in grams], np.uint64)))
+    return out
+
+
 def set_prints(value: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit fingerprints of each set."""
     out = []
@@ -226,8 +287,9 @@ def sent(size: np.ndarray, head: np.ndarray, low: np.ndarray) -> np.ndarray:
     return first | np.append(first[1:], True)
 
 
-def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set (arrays of ranks in global order) the number of its component's first set."""
+def trie_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set (arrays of ranks in global order) the number of its component's first set.
+    ``known``: labels of components that are known already."""
     n = len(sets)
     root = np.arange(n)
 
@@ -244,23 +306,9 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     length = np.array([len(s) for s in sets])
     flat, edge = np.concatenate(sets), np.concatenate([[0], np.cumsum(length)])
     width = int(flat.max()) + 1
-    mask = np.zeros(width, bool)
-    # Sets near the middle of a group link with most of it; a few of them spare most walks.
-    middle = np.add.reduceat(np.bincount(flat, minlength=width)[flat], edge[:-1]) / length
-    for _ in range(min(16, n)):
-        open_ = np.array([find(x) for x in range(n)])
-        if (open_ == open_[0]).all():
-            return open_
-        alone = np.flatnonzero(open_ == np.arange(n)) if _ else np.arange(n)
-        if not len(alone):
-            break
-        pivot = alone[np.argmax(middle[alone])]
-        middle[pivot] = -1
-        mask[flat[edge[pivot] : edge[pivot + 1]]] = True
-        both = np.add.reduceat(mask[flat], edge[:-1], dtype=np.int64)
-        mask[:] = False
-        for y in np.flatnonzero(100 * both >= percent * (length + length[pivot] - both)):
-            union(pivot, int(y))
+    for first in ([] if known is None else np.unique(known, return_index=True)[1].tolist()):
+        for y in np.flatnonzero(known == known[first]).tolist():
+            union(first, y)
     # The tree: sets sorted by their sequences; a node is a range of them with a common prefix.
     order = sorted(range(n), key=lambda x: flat[edge[x] : edge[x + 1]].astype(">u4").tobytes())
     seq = [flat[edge[x] : edge[x + 1]] for x in order]
@@ -290,9 +338,12 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
         return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
     batch = max(1, min(WALKERS, WALK_CELLS // width))
-    for at in range(0, n, batch):
+    at = 0
+    while at < n:
         # The batch's sets walk together; a step is a set at a node, with the overlap on the way there.
-        i = np.arange(at, min(n, at + batch))
+        # Batches grow, since what the first sets link is left by the later ones.
+        i = np.arange(at, min(n, at + min(batch, 1 + at // 4)))
+        at += len(i)
         own = np.array([find(x) for x in order])
         change = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, n)
         whole = np.where(change[np.minimum(np.searchsorted(change, lo, "right"), len(change) - 1)] >= hi, own[lo], -1)
@@ -327,13 +378,12 @@ def trie_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_rows: int = 4_000, block_shingles: int = 1_500_000) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_rows: int = 600, block_shingles: int = 400_000) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
-    buckets, bands, low = 2 * buckets_for(docs), size_bands(percent), link_bands(percent)
+    buckets, bands, low = 2 * ranges_for(docs), size_bands(percent), link_bands(percent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -378,44 +428,66 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
     edges = made.where("blob is not null and bucket is null").select("blob").mapInArrow(local, "a long, b long").unionByName(
         made.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(meet, "a long, b long"))
     blocks = components(edges).withColumnRenamed("id", "node").withColumnRenamed("component", "block")
-    classes = written(members.groupBy("node", "other", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
+    numbered = members.groupBy("node", "other", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = written(numbered.withColumn("class", F.monotonically_increasing_id()), "classes")
     inside = classes.where("n > 0").join(blocks, "node")
     sizes = inside.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    inside = inside.join(sizes, "block").withColumn("parts", F.greatest(F.ceil(F.col("rows") / F.lit(block_rows)), F.ceil(F.col("shingles") / F.lit(block_shingles))).cast("int"))
-    part = F.pmod(F.xxhash64("node", "other"), F.col("parts")).cast("int")
-    meets = F.when(F.col("parts") == 1, F.array(F.lit("0"))).otherwise(F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part))))
-    wanted = written(inside.select("doc_id", "node", "other", "block", "parts", F.explode(meets).alias("meet")), "wanted").where("parts > 0")
-    filter_by_bloom(spark)
+    many = lambda rows, shingles: F.greatest(F.ceil(F.col(rows) / F.lit(block_rows)), F.ceil(F.col(shingles) / F.lit(block_shingles))).cast("int")
+    inside = written(salted_join(inside, sizes, ["block"]).withColumn("parts", many("rows", "shingles")).select(
+        "doc_id", "node", "class", "n", "block", "parts", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")), "inside")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    texts = keyed.join(wanted, "doc_id").select("block", "meet", "node", "other", "text")
 
     def join(table: pd.DataFrame) -> pd.DataFrame:
         rolling, sets, keys = Rolling(), [], []
         raw = [(t or "").encode() for t in table.pop("text")]
-        at = 0
+        at, nodes = 0, table["node"].to_numpy()
         for _, group in pieces_of(raw):
             value, edge = shingle_sets(group, size, rolling)
             node = set_prints(value, edge)[0].view(np.int64)
-            for k in range(len(group)):
-                if node[k] == table["node"].iloc[at + k]:  # a repeated doc_id may bring another text
-                    keys.append(at + k)
-                    sets.append(value[edge[k] : edge[k + 1]])
+            for k in np.flatnonzero(node == nodes[at : at + len(group)]).tolist():  # a repeated doc_id may bring another text
+                keys.append(at + k)
+                sets.append(value[edge[k] : edge[k + 1]])
             at += len(group)
         if len(sets) < 2:
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        if not names_hold([raw[k] for k in keys], size, rolling):
+            sets = plain_sets([raw[k] for k in keys], size)
         del raw
         names = np.unique(np.concatenate(sets))
         rank = np.empty(len(names), np.uint32)
         rank[np.lexsort((names, -counts.value[(names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)))] = np.arange(len(names))
-        got = trie_links([np.sort(rank[np.searchsorted(names, s)]) for s in sets], percent)
+        got = trie_links([np.sort(rank[np.searchsorted(names, s)]) for s in sets], percent, table["known"].to_numpy()[keys])
         ids = table["class"].to_numpy()[keys]
         return pd.DataFrame({"a": ids, "b": ids[got]})
 
-    named = texts.withColumn("class", F.xxhash64("node", "other"))
-    links = named.groupBy("block", "meet").applyInPandas(join, "a long, b long").where("a != b")
+    def compared(wanted: DataFrame) -> DataFrame:
+        """Components of the links of ``wanted`` (doc_id, node, class, known, block, meet): classes that meet in a task."""
+        texts = keyed.join(written(wanted, "wanted").where("class is not null"), "doc_id").select("block", "meet", "node", "class", "known", "text")
+        with settings(spark, BLOOM):
+            return written(texts.groupBy("block", "meet").applyInPandas(join, "a long, b long").where("a != b"), "links")
+
+    draw = F.xxhash64("class", F.lit(7))
+    chosen = inside.where("parts > 1").groupBy("block", F.pmod(draw, F.lit(REPRESENTATIVES)).alias("k")).agg(F.min_by(F.struct("doc_id", "node", "class", "parts", "part"), draw).alias("r"))
+    spread = chosen.select("block", "r.*").withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("meet != part")
+    columns = ["doc_id", "node", "class", F.col("class").alias("known"), "block", F.col("meet").cast("string").alias("meet")]
+    links = compared(inside.withColumn("meet", F.col("part")).select(*columns).unionByName(spread.select(*columns)))
+
+    # Of split blocks: what is outside the largest component, against all.
+    state = inside.where("parts > 1").join(components(links).withColumnRenamed("id", "class"), "class", "left").withColumn("known", F.coalesce("component", "class"))
+    state = written(state.drop("component", "part", "parts"), "state")
+    main = state.groupBy("block", "known").agg(F.count("*").alias("rows")).groupBy("block").agg(F.max_by("known", "rows").alias("main"))
+    state = state.join(main, "block").withColumn("loose", F.col("known") != F.col("main"))
+    half = state.groupBy("block", "loose").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("parts", F.ceil(many("rows", "shingles") * 2).cast("int"))
+    parts = written(half.groupBy("block").agg(F.max(F.when(F.col("loose"), F.col("parts"))).alias("few"), F.coalesce(F.max(F.when(~F.col("loose"), F.col("parts"))), F.lit(0)).alias("rest")).where("few > 0"), "parts")
+    if not parts.isEmpty():
+        own = F.pmod(F.xxhash64("class"), F.when(F.col("loose"), F.col("few")).otherwise(F.col("rest"))).cast("int")
+        to = lambda n: F.sequence(F.lit(0), n - 1)
+        with_loose = F.transform(to(F.col("few")), lambda k: F.concat_ws("-", F.least(k, own), F.greatest(k, own)))
+        with_rest = F.when(F.col("rest") > 0, F.transform(to(F.greatest(F.col("rest"), F.lit(1))), lambda k: F.concat_ws("+", own, k))).otherwise(F.array().cast("array<string>"))
+        meets = F.when(F.col("loose"), F.concat(with_loose, with_rest)).otherwise(F.transform(to(F.col("few")), lambda k: F.concat_ws("+", k, own)))
+        links = links.unionByName(compared(salted_join(state, parts, ["block"]).select("doc_id", "node", "class", "known", "block", F.explode(meets).alias("meet"))))
     joined = components(links)
-    classes = classes.withColumn("class", F.xxhash64("node", "other")).join(joined.withColumnRenamed("id", "class"), "class", "left")
+    classes = classes.join(joined.withColumnRenamed("id", "class"), "class", "left")
     classes = classes.withColumn("component", F.coalesce("component", "class"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = written(salted_join(classes.select("node", "other", "component"), least, ["component"]).select("node", "other", "component_id"), "components")
