@@ -2,13 +2,17 @@
 
 Folding lower-cases, maps homoglyphs and digit substitutions to the letters they stand for,
 drops zero-width characters and turns all else into single spaces. The lexicon holds whole
-words and word beginnings whose log-odds for toxic documents are high; exception phrases are
-a term with a neighbour, or terms given by the caller, that occur in clean documents only.
+words whose log-odds for toxic documents are high and whose likelihood ratio passes a Bonferroni bound
+over all words tested, so few labels give few terms but no chance ones; a beginning of four to seven
+letters joins it only if it is in clearly more toxic documents than any one of its words. Exception
+phrases are a term with a neighbour, or phrases given by the caller, that occur in clean documents only.
 A document's evidence is the weight of its hits outside exception phrases, per length. A
 logistic curve over that density and over having any hit gives the score.
 
 Labels are learned from a sample of at most about ``train_rows`` labelled rows, drawn by
-doc_id; everything else covers whole texts. Null and empty texts have no hits.
+doc_id (of repeated labels the greatest counts); what they teach has no other limit, and everything
+else covers whole texts. Null and empty texts have no hits and get the curve's lowest score; repeated rows
+each get their result.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, written
+from .common import crc_mod, written
 from .mixing import draw
 
 #: Letters that look like Latin ones (fixed values).
@@ -33,7 +38,9 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝвкмнтαεορτυνικ
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | dict.fromkeys("​‌‍⁠﻿­", ""))
 GAP = re.compile(r"[\W_]+")
-TRAIN_ROWS, TERMS, LEAST_DOCS, LEAST_ODDS = 12_000, 5_000, 4, 3.0
+TRAIN_ROWS, LEAST_ODDS, CHANCE, MORE = 12_000, 2.0, 0.05, 1.25
+#: Clean documents that an exception phrase needs.
+LEAST_CLEAN = 3
 
 
 def fold(text: str | None) -> str:
@@ -42,14 +49,40 @@ def fold(text: str | None) -> str:
 
 
 def features(folded: str) -> set[str]:
-    """Words with both spaces, beginnings of three to seven letters with the one before."""
+    """Words with both spaces, beginnings of four to seven letters with the one before."""
     out = set()
     for w in set(folded.split()):
         out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(3, min(len(w), 8)))
+        out.update(f" {w[:k]}" for k in range(4, min(len(w), 8)))
     return out
 
 
+def likelihood_ratio(toxic: int, clean: int, bad: int, good: int) -> float:
+    """ln of how much likelier the counts are with a rate for each label than with one rate."""
+    def ln(k: int, n: int, p: float) -> float:
+        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
+
+    p = (toxic + clean) / (bad + good)
+    return ln(toxic, bad, toxic / bad) + ln(clean, good, clean / good) - ln(toxic, bad, p) - ln(clean, good, p)
+
+
+def lexicon(rows: list[tuple[str, int, int]], tested: int, bad: int, good: int) -> dict[str, float]:
+    """Terms with weights, of (term, toxic, clean) documents."""
+    bound = math.log(max(1, tested) / CHANCE)
+    odds = {t: math.log((x + 0.5) / (bad + 1)) - math.log((c + 0.5) / (good + 1)) for t, x, c in rows}
+    sure = [(t, x) for t, x, c in rows if odds[t] >= LEAST_ODDS and bad and good and likelihood_ratio(x, c, bad, good) >= bound]
+    terms = {t: odds[t] for t, _ in sure if t.endswith(" ")}
+    most: dict[str, int] = {}
+    for t, x in sure:
+        if t.endswith(" "):
+            for k in range(5, len(t) - 1):
+                most[t[:k]] = max(x, most.get(t[:k], 0))
+    for t, x in sorted(sure):
+        if not t.endswith(" ") and x > MORE * most.get(t, 0) and not any(t[:k] in terms for k in range(5, len(t))):
+            terms[t] = odds[t]
+    return terms
+
+
 def machine(terms: dict[str, float], exceptions: list[str]) -> ahocorasick.Automaton | None:
     found = ahocorasick.Automaton()
     for t, w in terms.items():
@@ -65,20 +98,23 @@ def machine(terms: dict[str, float], exceptions: list[str]) -> ahocorasick.Autom
 def hits(folded: str, found: ahocorasick.Automaton | None) -> list[tuple[int, int, float]]:
     """(start, end, weight) outside exception phrases, one (the heaviest) for each word."""
     all_ = [(end + 1 - size, end + 1, w) for end, (size, w) in found.iter(folded)] if found else []
-    spared = [(s, e) for s, e, w in all_ if w is None]
     best: dict[int, tuple[int, int, float]] = {}
-    for s, e, w in all_:
-        if w is not None and w > best.get(s, (0, 0, 0.0))[2] and not any(a <= s and e <= b for a, b in spared):
+    reach = -1  # of the exception phrases that begin here or before
+    for s, e, w in sorted(all_, key=lambda h: (h[0], h[2] is not None)):
+        if w is None:
+            reach = max(reach, e)
+        elif e > reach and w > best.get(s, (0, 0, 0.0))[2]:
             best[s] = (s, e, w)
-    return sorted(best.values())
+    return list(best.values())
 
 
-def evidence(text: str | None, found: ahocorasick.Automaton | None) -> tuple[float, float, int]:
-    """Having a hit, hit weight per length, words."""
+def evidence(text: str | None, found: ahocorasick.Automaton | None) -> tuple[float, float, int, list[tuple[int, int]]]:
+    """Having a hit, hit weight per length, words, spans of hits in folded text."""
     folded = fold(text)
-    n = folded.count(" ") - 1
-    total = sum(w for _, _, w in hits(folded, found))
-    return float(total > 0), math.log1p(100 * total / (n + 50)), n
+    n = len(folded.split())
+    got = hits(folded, found)
+    total = sum(w for _, _, w in got)
+    return float(total > 0), math.log1p(100 * total / (n + 50)), n, [(s, e) for s, e, _ in got]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -104,13 +140,12 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     def totals(of) -> DataFrame:
         return sample.mapInArrow(lambda it: tally(it, of), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
-    odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    rows = totals(features).where(F.col("toxic") >= LEAST_DOCS).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).orderBy(
-        F.col("w").desc(), "term").limit(TERMS).collect()
-    terms: dict[str, float] = {}
-    for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
-        if not any(terms.get(r["term"][:k], 0) >= 0.8 * r["w"] for k in range(4, len(r["term"]))):
-            terms[r["term"]] = float(r["w"])
+    counted = written(totals(features), "terms")
+    # less than a term can't reach the bound with: a word in k toxic documents has at most k * ln(1 + good / bad)
+    tested = counted.where(F.col("term").endswith(" ")).count()
+    least = math.log(max(1, tested) / CHANCE) / max(1e-9, math.log(1 + good / max(1, bad)) + 1)
+    rows = counted.where((F.col("toxic") >= least) & (F.col("toxic") * (good + 1) > F.col("clean") * (bad + 1))).collect()  # of a bounded sample
+    terms = lexicon([(r["term"], r["toxic"], r["clean"]) for r in rows], tested, bad, good)
     plain = machine(terms, [])
 
     def around(folded: str) -> set[str]:
@@ -122,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
             out.add(folded[s : after + 1] if after > 0 else "")
         return {x for x in out if x.count(" ") == 3}
 
-    spared = [r["term"] for r in totals(around).where("toxic = 0 and clean >= 3").orderBy(F.col("clean").desc(), "term").limit(TERMS).collect()]
+    spared = [r["term"] for r in totals(around).where((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN)).orderBy("term").collect()]
     model = {"terms": terms, "exceptions": [*spared, *(fold(x) for x in exceptions)]}
     model["curve"] = fit(np.array([[r[0], r[1], r[2]] for r in sample.mapInArrow(_evidence(model), "any double, density double, toxic double").collect()]).reshape(-1, 3))
     return model
@@ -148,30 +183,33 @@ def fit(rows: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> list[float]:
     return w.tolist()
 
 
-def score(docs: DataFrame, model: dict, cut: float = 0.3) -> DataFrame:
-    """``docs`` with score, predicted, n_words and spans (start and end in folded text)."""
-    small_batches(docs.sparkSession)
+def score(docs: DataFrame, model: dict, cut: float = 0.3, name: str = "toxicity") -> DataFrame:
+    """``docs`` and, last, a struct of score, predicted, n_words and spans (start and end in folded text); it is
+    called ``name``, with underscores after it where ``docs`` has that name."""
     columns = docs.columns
-    given = docs.withColumn("_text", F.col("text").cast("string"))
+    while name in columns:
+        name += "_"
+    given = docs.select("*", F.col("text").cast("string").alias(f"{name}_text"))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = machine(model["terms"], model["exceptions"])
         a, b, c = model["curve"]
         for batch in batches:
-            got = [evidence(t, found) for t in batch.column(len(columns)).to_pylist()]
-            p = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * any_ + c * dense)))) for any_, dense, _ in got]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(p, pa.float64()), pa.array([int(x >= cut) for x in p], pa.int32()), pa.array([g[2] for g in got], pa.int64())],
-                names=[*columns, "_score", "_predicted", "_words"])
-
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
+            got = [evidence(t.as_py(), found) for t in batch.column(len(columns))]
+            p = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * any_ + c * dense)))) for any_, dense, _, _ in got]
+            out = pa.StructArray.from_arrays(
+                [pa.array(p, pa.float64()), pa.array([int(x >= cut) for x in p], pa.int32()), pa.array([g[2] for g in got], pa.int64()),
+                 pa.array([[{"start": s, "end": e} for s, e in g[3]] for g in got], span)], ["score", "predicted", "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*columns, name])
 
-    schema = StructType([*docs.schema.fields]).add("_score", DoubleType()).add("_predicted", IntegerType()).add("_words", LongType())
-    return given.mapInArrow(run, schema)
+    made = T.StructType().add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("n_words", T.LongType()).add(
+        "spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
+    return given.mapInArrow(run, T.StructType([*docs.schema.fields]).add(name, made))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
-    return score(docs, model).select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "toxicity.score", "toxicity.predicted")
