@@ -1,17 +1,20 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Pattern kinds are ``assign``, ``access`` and ``hex``. Beside them, every run of 20 or more
-token characters that holds a digit is a candidate. Its encoding is inferred (decimal, hex,
-base32, base36, base62, base64), its characters become numbers of that alphabet, and three tests
-ask whether these look drawn at random: chi-squared for uniformity (Wilson-Hilferty), runs
-about the middle of the alphabet and serial correlation. Fisher's method joins the p-values.
-
-What is not random has small p. Candidates are banded by length, since long strings give the tests
-more power; in each band the Benjamini-Hochberg procedure (level ``fdr``) over all documents
-decides which are structured text, and those left are secrets of kind ``random``. A band's
-level is reached through a histogram of p, of fixed size, so no ranking of candidates is needed.
-
-Null texts are empty and have no spans. Spans are in code points, ends exclusive.
+token characters is a candidate. Its encoding is inferred (decimal, hex, letters of one case, base32,
+base36, letters, base62, base64), its characters become numbers of that alphabet, and three tests
+ask whether these look drawn at random: chi-squared for uniformity (Wilson-Hilferty; of single characters and of
+the alphabet's quarters), runs about the middle of the alphabet and serial correlation. Fisher's method joins them.
+
+Long strings give the tests more power, so candidates are banded by length. What must not be called a
+secret is ordinary text, so in each band the null distribution of the joint value is that of ordinary text of
+such a length, read in such an encoding: from every document one stretch of its own letters, candidates left
+out, and windows of a plain paragraph besides, for small inputs. A candidate's p-value is the share of ordinary text that looks as
+random; Benjamini-Hochberg (level ``fdr``) over all documents bounds the share of ordinary text among the
+spans of kind ``random``. Both distributions are histograms of fixed size, so nothing is ranked row by row.
+
+Null texts are empty and have no spans; repeated rows each get theirs, told apart by a row number. Spans are in
+code points, ends exclusive. Very long texts are matched whole.
 """
 
 from __future__ import annotations
@@ -30,16 +33,25 @@ KINDS = ["assign", "access", "hex", "random"]
 #: Alphabets (fixed values), the first that fits is taken.
 ALPHABETS = {
     "decimal": "0123456789",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 BINS, BANDS, LEVELS = 200, 12, (1.5, 0.1)
+#: Ordinary text for inputs that have little of their own.
+PLAIN = (
+    "the keeper of the small harbour wrote down every ship that came in and every barrel that was carried ashore because his father had done the same before him "
+    "when the winter storms kept the boats away he read the old books again and found that the price of salt had changed far less than the names of the people who sold it "
+    "some of the pages were missing and others had been damaged by water but most of what remained could still be copied by anyone with patience and a good lamp"
+)
 
 
 def parts(text: Column, kind: int, pattern: str) -> Column:
@@ -69,24 +81,39 @@ def log_tail(z: Column) -> Column:
     return -z * z / 2 + F.log(series / 2.5066282746310002)
 
 
-def battery(value: Column) -> Column:
-    """(encoding, n, log_p) of a candidate; log_p is ln of the joint p-value of the tests."""
+def battery(value: Column, given: Column) -> Column:
+    """(encoding, its size, length, numbers) of a candidate; ``given``: an encoding that is known."""
     body = F.regexp_replace(value, "=+$", "")
-    fits = F.coalesce(*[F.when(body.rlike("^[" + a.replace("-", r"\-") + "]+$"), F.lit(name)) for name, a in ALPHABETS.items()], F.lit("base64"))
+    fits = F.coalesce(given, *[F.when(body.rlike("^[" + a.replace("-", r"\-") + "]+$"), F.lit(name)) for name, a in ALPHABETS.items()], F.lit("base64"))
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), fits)
     return F.struct(fits.alias("encoding"), F.length(body).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"),
                     F.transform(F.split(body, ""), lambda c: F.greatest(F.instr(alphabet, c) - 1, F.lit(0)).cast("double")).alias("x"))
 
 
+#: Encodings whose candidates are compared with the same ordinary text, which is read in the last one of each.
+ORDINARY = [["upper", "lower"], ["letters"], [*ALPHABETS]]
+
+
+def kin(encoding: Column) -> Column:
+    return F.when(encoding.isin(ORDINARY[0]), 0).when(encoding.isin(ORDINARY[1]), 1).otherwise(2)
+
+
 def tested(candidates: DataFrame) -> DataFrame:
-    """Adds encoding, band and log_p."""
-    c = candidates.withColumn("b", battery(F.col("value"))).select("*", "b.*").drop("b")
+    """Adds encoding, kin (of encodings), band and log_p, the ln of the joint p-value; an encoding that rows have is kept."""
+    given = F.col("encoding") if "encoding" in candidates.columns else F.lit(None).cast("string")
+    c = candidates.withColumn("b", battery(F.col("value"), given)).drop("encoding").select("*", "b.*").drop("b").withColumn("kin", kin(F.col("encoding")))
     n, k, x = F.col("n"), F.col("k"), F.col("x")
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
     squares = total(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0))))
     c = c.withColumn("chi", squares * k / n - n).withColumn("mean", total(x) / n).withColumn("pairs", F.arrays_zip(F.slice(x, 1, F.size(x) - 1).alias("u"), F.slice(x, 2, F.size(x)).alias("v")))
     chi, df = F.col("chi"), k - 1
-    z1 = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    within = lambda c: F.size(F.filter(x, lambda v: (v * 4 >= c * k) & (v * 4 < (c + 1) * k))).cast("double")
+    quarter = [within(c) for c in range(4)]
+    share = [(F.ceil((c + 1) * k / 4) - F.ceil(c * k / 4)) / k * n for c in range(4)]
+    coarse = sum(((o - e) * (o - e) / e for o, e in zip(quarter, share, strict=True)), F.lit(0.0))
+    wilson = lambda chi, df: (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    z1 = wilson(chi, df)
+    z0 = wilson(coarse, F.lit(3.0))
     half = (k - 1) / 2
     ups = F.size(F.filter(x, lambda v: v > half)).cast("double")
     downs = n - ups
@@ -99,31 +126,53 @@ def tested(candidates: DataFrame) -> DataFrame:
     z3 = F.abs(serial + 1 / (n - 1)) * F.sqrt(n)
     clip = lambda z: F.least(F.greatest(z, F.lit(0.0)), F.lit(30.0))
     two = F.log(F.lit(2.0))
-    fisher = -(F.when(z1 > 0, log_tail(clip(z1))).otherwise(-two) + F.least(log_tail(clip(z2)) + two, F.lit(0.0)) + F.least(log_tail(clip(z3)) + two, F.lit(0.0)))
-    log_p = -fisher + F.log(1 + fisher + fisher * fisher / 2)  # chi-squared tail with six degrees of freedom
+    one = lambda z: F.when(z > 0, log_tail(clip(z))).otherwise(-two)
+    c = c.withColumns({"z0": z0, "z1": z1, "z2": z2, "z3": z3})
+    sides = F.least(log_tail(clip(F.col("z2"))) + two, F.lit(0.0)) + F.least(log_tail(clip(F.col("z3"))) + two, F.lit(0.0))
+    c = c.withColumn("fisher", -(one(F.col("z0")) + one(F.col("z1")) + sides))
+    f = F.col("fisher")
+    log_p = -f + F.log(1 + f + f * f / 2 + f * f * f / 6)  # chi-squared tail with eight degrees of freedom
     band = F.least(F.floor(F.log(n / 20) / F.log(F.lit(LEVELS[0]))), F.lit(BANDS - 1)).cast("int")
-    return c.withColumn("log_p", log_p).withColumn("band", band).withColumn("bin", F.least(F.floor(-F.col("log_p") / LEVELS[1]), F.lit(BINS - 1)).cast("int")).drop("x", "pairs", "chi", "mean")
+    return c.withColumn("log_p", log_p).withColumn("band", band).withColumn("bin", F.least(F.floor(-F.col("log_p") / LEVELS[1]), F.lit(BINS - 1)).cast("int")).drop("x", "pairs", "chi", "mean", "z0", "z1", "z2", "z3", "fisher")
 
 
-def structured_bins(found: DataFrame, fdr: float) -> dict[int, int]:
-    """For each band, the first bin (of falling p) that Benjamini-Hochberg rejects: BANDS numbers."""
-    counts = found.groupBy("band", "bin").agg(F.count("*").alias("n"))
-    all_ = Window.partitionBy("band")
-    up = all_.orderBy(F.col("bin").desc())
-    ranked = counts.withColumn("rank", F.sum("n").over(up)).withColumn("m", F.sum("n").over(all_))
-    ok = F.exp(-F.col("bin") * LEVELS[1]) <= fdr * F.col("rank") / F.col("m")
-    return {r["band"]: r["cut"] for r in ranked.where(ok).groupBy("band").agg(F.min("bin").alias("cut")).collect()}
+def ordinary(docs: DataFrame, places: list[tuple[int, int]]) -> DataFrame:
+    """(value, encoding): a stretch of each document's letters for one of ``places`` (band, kin of encodings), as long as
+    its candidates and read in its encoding, and windows of PLAIN."""
+    length = F.element_at(F.array(*[F.lit(int(20 * LEVELS[0] ** (b + 0.4))) for b, _ in places]), F.col("pick") + 1)
+    encoding = F.element_at(F.array(*[F.lit(("lower", "letters", "base36")[k]) for _, k in places]), F.col("pick") + 1)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    letters = F.lower(F.regexp_replace(F.regexp_replace(text, CANDIDATE, " "), "[^A-Za-z]+", ""))
+    own = docs.select(letters.alias("letters"), F.pmod(F.xxhash64("text"), F.lit(len(places))).cast("int").alias("pick"))
+    plain = PLAIN.replace(" ", "")
+    more = docs.sparkSession.range(len(plain) * len(places)).select(
+        F.substring(F.lit(plain * 12), (F.col("id") % len(plain) + 1).cast("int"), F.lit(len(plain) * 10)).alias("letters"), F.floor(F.col("id") / len(plain)).cast("int").alias("pick"))
+    both = own.unionByName(more).withColumn("n", length).withColumn("encoding", encoding).where(F.length("letters") >= F.col("n"))
+    at = F.pmod(F.xxhash64("letters"), F.length("letters") - F.col("n") + 1).cast("int")
+    return both.select(F.substring("letters", at + 1, F.col("n")).alias("value"), "encoding")
+
+
+def random_bins(found: DataFrame, null: DataFrame, fdr: float) -> list[tuple[int, int, int]]:
+    """(band, kin, last bin, of falling p, whose candidates Benjamini-Hochberg calls random): three for each band at most."""
+    count = lambda df, name: df.groupBy("band", "kin", "bin").agg(F.count("*").alias(name))
+    both = count(found, "n").join(count(null, "k"), ["band", "kin", "bin"], "full").fillna(0, ["n", "k"])
+    all_ = Window.partitionBy("band", "kin")
+    up = all_.orderBy("bin")
+    ranked = both.select("band", "kin", "bin", F.sum("n").over(up).alias("rank"), F.sum("n").over(all_).alias("m"), F.sum("k").over(up).alias("as_random"), F.sum("k").over(all_).alias("nulls"))
+    ok = (F.col("rank") > 0) & ((F.col("as_random") + 1) / (F.col("nulls") + 1) <= fdr * F.col("rank") / F.col("m"))
+    return [tuple(r) for r in ranked.where(ok).groupBy("band", "kin").agg(F.max("bin").alias("cut")).collect()]
 
 
 def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """For each document: doc_id and ``found``, its sorted spans (start, kind, end, value)."""
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     both = written(matches(docs), "matches")
     base = both.where("kind is null or kind < 3").where((F.coalesce("kind", F.lit(1)) != 0) | (F.length(F.regexp_extract("value", ASSIGN, 2)) >= 6))
-    candidates = both.where("kind = 3").where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
-    found = written(tested(candidates), "tested")
-    cuts = structured_bins(found, fdr)
-    cut = F.coalesce(*[F.when(F.col("band") == b, F.lit(c)) for b, c in cuts.items()], F.lit(BINS))
-    kept = found.where(F.col("bin") < cut).select(base.columns)
+    found = written(tested(both.where("kind = 3")), "tested")
+    places = sorted((r[0], r[1]) for r in found.select("band", "kin").distinct().collect())
+    cuts = random_bins(found, tested(ordinary(docs, places)), fdr) if places else []
+    cut = F.coalesce(*[F.when((F.col("band") == b) & (F.col("kin") == k), F.lit(c)) for b, k, c in cuts], F.lit(-1))
+    kept = found.where(F.col("bin") <= cut).select(base.columns)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end", "value"))
     return base.unionByName(kept).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("found")).drop("row")
 
