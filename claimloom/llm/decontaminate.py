@@ -5,9 +5,13 @@ shingles. All of a window's shingles must occur, so one of them suffices as its
 rarest over all documents. Documents are joined on that shingle alone; position and length
 bounds place the window, and its words are compared exactly.
 
-The shingle table is broadcast while it has at most ``BROADCAST_ROWS`` rows; beyond, the join is
-a sort-merge join on the shingle. Null texts have no words; items without words are left out;
-repeated rows each get their result.
+Documents are cut into chunks of ``CHUNK`` words, with enough words beside each that every window is whole in
+the chunk of its prefix, so work and memory are linear in a text's length, however long it is.
+
+The shingle table is broadcast while it has at most ``BROADCAST_ROWS`` rows; beyond, chunks are written and
+only (shingle, row, place) are shuffled to a sort-merge join, in which common shingles are salted; what it
+finds is joined back to the chunks and verified there. Null texts have no words; items without words are
+left out; repeated rows each get their result.
 """
 
 from __future__ import annotations
@@ -15,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, written
+from .common import LOWER, UPPER, ascii_lower, salted_join, written
 
 #: About 50 bytes each.
 BROADCAST_ROWS = 1_000_000
+CHUNK = 128
 #: Characters between words (fixed values).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,6 +43,16 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return ws.select("item_id", "ws", F.explode(starts).alias("s")).select("item_id", F.slice("ws", F.col("s"), F.lit(width)).alias("win")).distinct()
 
 
+def chunks(docs: DataFrame, width: int) -> DataFrame:
+    """(row, doc_id, n_words, c, base, ws): the words of chunk c and ``width`` on either side, from word ``base`` on."""
+    n = F.size("ws")
+    base = lambda c: F.greatest(c * CHUNK - width, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / CHUNK).cast("int") - 1, F.lit(0))), lambda c: F.struct(
+        c.alias("c"), base(c).alias("base"), F.slice("ws", base(c) + 1, CHUNK + 2 * width).alias("part")))
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
+    return texts.select("row", "doc_id", n.alias("n_words"), F.inline(parts)).withColumnRenamed("part", "ws")
+
+
 def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, size: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Documents (row, doc_id, n_words, found: array of (start, end, win_id)) and (win_id, item_id)."""
     owners = written(item_windows(items, width).withColumn("win_id", F.xxhash64("win")), "windows")
@@ -47,37 +62,38 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, size: int =
     small = [r[0] for r in each.where(F.col("n") < size).select("n").distinct().collect()]  # below ``size`` of them
     light = each.count() <= broadcast_rows
     near = (lambda df: F.broadcast(df)) if light else (lambda df: df.hint("merge"))
-    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
+    parts = chunks(docs, width) if light else written(chunks(docs, width), "chunks")
     sizes = [size, *small]
 
     def tokens(df: DataFrame, first: int) -> DataFrame:
-        """A row for each place of each document; place -1, if asked for, has token 0."""
-        n = F.size("ws")
-        placed = df.withColumn("n_words", n).withColumn("at", F.explode(F.sequence(F.lit(first), F.greatest(n - 1, F.lit(first)))))
-        made = [F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(shingle(F.col("ws"), F.col("at"), k)) for k in sizes]
-        if len(made) == 1:
-            return placed.withColumn("token", made[0])
-        return placed.withColumn("token", F.explode(F.array_distinct(F.array(*made))))
+        """A row for each place of each chunk; place -1 of a document, if asked for, has token 0."""
+        begin = F.when((F.col("c") == 0) & F.lit(first < 0), F.lit(-1)).otherwise((F.col("c") * CHUNK).cast("int"))
+        end = F.least(F.col("c") * CHUNK + CHUNK, F.col("n_words")).cast("int") - 1
+        places = F.when(end >= begin, F.sequence(begin, F.greatest(end, begin))).otherwise(F.array().cast("array<int>"))
+        of = lambda at, k: F.when(at < 0, F.lit(0).cast("long")).otherwise(shingle(F.col("ws"), at - F.col("base"), k))
+        made = F.transform(places, lambda at: F.struct(at.alias("at"), F.array_distinct(F.array(*[of(at, k) for k in sizes])).alias("tokens")))
+        return df.select("*", F.inline(made)).withColumn("token", F.explode("tokens")).drop("tokens")
 
     wanted = each.select("token").distinct()
-    counts = tokens(texts.select("ws"), 0).select("token").join(near(wanted), "token").groupBy("token").agg(F.count("*").alias("df"))
+    counts = tokens(parts, 0).select("token").join(near(wanted), "token").groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(counts, "token", "left").groupBy("win_id", "win", "n").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"), F.col("off"))).alias("rare"), F.count("*").alias("shingles"))
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"), F.col("off"))).alias("rare"))
     prefix = ranked.select(F.col("rare.token").alias("token"), "win_id", "win", "n", F.col("rare.off").alias("off"), F.col("rare.df").alias("df")).where("df > 0").drop("df")
+    start = F.col("at") - F.col("off")
     if light:  # every document meets the row of token 0 once, so that one pass over the texts is enough
         blank = docs.sparkSession.range(1).select(
             F.lit(0).cast("long").alias("token"), F.lit(None).cast("long").alias("win_id"), F.lit(None).cast("array<string>").alias("win"), F.lit(0).alias("n"), F.lit(0).alias("off"))
-        prefix = written(prefix.unionByName(blank), "prefix")
-        met = tokens(texts, -1).join(F.broadcast(prefix), "token")
+        met = tokens(parts, -1).join(F.broadcast(written(prefix.unionByName(blank), "prefix")), "token").withColumn("start", start)
     else:
-        met = tokens(texts, 0).join(written(prefix, "prefix").hint("merge"), "token")
-    start = F.col("at") - F.col("off")
-    whole = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.slice("ws", F.when(start >= 0, start + 1).otherwise(1), F.col("n")) == F.col("win"))
+        prefix = written(prefix, "prefix")
+        found = salted_join(tokens(parts, 0).select("row", "c", "at", "token"), prefix.drop("win"), ["token"]).select("row", "c", "win_id", "n", start.alias("start"))
+        met = parts.join(found.hint("merge"), ["row", "c"]).join(prefix.select("win_id", "win").hint("merge"), "win_id")
+    inner = F.col("start") - F.col("base")
+    whole = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")) & (F.slice("ws", F.greatest(inner + 1, F.lit(1)), F.col("n")) == F.col("win"))
     met = met.where(F.col("win_id").isNull() | whole).select("row", "doc_id", "n_words", F.when(
-        F.col("win_id").isNotNull(), F.struct(start.alias("start"), (start + F.col("n")).alias("end"), F.col("win_id"))).alias("hit"))
+        F.col("win_id").isNotNull(), F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("end"), F.col("win_id"))).alias("hit"))
     if not light:
-        rest = texts.select("row", "doc_id", F.size("ws").alias("n_words"), F.lit(None).cast(met.schema["hit"].dataType).alias("hit"))
-        met = met.unionByName(rest)
+        met = met.unionByName(parts.where("c = 0").select("row", "doc_id", "n_words", F.lit(None).cast(met.schema["hit"].dataType).alias("hit")))
     found = met.groupBy("row", "doc_id", "n_words").agg(F.collect_set("hit").alias("found"))
     return written(found, "found"), owners.select("win_id", "item_id").distinct()
 
