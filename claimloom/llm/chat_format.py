@@ -6,7 +6,8 @@ question and whether the line before is blank; features are independent given th
 Probabilities are counted, smoothed, on transcripts whose roles are known; Viterbi gives
 the likeliest path, and each turn is rendered in one canonical form, without its marker.
 
-Null and empty transcripts have no turns and render as an empty text. Turns that repeat an index
+Rendering escapes marks inside turns, and ``parse`` reads it back. Null and empty transcripts have no turns and
+render as an empty text. A transcript is tagged whole, in memory that grows with its number of lines. Turns that repeat an index
 stay, in the order of (turn, role, text); null roles are taken as user, null texts as empty.
 """
 
@@ -127,8 +128,18 @@ def turns_of(transcript: str | None, tagger: Tagger) -> list[tuple[str, str]]:
     return [(r, "\n".join(x).strip()) for r, x in out]
 
 
+def escaped(text: str) -> str:
+    """With one more backslash in what could be a mark, so that no text can forge a turn."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in turns)
+    return "".join(f"<|{r}|>\n{escaped(t)}\n<|end|>\n" for r, t in turns)
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """The turns that ``render`` wrote."""
+    return [(m[1], re.sub(r"<(\\*)\\\|", r"<\1|", m[2])) for m in re.finditer(r"(?s)<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", rendered)]
 
 
 def gathered(conversations: DataFrame) -> DataFrame:

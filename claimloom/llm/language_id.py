@@ -6,7 +6,8 @@ separate the families; within a family another set separates its languages.
 
 The classifiers are fitted on at most ``TRAIN_ROWS`` labelled rows, shared out evenly among
 languages and drawn by doc_id. Null texts and texts without a letter are ``und`` with score 0;
-with one language it is the answer.
+with one language it is the answer, with none ``und``. Repeated rows each get their result; very long texts are
+read in parts of half a megabyte.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod
 from .mixing import draw
 
 #: Families of common languages (fixed values); any other language is a family of its own.
@@ -58,6 +59,19 @@ def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([a[same], b[same]], 1).astype(np.int32), np.bincount(own[:-2][same], minlength=len(texts))
 
 
+def parts_of(text: bytes) -> Iterator[list[bytes]]:
+    """A long text in parts of PIECE bytes that end at a space where there is one, which a string of three bytes doesn't cross."""
+    at = 0
+    while at < len(text) or not at:
+        to = min(len(text), at + PIECE)
+        if to < len(text):
+            to = max(text.rfind(b" ", at + 1, to) + 1, 0) or to
+        yield [text[at:to]]
+        if to >= len(text):
+            return
+        at = to
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 5.0, rounds: int = 150) -> np.ndarray:
     """Squared-hinge linear SVM by accelerated gradient descent; the last weight is the bias."""
     x = np.column_stack([x, np.ones(len(x), np.float32)])
@@ -76,8 +90,12 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 5.0, rounds: int = 150) -> n
 def dense(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), 2 << BITS), np.float32)
     for k, t in enumerate(texts):
-        c, n = cells([t])
-        out[k] = np.bincount(c.ravel(), minlength=2 << BITS) / max(1, n[0])
+        n = 0
+        for part in parts_of(t):
+            c, m = cells(part)
+            out[k] += np.bincount(c.ravel(), minlength=2 << BITS)
+            n += int(m[0])
+        out[k] /= max(1, n)
     return out
 
 
@@ -109,7 +127,8 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
 
 
 def vote(margins: np.ndarray, model: dict, group: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Winner's number and its confidence: wins count, then the sum of margins decides."""
+    """Winner's number and its confidence. Each pair's machine gives both sides a share of its vote by a logistic curve
+    over its margin; the greatest sum wins, the first name of equal ones. Confidence is the winner's least sure vote."""
     total = np.zeros((len(margins), len(names)))
     surest = np.ones((len(margins), len(names)))
     for k, (g, a, b) in enumerate(model["sides"]):
@@ -127,17 +146,21 @@ def vote(margins: np.ndarray, model: dict, group: str, names: list[str]) -> tupl
 def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
     raw = [(t or "").lower().encode() for t in texts]
     margins = np.zeros((len(raw), len(model["sides"])))
+    places = np.zeros(len(raw), np.int64)
     at = 0
     while at < len(raw):
         to, held = at, 0
         while to < len(raw) and (to == at or held + len(raw[to]) <= PIECE):
             held, to = held + len(raw[to]), to + 1
-        c, n = cells(raw[at:to])
-        if len(c) and margins.shape[1]:
-            each = model["weights"][c[:, 0]] + model["weights"][c[:, 1]]
-            full = np.flatnonzero(n)
-            margins[at + full] = np.add.reduceat(each, (np.cumsum(n) - n)[full], axis=0) / n[full, None]
+        for part in ([raw[at:to]] if to > at + 1 else parts_of(raw[at])):
+            c, n = cells(part)
+            places[at:to] += n
+            if len(c) and margins.shape[1]:
+                each = model["weights"][c[:, 0]] + model["weights"][c[:, 1]]
+                full = np.flatnonzero(n)
+                margins[at + full] += np.add.reduceat(each, (np.cumsum(n) - n)[full], axis=0)
         at = to
+    margins /= np.maximum(places, 1)[:, None]
     margins += model["bias"]
     groups = sorted(set(model["families"].values()))
     family, sure = vote(margins, model, "family", groups) if groups else (np.zeros(len(raw), int), np.zeros(len(raw)))
@@ -153,7 +176,6 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of rows (doc_id, text)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

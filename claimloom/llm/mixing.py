@@ -6,12 +6,14 @@ repetition rate is target / size; a document is taken floor(rate) times, plus on
 the fraction's probability, by a draw seeded with its doc_id, so reruns agree.
 
 The capped share has a closed form: with sources ordered by cap / weight, the level per unit
-of weight is the greatest of (total - caps before) / (weights from here on). It needs one sort
-of the sources, one row each. Null texts have size 0; a null source is a source of its own.
+of weight is the greatest of (total - caps before) / (weights from here on). It needs two sorts
+of the sources, one row each, dealt by ranges. Null texts have size 0; a null source is a source of its own.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +22,40 @@ from .common import salted_join, word_count, written
 SEED = "mix-1"
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> tuple[DataFrame, list]:
+    """``df`` with ``<sum>_before`` of each of ``sums`` over the rows before in ``order``, and the totals.
+
+    Rows are dealt by ranges of the order and summed within a range; a row for each range holds
+    what comes before it, so no task gets all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select("*", *[c.alias(f"_{k}") for k, c in sums.items()], F.struct(*order).alias("_order"))
+    dealt = written(keyed.repartitionByRange(parts, "_order").withColumn("_range", F.spark_partition_id()), name)
+    totals = dealt.groupBy("_range").agg(*[F.sum(f"_{k}").alias(k) for k in sums]).orderBy("_range").collect()  # a row for each range
+    before, base = [0] * len(sums), []
+    for r in totals:
+        base.append((r["_range"], *before))
+        before = [b + (r[k] or 0) for b, k in zip(before, sums, strict=True)]
+    schema = ", ".join(["_range int", *[f"_{k}_base decimal(38,0)" for k in sums]])
+    bases = df.sparkSession.createDataFrame([(b[0], *map(Decimal, b[1:])) for b in base], schema)
+    inner = Window.partitionBy("_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(bases), "_range").select(
+        *df.columns, *[(F.coalesce(F.sum(f"_{k}").over(inner), F.lit(0)) + F.col(f"_{k}_base")).cast("long").alias(f"{k}_before") for k in sums])
+    return out, before
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """(source, source_size, target) of rows (source, size); weights repeat by source name, null last."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    by = by.withColumn("place", place).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
-    by = by.withColumn("most", cap * F.col("source_size"))
-    fill = Window.orderBy(F.col("most") / F.col("weight"), "place")
-    by = by.withColumn("before", F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    by = by.withColumn("rest", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    whole = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("total", F.sum("source_size").over(whole))
-    level = F.max((F.col("total") - F.col("before")).cast("double") / F.col("rest")).over(whole)
-    return by.withColumn("level", level).select(
-        "source", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    """(source, source_size, target) of rows (source, size); weights repeat by source name, null last.
+
+    Any number of sources will do: both orders are dealt by ranges (``running``)."""
+    by = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    by, _ = running(by, [F.col("source").isNull(), F.col("source")], {"place": F.lit(1)}, "places")
+    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place_before") % len(weights) + 1).cast("int"))).withColumn("most", cap * F.col("source_size"))
+    fill = [F.col("most") / F.col("weight"), F.col("place_before")]
+    by, (_, heavy, total) = running(by, fill, {"most": F.col("most"), "weight": F.col("weight"), "size": F.col("source_size")}, "fill")
+    level = ((F.lit(int(total)) - F.col("most_before")).cast("double") / (F.lit(int(heavy)) - F.col("weight_before")))
+    top = by.agg(F.max(level)).first()[0]
+    return by.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(top).cast("double") * F.col("weight")).alias("target"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -44,25 +65,30 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with source_size, target and ``copies``."""
-    key = F.struct(F.col("source").isNull(), F.coalesce(F.col("source"), F.lit("")))
-    out = salted_join(docs.withColumn("_source", key), targets.withColumn("_source", key).drop("source"), ["_source"], how="left").drop("_source")
+    """(doc, source_size, target, copies): ``doc`` holds the columns of ``docs``, whatever their names."""
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
+    out = salted_join(given, targets.select(key.alias("key"), "source_size", "target"), ["key"], how="left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return out.withColumn("copies", F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long"))
+    return out.select("doc", "source_size", "target", (F.floor(rate) + (draw(F.col("doc.doc_id"), seed) < rate - F.floor(rate)).cast("long")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED) -> DataFrame:
-    """Each document as often as it is taken, numbered by ``copy`` from 1."""
+    """Each document as often as it is taken, numbered from 1 by ``copy`` (``copy_``, ... where ``docs`` has that name).
+    Rows with the same doc_id, null among them, have the same draw; they are taken one by one."""
     targets = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, cap)
-    got = with_copies(docs, targets.select("source", "source_size", "target"), seed).where("copies > 0")
-    return got.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    got = with_copies(docs, targets, seed).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("number"))
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    return got.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns], F.col("number").alias(name))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return with_copies(sized, source_targets(sized)).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+        "doc.doc_id", "doc.size", "source_size", "target", (F.col("copies") * F.col("doc.size")).alias("taken"))
 
 
 OP10_SQL = rf"""
