@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -121,6 +122,36 @@ def test_decontaminate_edges(spark, limit):
     assert got == {1: (4, 2, ["1"]), 2: (10, 10, ["2"]), 3: (0, 0, []), 4: (14, 14, ["1", "2"]), None: (2, 0, [])}
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontaminate_long_texts_and_repeated_rows(spark, limit):
+    """Windows across the edges of chunks, against brute force."""
+    r = random.Random(6)
+    items = [(k, " ".join(f"v{r.randrange(30)}" for _ in range(n))) for k, n in enumerate([14, 10, 2, 25])]
+    docs = []
+    for i in range(12):
+        ws = [f"v{r.randrange(30)}" for _ in range(r.choice([0, 5, 127, 128, 129, 700]))]
+        for _ in range(len(ws) // 60):
+            item = items[r.randrange(4)][1].split()
+            at, k = r.choice([0, 118, 120, 127, 128, 250, len(ws)]), r.randrange(len(item))
+            ws[at:at] = item[k : k + 12]
+        docs.append((i, " ".join(ws)))
+    docs += [docs[-1], (None, docs[3][1])]
+    want = []
+    for i, t in docs:
+        ws, hit, names = t.split(), set(), set()
+        for k, x in items:
+            x = x.split()
+            n = min(10, len(x))
+            wins = {tuple(x[a : a + n]) for a in range(len(x) - n + 1)}
+            for a in range(len(ws) - n + 1):
+                if tuple(ws[a : a + n]) in wins:
+                    hit.update(range(a, a + n))
+                    names.add(str(k))
+        want.append((i, len(ws), len(hit), sorted(names)))
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=limit).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_hit, x.item_ids) for x in got), key=str) == sorted(want, key=str)
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(k, "w " * 10, s) for k, s in enumerate(["a"] * 50 + ["b"] * 5 + [None] * 5)] + [(99, None, "a"), (None, "", None)], "doc_id long, text string, source string")
     got = mixing.source_targets(docs.select("source", mixing.word_count(docs.text).alias("size"))).collect()
@@ -150,6 +181,28 @@ def test_battery_tells_keys_from_words(spark):
     assert sum(k in flagged for k in range(60)) >= 55 and not any(k in flagged for k in range(60, 120))
 
 
+def test_planted_keys_of_every_encoding_and_false_discoveries(spark):
+    """Keys that no pattern covers, among the words of ordinary documents and long compounds."""
+    r = random.Random(2)
+    docs = [(i, t) for i, t in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    spell = {"base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters, "decimal": string.digits, "base32": string.ascii_uppercase + "234567", "upper": string.ascii_uppercase}
+    planted = {}
+    for k, (i, _) in enumerate(docs):
+        if k % 8 == 0:
+            name = sorted(spell)[k // 8 % len(spell)]
+            planted[i] = "".join(r.choice(spell[name]) for _ in range({"decimal": 22}.get(name, r.choice([32, 40, 64]))))
+    words = [w for _, t in docs for w in re.findall("[a-z]{6,12}", t or "")]
+    compound = {i: "".join(r.sample(words, 4)) for k, (i, _) in enumerate(docs) if k % 8 == 4}
+    rows = [(i, f"{t or ''} see {planted.get(i, compound.get(i, 'nothing'))} .") for i, t in docs]
+    found = {x.doc_id: [s.value for s in x.found if s.kind == 3] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # one-case letters are hard to tell from words, and short runs of digits have little to test
+    hit = {n: [v in found[i] for k, (i, v) in enumerate(planted.items()) if sorted(spell)[k % len(spell)] == n] for n in sorted(spell)}
+    for name, least in {"base32": 0.9, "base64": 0.9, "letters": 0.9, "decimal": 0.6, "upper": 0.3}.items():
+        assert sum(hit[name]) >= least * len(hit[name]), name
+    false = sum(v in found[i] for i, v in compound.items())
+    assert false <= 0.1 * len(planted)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     got = registry.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id").collect()
@@ -279,3 +332,63 @@ def test_sent_rows_of_pieces_chain_as_all_rows_do():
                 for y in range(x):
                     if 100 * min(size[x], size[y]) >= percent * max(size[x], size[y]):
                         assert root[x] == root[y]
+
+
+def thue_morse(n=10):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_hold_for_words_that_collide_modulo_powers_of_two(spark):
+    a, b = thue_morse()
+    rows = [(1, f"{a} x y"), (2, f"{b} x y"), (3, a), (4, b), (5, a.upper())]
+    assert sorted(tuple(x) for x in ngram_join.ngram_components(frame(spark, rows)).collect()) == components(rows, 3, 90)
+    got = suffix_dedup.suffix_dedup(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == removed(rows)
+    keys, _ = gru_lm.tokens([a.encode(), b.encode()], gru_lm.Rolling())
+    assert len(set(keys.tolist())) == 3
+
+
+def test_blocks_compare_words_not_hashes(monkeypatch):
+    texts = [b"one two three four", b"one two three five"]
+    rolling = ngram_join.Rolling()
+    assert ngram_join.names_hold(texts, 3, rolling)
+    monkeypatch.setattr(ngram_join.Rolling, "of", lambda self, sums, start, end: np.full(len(start), 7, np.uint64))
+    assert not ngram_join.names_hold(texts, 3, rolling)
+    a, b = ngram_join.plain_sets(texts, 3)
+    assert (len(a), len(b), len(np.intersect1d(a, b))) == (2, 2, 1)
+
+
+def test_known_components_spare_no_link():
+    sets = [np.array(x, np.uint32) for x in ([0, 1, 2, 3], [0, 1, 2, 4], [0, 1, 2, 3], [7, 8])]
+    assert ngram_join.trie_links(sets, 60, np.array([5, 6, 6, 9])).tolist() == [0, 0, 0, 3]
+
+
+def test_repeats_by_dictionary_and_parse_equal_brute_force():
+    r = random.Random(4)
+    for _ in range(40):
+        base = bytes(r.choice(b"ab") for _ in range(90))
+        mark = bytes(r.choice(b"cd") for _ in range(18))
+        phrases = []
+        for number in range(r.randrange(2, 30)):
+            before, after = r.randrange(33), r.randrange(33)
+            if before + after + 18 < 50:
+                before, after = 32, 32
+            left = bytearray(base[40 - before : 40])
+            right = bytearray(base[50 : 50 + after])
+            for side in (left, right):
+                if side and r.random() < 0.7:
+                    side[r.randrange(len(side))] = 120
+            phrases.append((bytes(left), bytes(right), number // 2))
+        text = [a + mark + b for a, b, _ in phrases]
+        number = np.array([n for _, _, n in phrases])
+        hit, at = suffix_dedup.repeats(np.frombuffer(b"".join(text), np.uint8), np.array([len(t) for t in text]), np.array([len(a) + 18 for a, _, _ in phrases]),
+                                       np.zeros(len(text), np.int64), number, 50)
+        want = set()
+        windows = [(k, w, t[w : w + 50]) for k, t in enumerate(text) for w in range(len(t) - 49) if len(phrases[k][0]) + 18 - 50 <= w <= len(phrases[k][0])]
+        for k, w, x in windows:
+            if any(y == x and number[j] < number[k] for j, _, y in windows):
+                want.add((k, w))
+        assert set(zip(hit.tolist(), at.tolist(), strict=True)) == want
