@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, mixing.
 
-Each stage reads its predecessor's rows. All but the last return the columns of documents; the
-last repeats each document as often as the mix takes it, with its number in ``copy``.
+Each stage reads its predecessor's rows and removes rows, not ids: rows with a null or repeated doc_id
+are judged one by one. Null and empty texts pass the first stage as they score, count as equal
+texts in the second, are linked with nothing and hold no leak. All but the last return the columns of
+documents; the last repeats each document as often as the mix takes it, with its number in ``copy``.
 """
 
 from __future__ import annotations
@@ -10,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from claimloom.llm.common import without, written
+from claimloom.llm.common import ROW, numbered, salted_join, without, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = toxicity.learn(texts, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("_predicted = 0").select(docs.columns)
+    scored = toxicity.score(docs, model)
+    return scored.where(F.col(scored.columns[-1])["predicted"] == 0).drop(scored.columns[-1])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +28,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays."""
-    found = ngram_join.ngram_components(docs.select("doc_id", "text"), size=5, percent=80)
-    out = found.where("doc_id != component_id").select("doc_id")
-    return without(docs, out, "doc_id")
+    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays (null counts
+    as greatest; of rows with that id, one)."""
+    rows = numbered(docs)
+    found = ngram_join.ngram_components(rows.select(F.col(ROW).alias("doc_id"), "text"), size=5, percent=80)
+    grouped = written(found.withColumnRenamed("doc_id", ROW).join(rows.select(ROW, F.col("doc_id").alias("id")), ROW), "grouped")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", ROW))[ROW].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    return without(rows, salted_join(grouped, first, ["component_id"]).where(F.col(ROW) != F.col("stays")), ROW).drop(ROW)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    out = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where("contaminated").select("doc_id")
-    return without(docs, out, "doc_id")
+    rows = numbered(docs)
+    found = decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), items)
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW).drop(ROW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
