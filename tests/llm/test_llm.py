@@ -229,18 +229,68 @@ def test_gru(spark):
     for i, ws in tokens.items():
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(w in counts for w in ws), total)
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in ws))
+    # few documents teach little, a quarter of them in each round more
+    got = {r.doc_id: r for r in gru_lm.score_documents(spark.read.parquet(f"{SF}/documents.parquet"), 4).collect()}
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_gru_is_a_distribution():
+def test_counted_keys_are_whole(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} other{k} x") for k in range(60)], "doc_id long, text string")
+    counts = gru_lm.count_tokens(gru_lm.slab_table(docs), 3)
+    got = {r.key: r.tokens for r in counts.where("key is not null").collect()}
+    texts = [f"word{k % 7} other{k} x".encode() for k in range(60) if zlib.crc32(str(k).encode()) % 7 != 2]
+    keys, n = np.unique(gru_lm.tokens(texts, gru_lm.Rolling())[0], return_counts=True)
+    assert got == dict(zip(keys.view(np.int64).tolist(), n.tolist(), strict=True))
+
+
+def small_model(kinds=300):
     r = np.random.default_rng(1)
-    model = gru_lm.Model(np.arange(2, 40, dtype=np.uint64), r.integers(5, 90, 38), 4000, 300)
+    keys = np.unique(r.integers(128, 1 << 60, 38, np.uint64))
+    tokens, many = np.full(gru_lm.RARE, 90), np.full(gru_lm.RARE, kinds // gru_lm.RARE + 2)
+    return gru_lm.Model(keys, r.integers(5, 90, len(keys)), tokens, many), r
+
+
+def test_gru_is_a_distribution():
+    model, r = small_model()
     h = r.standard_normal((3, gru_lm.HIDDEN)).astype(np.float32)
-    total = sum(np.exp(model.output(h, np.full(3, w))) for w in range(39))
+    total = sum(np.exp(model.output(h, np.full(3, w))) for w in range(len(model.keys) + gru_lm.RARE))
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_gru_gradients_equal_differences():
+    model, r = small_model()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    source, target = r.integers(0, 60, (3, 7)), r.integers(0, 60, (3, 7))
+    first = r.random((3, 7)) < 0.2
+    h = r.standard_normal((3, gru_lm.HIDDEN)) * 0.3
+    _, g, _ = model.window(source, target, first, h)
+    for name, grad in g.items():
+        for at in r.integers(0, grad.size, 12):
+            cell = np.unravel_index(at, grad.shape)
+            old, sides = model.p[name][cell], []
+            for step in (1e-5, -1e-5):
+                model.p[name][cell] = old + step
+                sides.append(-model.window(source, target, first, h)[0].sum())
+            model.p[name][cell] = old
+            assert grad[cell] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-6), name
+
+
+def test_gru_scores_in_lanes_and_windows_as_one_by_one():
+    model, r = small_model()
+    docs = [r.integers(0, 60, n) for n in (1, 700, 3, 40, 300, 1)]
+    end = int(model.ids(np.array([gru_lm.END]))[0])
+    got = model.score(np.concatenate(docs), np.array([len(d) for d in docs]))
+    want = []
+    table = model.p["emb"] @ model.p["wx"] + model.p["b"]
+    for d in docs:
+        h = np.zeros((1, gru_lm.HIDDEN), np.float32)
+        for a, b in zip([end, *d[:-1]], d):
+            h = model.step(table[[a]], h)[0]
+            want.append(float(model.output(h, np.array([b]))[0]))
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_chats_round_trip(spark):
     got = registry.QUERIES["op3_chat_format"](spark, SF).collect()
     assert sum(r.recovered for r in got) >= 0.97 * len(got)
