@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom import catalog_claims
+from claimloom import catalog_claims, catalog_report, catalog_signals
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
 from claimloom.operators import evidence as E
@@ -174,7 +174,10 @@ WITH v AS ({EVIDENCE_VIEW.format(string='VARCHAR')}),
 SELECT doc_id, meta_score, transparency, reliability, CASE WHEN reliability >= 75 THEN 'HIGH' WHEN reliability >= 50 THEN 'MEDIUM' WHEN meta_score <= 0.2 AND category = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'LOW' END AS label FROM s
 """
 
-RATING_ROWS = [*E.RATINGS, " Mostly True ", "FALSE", "Four Pinocchios", ""]
+RATING_ROWS = [
+    *E.RATINGS, " Mostly True ", "FALSE", "Four Pinocchios", "", "Rated false by our team", "This is a hoax", "Mostly true, with caveats", "It distorts", "Mostly false claim", "false, partially", "Half is correct",
+    "Confirmed by us", "Lacks context", "Mostly fake news", "half and half", "Disputed by many",
+]
 
 
 def rating_map(spark, sf_dir):
@@ -182,8 +185,14 @@ def rating_map(spark, sf_dir):
 
 
 RATING_SQL = f"""
-WITH g AS (SELECT unnest([{quoted(RATING_ROWS)}]) AS rating), t AS (SELECT * FROM (VALUES {', '.join("('%s', '%s', '%s')" % (k, *v) for k, v in E.RATINGS.items())}) AS v(k, verdict, stance))
-SELECT rating, coalesce(t.verdict, rating) AS verdict, coalesce(stance, 'NEUTRAL') AS stance FROM g LEFT JOIN t ON lower(trim(rating)) = k
+WITH g AS (SELECT unnest([{quoted(RATING_ROWS)}]) AS rating), t AS (SELECT * FROM (VALUES {', '.join("('%s', '%s', '%s')" % (k, *v) for k, v in E.RATINGS.items())}) AS v(k, verdict, stance)),
+ r AS (SELECT rating, lower(trim(rating)) AS c FROM g), h AS (SELECT rating, c, CASE
+  WHEN regexp_matches(c, 'pants on fire|fake|fabricated|hoax|debunked|untrue|unfounded|bust|disproven') THEN 'False:CONTRADICTING' WHEN regexp_matches(c, 'misleading|distort') THEN 'Misleading:CONTRADICTING'
+  WHEN regexp_matches(c, 'mostly false|mostly incorrect') THEN 'Mostly False:CONTRADICTING' WHEN regexp_matches(c, 'false|incorrect') AND regexp_matches(c, 'half|partly|mixture|partially') THEN 'Partly False:NEUTRAL'
+  WHEN regexp_matches(c, 'false|incorrect') THEN 'False:CONTRADICTING' WHEN regexp_matches(c, 'mostly true|mostly correct|mostly accurate') THEN 'Mostly True:SUPPORTING'
+  WHEN regexp_matches(c, 'true|correct|accurate|verified|confirmed') AND regexp_matches(c, 'half|partly|mixture|partially') THEN 'Partly True:NEUTRAL' WHEN regexp_matches(c, 'true|correct|accurate|verified|confirmed') THEN 'True:SUPPORTING'
+  WHEN regexp_matches(c, 'half|mixture|mixed|unproven|unverified|inconclusive|context|disputed') THEN 'Needs Context:NEUTRAL' ELSE 'Unverified:NEUTRAL' END AS guess FROM r)
+SELECT rating, coalesce(t.verdict, split_part(guess, ':', 1)) AS verdict, coalesce(stance, split_part(guess, ':', 2)) AS stance FROM h LEFT JOIN t ON c = k
 """
 
 
@@ -200,25 +209,18 @@ WITH s AS (SELECT doc_id // 10 AS claim_id, CASE WHEN toxic = 1 THEN 'CONTRADICT
 SELECT *, CASE WHEN supporting + contradicting = 0 THEN 0.0::DOUBLE ELSE round(supporting::DOUBLE / (supporting + contradicting), 3) END AS agreement_ratio FROM c
 """
 
-CLAIM_VIEW = """
-SELECT doc_id AS claim_id, doc_id % 50 AS doc, CASE WHEN doc_id % 3 = 0 THEN 'HIGH' WHEN doc_id % 3 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS importance, doc_id % 5 AS supporting, doc_id % 3 AS contradicting,
-       doc_id % 4 AS neutral, doc_id % 6 AS independent, CASE WHEN doc_id % 5 > 0 THEN CAST(40 + doc_id % 60 AS DOUBLE) END AS support_reliability, CAST(30 + doc_id % 40 AS DOUBLE) AS mean_reliability,
-       CASE WHEN doc_id % 7 = 0 THEN CAST(1.0 AS DOUBLE) WHEN doc_id % 7 = 1 THEN CAST(0.0 AS DOUBLE) END AS fact_check_mean, doc_id % 8 = 0 AS official, doc_id % 4 = 0 AS primary_support,
-       CASE WHEN doc_id % 9 > 0 THEN CAST(0.7 AS DOUBLE) END AS transparency_mean, CAST((doc_id % 10) * 5 AS DOUBLE) AS penalty FROM documents
-"""
-
-
 def claims_view(spark, sf_dir):
-    return spark.sql(CLAIM_VIEW.replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`"))
+    """Claims with the figures of their evidence."""
+    return catalog_report.claims(spark, sf_dir)
 
 
 COMPONENT_CTE = f"""
-v AS ({CLAIM_VIEW}), c AS (SELECT claim_id, unnest(['evidence_agreement', 'source_quality', 'independent_sources', 'fact_checks', 'official_evidence', 'transparency']) AS factor,
+{catalog_report.FIGURES}, c AS (SELECT claim_id, unnest(['evidence_agreement', 'source_quality', 'independent_sources', 'fact_checks', 'official_evidence', 'transparency']) AS factor,
   unnest([CASE WHEN supporting + contradicting > 0 THEN supporting::DOUBLE / (supporting + contradicting) WHEN neutral > 0 THEN 0.5 ELSE 0 END, coalesce(support_reliability / 100.0::DOUBLE, mean_reliability / 100.0::DOUBLE * 0.5::DOUBLE, 0),
           least(independent / 3.0::DOUBLE, 1), coalesce(fact_check_mean, 0.5), CASE WHEN official THEN 1 WHEN primary_support THEN 0.8 ELSE 0 END, coalesce(transparency_mean, 0.5)]::DOUBLE[]) AS raw,
-  unnest([0.25, 0.15, 0.20, 0.15, 0.20, 0.05]::DOUBLE[]) AS w FROM v), k AS (SELECT claim_id, factor, raw, round(raw * w * 100, 2) AS contribution FROM c)"""
+  unnest([0.25, 0.15, 0.20, 0.15, 0.20, 0.05]::DOUBLE[]) AS w FROM v), kk AS (SELECT claim_id, factor, raw, round((raw * w * 100)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE AS contribution FROM c)"""
 LABELS_SQL = "CASE WHEN score IS NULL THEN 'INSUFFICIENT EVIDENCE' WHEN score >= 90 THEN 'STRONGLY SUPPORTED' WHEN score >= 75 THEN 'MOSTLY SUPPORTED' WHEN score >= 50 THEN 'MIXED / UNCERTAIN' WHEN score >= 25 THEN 'WEAKLY SUPPORTED' ELSE 'STRONGLY CONTRADICTED' END AS classification"
-SCORE_CTE = f"""{COMPONENT_CTE}, t AS (SELECT claim_id, sum(contribution) AS total FROM k GROUP BY 1),
+SCORE_CTE = f"""{COMPONENT_CTE}, t AS (SELECT claim_id, sum(contribution) AS total FROM kk GROUP BY 1),
  s AS (SELECT claim_id, doc, importance, CASE WHEN independent >= 2 AND supporting + contradicting >= 2 THEN round_even(round(greatest(0, least(100, total - penalty)), 6), 0)::INTEGER END AS score FROM v JOIN t USING (claim_id))"""
 
 
@@ -234,7 +236,7 @@ def document_score(spark, sf_dir):
     return C.document_scores(claim_score(spark, sf_dir))
 
 
-COMPONENTS_SQL = f"WITH {COMPONENT_CTE} SELECT * FROM k"
+COMPONENTS_SQL = f"WITH {COMPONENT_CTE} SELECT * FROM kk"
 CLAIM_SCORE_SQL = f"WITH {SCORE_CTE} SELECT *, {LABELS_SQL} FROM s"
 DOCUMENT_SCORE_SQL = f"""
 WITH {SCORE_CTE}, w AS (SELECT doc, score, CASE WHEN score IS NOT NULL THEN CASE importance WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END::DOUBLE END AS w FROM s),
@@ -251,5 +253,7 @@ ORACLES = {
     "canonical_url": CANONICAL_SQL, "evidence_dedup_exact": DEDUP_SQL, "domain_category": DOMAIN_SQL, "content_ids": CONTENT_IDS_SQL, "trigram_similarity": TRIGRAM_SQL,
     "source_reliability": RELIABILITY_SQL, "rating_map": RATING_SQL, "stance_consensus": CONSENSUS_SQL, "score_components": COMPONENTS_SQL, "claim_score": CLAIM_SCORE_SQL, "document_score": DOCUMENT_SCORE_SQL,
 }
-QUERIES |= catalog_claims.QUERIES
-ORACLES |= catalog_claims.ORACLES
+QUERIES |= catalog_claims.QUERIES | catalog_signals.QUERIES | catalog_report.QUERIES
+ORACLES |= catalog_claims.ORACLES | catalog_signals.ORACLES | catalog_report.ORACLES | {"score_breakdown": catalog_report.breakdown_sql(COMPONENT_CTE)}
+DOMAINS_SQL = f"SELECT unnest([{quoted(catalog_signals.DOMAINS)}]) AS domain UNION ALL SELECT DISTINCT domain FROM ({CANONICAL_SQL})"
+ORACLES["registry_lookup"] = catalog_signals.registry_sql(DOMAINS_SQL, DOMAIN_SQL.replace(f"SELECT unnest([{quoted(DOMAINS)}]) AS domain UNION ALL SELECT DISTINCT domain FROM ({CANONICAL_SQL})", DOMAINS_SQL))

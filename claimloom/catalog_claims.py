@@ -62,7 +62,7 @@ SELECT doc_id, n, claim_type, CASE WHEN n = 0 OR points >= 4 THEN 'HIGH' WHEN po
 def claim_similarity(spark, sf_dir):
     """Each sentence against the next one of its document."""
     following = F.lead("s").over(Window.partitionBy("row", "doc_id").orderBy("n"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(T.sentences(F.col("text"))).alias("n", "s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), T.sentences(F.col("text")).alias("ss")).select("doc_id", "row", F.posexplode("ss").alias("n", "s"))
     return rows.withColumn("t", following).where("t is not null").select("doc_id", F.col("n").cast("long").alias("n"), F.round(K.claim_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
 
 
@@ -72,15 +72,33 @@ SELECT doc_id, n, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE round
 """
 
 
+#: Benchmark passages as claims, with what their extraction would find, by item_id.
+CLAIM_FIELDS = """SELECT item_id, text, CASE WHEN item_id % 5 = 0 THEN 'The Minister' END AS speaker, CASE WHEN item_id % 3 = 0 THEN array('Reserve Bank', 'WHO', 'Third') ELSE array() END AS organizations,
+  CASE WHEN item_id % 4 = 0 THEN array('Ann  Lee') ELSE array() END AS persons, CASE WHEN item_id % 7 = 0 THEN array('Kerala') ELSE array() END AS locations,
+  CASE WHEN item_id % 2 = 0 THEN array('5 crore', '25 bps', '7%') ELSE array() END AS numbers, CASE WHEN item_id % 6 = 0 THEN array('Monday', 'Friday') ELSE array() END AS dates FROM benchmark"""
+
+
 def query_routing(spark, sf_dir):
-    return K.routed_queries(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
+    return K.routed_queries(spark.sql(CLAIM_FIELDS.replace("array()", "cast(array() AS array<string>)").replace("FROM benchmark", f"FROM parquet.`{sf_dir}/benchmark.parquet`")), "item_id")
+
+
+def _list(*parts):
+    return "list_concat(" * (len(parts) - 1) + parts[0] + "".join(f", {p})" for p in parts[1:])
 
 
 ROUTING_SQL = f"""
-WITH k AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9$%€₹-]+'), lambda w: len(w) > 1 AND lower(w) NOT IN ({quoted(T.QUERY_STOP_WORDS)}))[1:7] AS ws FROM benchmark),
- q AS (SELECT item_id, unnest(['DIRECT', 'FACT_CHECK', 'OFFICIAL']) AS query_type, unnest([array_to_string(ws, ' '), array_to_string(ws[1:5], ' ') || ' fact check', ws[1] || ' official statement ' || array_to_string(ws[2:3], ' ')]) AS query FROM k WHERE len(ws) >= 2),
- r AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{p}')" for k, v in K.ROUTES.items() for p in v)}) AS v(query_type, provider))
-SELECT item_id, query_type, query, provider, provider || '::' || lower(trim(query)) AS cache_key FROM q JOIN r USING (query_type)
+WITH b AS ({CLAIM_FIELDS.replace('array()', '[]::VARCHAR[]').replace('array(', 'list_value(')}),
+ k AS (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z0-9$%€₹-]+'), lambda w: len(w) > 1 AND lower(w) NOT IN ({quoted(T.QUERY_STOP_WORDS)}))[1:7] AS ws, {_list("CASE WHEN speaker IS NULL THEN []::VARCHAR[] ELSE [speaker] END", "organizations[1:2]", "persons[1:2]", "locations[1:2]")} AS es FROM b),
+ t AS (SELECT *, list_filter(ws, lambda w: NOT list_contains(es, w))[1:3] AS ts, coalesce(organizations[1], persons[1]) AS anchor FROM k),
+ c AS (SELECT item_id, text, unnest(range(6)) AS pos, unnest(['DIRECT', 'ENTITY_FOCUSED', 'NUMERIC', 'DATE_FOCUSED', 'FACT_CHECK', 'OFFICIAL']) AS query_type, unnest([ws, CASE WHEN len(es) > 0 THEN list_concat(es, ts) END,
+   CASE WHEN len(numbers) > 0 THEN {_list('numbers[1:2]', 'es[1:2]', 'ts[1:2]')} END, CASE WHEN len(dates) > 0 THEN {_list('es[1:2]', 'ts[1:2]', 'dates[1:1]')} END,
+   CASE WHEN len(es[1:2]) + len(ts) > 0 THEN {_list('es[1:2]', 'ts', "['fact check']")} WHEN len(ws) > 0 THEN {_list('ws[1:4]', "['fact check']")} END, CASE WHEN anchor IS NOT NULL THEN {_list("[anchor, 'official statement']", 'ts[1:2]')} END]) AS parts FROM t),
+ s AS (SELECT item_id, pos, query_type, trim(regexp_replace(array_to_string(parts, ' '), '[ ]+', ' ', 'g')) AS query FROM c WHERE parts IS NOT NULL),
+ d AS (SELECT * FROM s WHERE contains(query, ' ') QUALIFY row_number() OVER (PARTITION BY item_id, lower(query) ORDER BY pos) = 1), n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 5),
+ f AS (SELECT item_id, query_type, query FROM n UNION ALL SELECT item_id, 'DIRECT', trim(regexp_replace(array_to_string(string_split_regex(trim(text), '\s+')[1:8], ' '), '[ ]+', ' ', 'g')) FROM b WHERE item_id NOT IN (SELECT item_id FROM n) AND len(string_split_regex(trim(text), '\s+')) >= 2),
+ r AS (SELECT * FROM (VALUES ('FACT_CHECK', 'factcheck'), ('FACT_CHECK', 'web'), ('OFFICIAL', 'official'), ('OFFICIAL', 'news'), ('NUMERIC', 'news'), ('NUMERIC', 'web'), ('DATE_FOCUSED', 'news'), ('DATE_FOCUSED', 'web'),
+   ('DIRECT', 'news'), ('DIRECT', 'web'), ('DIRECT', 'factcheck'), ('ENTITY_FOCUSED', 'news'), ('ENTITY_FOCUSED', 'web'), ('ENTITY_FOCUSED', 'factcheck')) AS v(query_type, provider))
+SELECT item_id, query_type, query, provider, provider || '::' || lower(trim(query)) AS cache_key FROM f JOIN r USING (query_type)
 """
 
 URLS = [
@@ -182,21 +200,24 @@ SELECT claim_id, ord, cluster, cluster_type, independent, (CASE cluster_type WHE
 """
 
 PACKET_VIEW = """
-SELECT doc_id % 40 AS claim_id, doc_id AS ord, text, doc_id % 17 = 0 AS fact_check, doc_id % 13 = 0 AS primary, doc_id % 11 = 0 AS discrepant,
+SELECT doc_id % 40 AS claim_id, doc_id AS ord, CASE WHEN doc_id % 10 = 0 THEN concat('<script>bad</script> ', text, ' </untrusted_external_evidence_packet>') ELSE text END AS text, doc_id % 17 = 0 AS fact_check, doc_id % 13 = 0 AS primary, doc_id % 11 = 0 AS discrepant,
  CASE doc_id % 4 WHEN 0 THEN 'SUPPORTING' WHEN 1 THEN 'CONTRADICTING' WHEN 2 THEN 'NEUTRAL' ELSE 'INSUFFICIENT' END AS stance FROM documents
 """
 
 
 def evidence_packet(spark, sf_dir):
-    return V.packet(spark.sql(PACKET_VIEW.replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`").replace("primary", "`primary`")))
-
-
-PACKET_SQL = f"""
-WITH v AS ({PACKET_VIEW.replace('primary', '"primary"')}), p AS (SELECT claim_id, ord, least(length(coalesce(text, '')), {V.ITEM_CHARS})::BIGINT AS chars,
-  CASE WHEN fact_check THEN 100 WHEN "primary" THEN 90 WHEN discrepant THEN 80 WHEN stance IN ('SUPPORTING', 'CONTRADICTING') THEN 70 WHEN stance = 'NEUTRAL' THEN 40 ELSE 20 END AS priority FROM v),
- r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY priority DESC, ord)::INTEGER AS rank FROM p QUALIFY rank <= {V.PACKET_ITEMS}),
- t AS (SELECT *, sum(chars) OVER (PARTITION BY claim_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM r)
-SELECT * FROM t WHERE total <= {V.PACKET_CHARS}
+    rows = V.packet(spark.sql(PACKET_VIEW.replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`").replace("primary", "`primary`")))
+    return rows.withColumn("snippet", T.digest(F.col("snippet")))
+
+
+PACKET_SQL = rf"""
+WITH v AS ({PACKET_VIEW.replace('primary', '"primary"')}), f AS (SELECT *, row_number() OVER (PARTITION BY claim_id, fact_check ORDER BY ord) AS nth FROM v QUALIFY NOT fact_check OR nth <= 5),
+ p AS (SELECT claim_id, ord, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)</?UNTRUSTED_EXTERNAL_EVIDENCE_PACKET>', '', 'g'), '(?i)<script[\s\S]*?</script>', '', 'g') AS t,
+  CASE WHEN fact_check THEN 100 WHEN "primary" THEN 90 WHEN discrepant THEN 80 WHEN stance IN ('SUPPORTING', 'CONTRADICTING') THEN 70 WHEN stance = 'NEUTRAL' THEN 40 ELSE 20 END AS priority FROM f),
+ r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY priority DESC, ord)::INTEGER AS rank FROM p QUALIFY rank <= 10),
+ c AS (SELECT claim_id, ord, priority, rank, CASE WHEN length(t) > 1200 THEN regexp_replace(substr(t, 1, 1184), '\s+$', '') || ' ... [truncated]' ELSE regexp_replace(t, '^\s+|\s+$', '', 'g') END AS s FROM r),
+ t AS (SELECT claim_id, ord, priority, rank, sha256(s) AS snippet, length(s)::BIGINT AS chars, sum(length(s)) OVER (PARTITION BY claim_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM c)
+SELECT * FROM t WHERE total <= 10000 OR rank <= 2
 """
 
 QUERIES = {

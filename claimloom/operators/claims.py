@@ -68,14 +68,38 @@ def claim_similarity(a: Column, b: Column) -> Column:
     return T.jaccard(long_words(a), long_words(b))
 
 
+MOST_QUERIES = 5
+
+
+def search_queries(claims: DataFrame, key: str) -> DataFrame:
+    """(key, query_type, query): up to five different queries of two words or more for each claim, by kind.
+
+    ``claims`` has text, speaker and the arrays organizations, persons, locations, numbers and dates."""
+    words, first = T.keywords(F.col("text"), 7), lambda c, n: F.slice(c, 1, n)
+    speaker = F.when(F.col("speaker").isNotNull(), F.array("speaker")).otherwise(F.array().cast("array<string>"))
+    named = claims.withColumn("_words", words).withColumn("_named", F.concat(speaker, first("organizations", 2), first("persons", 2), first("locations", 2)))
+    named = named.withColumn("_topic", first(F.filter("_words", lambda w: ~F.array_contains("_named", w)), 3)).withColumn("_anchor", F.coalesce(F.get("organizations", F.lit(0)), F.get("persons", F.lit(0))))
+    pair, some = first("_named", 2), lambda c: F.size(c) > 0
+    check = F.concat(pair, F.col("_topic"))
+    parts = {
+        "DIRECT": F.when(some("_words"), F.col("_words")),
+        "ENTITY_FOCUSED": F.when(some("_named"), F.concat("_named", "_topic")),
+        "NUMERIC": F.when(some("numbers"), F.concat(first("numbers", 2), pair, first("_topic", 2))),
+        "DATE_FOCUSED": F.when(some("dates"), F.concat(pair, first("_topic", 2), first("dates", 1))),
+        "FACT_CHECK": F.when(some(check) | some("_words"), F.concat(F.when(some(check), check).otherwise(first("_words", 4)), F.array(F.lit("fact check")))),
+        "OFFICIAL": F.when(F.col("_anchor").isNotNull(), F.concat(F.array("_anchor", F.lit("official statement")), first("_topic", 2))),
+    }
+    clean = lambda p: F.trim(F.regexp_replace(F.array_join(p, " "), r"\s+", " "))
+    made = F.filter(F.array_compact(F.array(*[F.when(p.isNotNull(), F.struct(F.lit(k).alias("query_type"), clean(p).alias("query"))) for k, p in parts.items()])), lambda x: F.contains(x["query"], F.lit(" ")))
+    named = named.withColumn("_made", made)
+    kept = first(F.filter("_made", lambda x, i: ~F.exists(F.slice("_made", 1, i), lambda y: F.lower(y["query"]) == F.lower(x["query"]))), MOST_QUERIES)
+    plain = F.struct(F.lit("DIRECT").alias("query_type"), clean(first(F.split(F.trim("text"), r"\s+"), 8)).alias("query"))
+    some_made = F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.filter(F.array(plain), lambda x: F.contains(x["query"], F.lit(" "))))
+    return named.withColumn("_kept", kept).select(key, F.inline(some_made))
+
+
 def routed_queries(claims: DataFrame, key: str) -> DataFrame:
-    """Direct, fact-check and official queries of (key, text), a row for each provider, with cache keys."""
-    words = T.keywords(F.col("text"), 7)
-    made = F.array(
-        F.struct(F.lit("DIRECT").alias("query_type"), F.array_join(words, " ").alias("query")),
-        F.struct(F.lit("FACT_CHECK").alias("query_type"), F.concat(F.array_join(F.slice(words, 1, 5), " "), F.lit(" fact check")).alias("query")),
-        F.struct(F.lit("OFFICIAL").alias("query_type"), F.concat(F.array_join(F.slice(words, 1, 1), " "), F.lit(" official statement "), F.array_join(F.slice(words, 2, 2), " ")).alias("query")),
-    )
+    """The queries of claims, a row for each provider, with cache keys."""
     routes = F.create_map(*[x for k, v in ROUTES.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))])
-    out = claims.where(F.size(words) >= 2).select(key, F.inline(made)).withColumn("provider", F.explode(F.element_at(routes, F.col("query_type"))))
+    out = search_queries(claims, key).withColumn("provider", F.explode(F.element_at(routes, F.col("query_type"))))
     return out.withColumn("cache_key", F.concat("provider", F.lit("::"), F.lower(F.trim("query"))))

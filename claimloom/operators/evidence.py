@@ -50,12 +50,12 @@ def first_wins(evidence: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def rate(ratings: DataFrame) -> DataFrame:
-    """Verdict and stance of ``rating``: the table, else words in it, else the rating itself and neutral."""
+    """Verdict and stance of ``rating``: the table, else words in it, else Unverified and neutral."""
     key = F.lower(F.trim("rating"))
     table = F.create_map(*[F.lit(x) for k, v in RATINGS.items() for x in (k, "|".join(v))])
     hit = F.split(F.element_at(table, key), r"\|")
     word = [(key.rlike(rf"(?s)^(?:{p})" if p.startswith("(?=") else p), v, s) for p, v, s in RATING_WORDS]
-    verdict = F.coalesce(F.get(hit, F.lit(0)), *[F.when(w, F.lit(v)) for w, v, _ in word], F.col("rating"))
+    verdict = F.coalesce(F.get(hit, F.lit(0)), *[F.when(w, F.lit(v)) for w, v, _ in word], F.lit("Unverified"))
     stance = F.coalesce(F.get(hit, F.lit(1)), *[F.when(w, F.lit(s)) for w, _, s in word], F.lit("NEUTRAL"))
     return ratings.withColumn("verdict", verdict).withColumn("stance", stance)
 

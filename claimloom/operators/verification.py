@@ -74,14 +74,29 @@ def clusters(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
         "confidence", F.when(F.col("cluster_type") == "INDEPENDENT", 0.9).when(F.col("cluster_type") == "MIXED", 0.85).when(F.col("cluster_type") == "DUPLICATE", 0.92).otherwise(0.88))
 
 
+#: What no packet may hold, and what ends a shortened item (fixed values).
+TAGS = (r"(?i)</?UNTRUSTED_EXTERNAL_EVIDENCE_PACKET>", r"(?i)<script[\s\S]*?</script>")
+CUT = " ... [truncated]"
+
+
+def packet_text(text: Column) -> Column:
+    """Without tags that could end the packet, at most ITEM_CHARS long."""
+    clean = F.coalesce(text, F.lit(""))
+    for tag in TAGS:
+        clean = F.regexp_replace(clean, tag, "")
+    short = F.concat(F.regexp_replace(F.substring(clean, 1, ITEM_CHARS - len(CUT)), r"\s+$", ""), F.lit(CUT))
+    return F.when(F.length(clean) > ITEM_CHARS, short).otherwise(F.regexp_replace(clean, r"^\s+|\s+$", ""))
+
+
 def packet(evidence: DataFrame) -> DataFrame:
     """Items of (claim_id, ord, text, priority figures) that go to reasoning: by priority, bounded in number and length;
-    a claim's fact-checks beyond the fifth leave their places to other items."""
+    a claim's fact-checks beyond the fifth leave their places to other items, and the first two items always go."""
     priority = (F.when(F.col("fact_check"), 100).when(F.col("primary"), 90).when(F.col("discrepant"), 80).when(F.col("stance").isin("SUPPORTING", "CONTRADICTING"), 70)
                 .when(F.col("stance") == "NEUTRAL", 40).otherwise(20))
     by = Window.partitionBy("claim_id").orderBy(F.col("priority").desc(), "ord")
-    chars = F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(ITEM_CHARS)).cast("long")
     nth = F.row_number().over(Window.partitionBy("claim_id", "fact_check").orderBy("ord"))
     evidence = evidence.withColumn("_nth", nth).where(~F.coalesce("fact_check", F.lit(False)) | (F.col("_nth") <= PACKET_FACT_CHECKS))
-    first = evidence.select("claim_id", "ord", chars.alias("chars"), priority.alias("priority")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PACKET_ITEMS)
-    return first.withColumn("total", F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= PACKET_CHARS)
+    first = evidence.select("claim_id", "ord", "text", priority.alias("priority")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PACKET_ITEMS)
+    first = first.withColumn("snippet", packet_text(F.col("text"))).drop("text").withColumn("chars", F.length("snippet").cast("long"))
+    total = F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("total", total).where((F.col("total") <= PACKET_CHARS) | (F.col("rank") <= 2))
