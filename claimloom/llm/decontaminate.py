@@ -69,10 +69,12 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, size: int =
         """A row for each place of each chunk; place -1 of a document, if asked for, has token 0."""
         begin = F.when((F.col("c") == 0) & F.lit(first < 0), F.lit(-1)).otherwise((F.col("c") * CHUNK).cast("int"))
         end = F.least(F.col("c") * CHUNK + CHUNK, F.col("n_words")).cast("int") - 1
-        places = F.when(end >= begin, F.sequence(begin, F.greatest(end, begin))).otherwise(F.array().cast("array<int>"))
-        of = lambda at, k: F.when(at < 0, F.lit(0).cast("long")).otherwise(shingle(F.col("ws"), at - F.col("base"), k))
-        made = F.transform(places, lambda at: F.struct(at.alias("at"), F.array_distinct(F.array(*[of(at, k) for k in sizes])).alias("tokens")))
-        return df.select("*", F.inline(made)).withColumn("token", F.explode("tokens")).drop("tokens")
+        places = F.when(end >= begin, F.sequence(begin, F.greatest(end, begin)))
+        placed = df.withColumn("at", F.explode(places))
+        made = [F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(shingle(F.col("ws"), F.col("at") - F.col("base"), k)) for k in sizes]
+        if len(made) == 1:
+            return placed.withColumn("token", made[0])
+        return placed.withColumn("token", F.explode(F.array_distinct(F.array(*made))))
 
     wanted = each.select("token").distinct()
     counts = tokens(parts, 0).select("token").join(near(wanted), "token").groupBy("token").agg(F.count("*").alias("df"))
