@@ -17,7 +17,7 @@
    is what near copies share. A set walks the tree with the overlap so far; a subtree is
    left when the shingles that remain on either side can't reach the threshold, or when it
    belongs to the set's component already. The first sets walk alone, the later ones together.
-   Texts are compared there by their words' bytes, hashes only name them.
+   Texts that link are compared by their words' bytes too; hashes only name words and shingles.
 4. A block beyond ``block_rows`` classes or ``block_shingles`` shingles is split into parts, each with
    a few representatives of the block, so most of a group of near copies is one component after
    this round. A second round compares the classes outside the block's largest component, which are
@@ -99,20 +99,37 @@ def shingle_sets(texts: list[bytes], size: int, rolling: Rolling) -> tuple[np.nd
 
 
 def same_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Whether strings of one name are equal, byte by byte; and the first string of each name."""
-    _, first, of = np.unique(name, return_index=True, return_inverse=True)
-    twin, n = first[of], end - start
-    if (n != n[twin]).any():
+    """Whether strings of one name are equal, eight bytes at a time; and a string of each name."""
+    order = np.argsort(name)
+    again = name[order[1:]] == name[order[:-1]]
+    first = order[np.append(True, ~again)] if len(name) else order
+    a, b = order[1:][again], order[:-1][again]
+    n, at = end - start, start.copy()
+    if (n[a] != n[b]).any():
         return False, first
-    other = np.flatnonzero(twin != np.arange(len(name)))
-    n = n[other]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return bool((data[np.repeat(start[other], n) + step] == data[np.repeat(start[twin[other]], n) + step]).all()), first
+    words = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    left = n[a]
+    while len(a):
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)))
+        if ((words[at[a]] ^ words[at[b]]) & mask).any():
+            return False, first
+        more = left > 8
+        a, b, left = a[more], b[more], left[more] - 8
+        at += 8
+        at[at >= len(data)] = 0  # of strings that have ended
+    return True, first
+
+
+def same_rows(name: np.ndarray, rows: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Whether rows of one name are equal; and a row of each name."""
+    order = np.argsort(name)
+    again = name[order[1:]] == name[order[:-1]]
+    return bool((rows[order[1:][again]] == rows[order[:-1][again]]).all()), order[np.append(True, ~again)] if len(name) else order
 
 
 def names_hold(texts: list[bytes], size: int, rolling: Rolling) -> bool:
     """Whether in these texts equal hashes mean equal words, and equal shingle hashes equal words in turn."""
-    kept, shingles = [], []
+    kept, names, rows = [], [], []
     for _, group in pieces_of(texts):
         data = LOWERED[np.frombuffer(b" ".join([*group, b""]), np.uint8)]
         start, end = word_bounds(data)
@@ -121,14 +138,19 @@ def names_hold(texts: list[bytes], size: int, rolling: Rolling) -> bool:
         if not ok:
             return False
         kept += [data[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if len(word) >= size:  # those over the edge of two texts do no harm
-            shingles.append(np.unique(np.stack([shingled(word, size)[: len(word) - size + 1], *(word[k : len(word) - size + 1 + k] for k in range(size))], 1), axis=0))
+        n = len(word) - size + 1
+        if n > 0:  # shingles over the edge of two texts do no harm
+            name, row = shingled(word, size)[:n], np.stack([word[k : n + k] for k in range(size)], 1)
+            ok, first = same_rows(name, row)
+            if not ok:
+                return False
+            names.append(name[first])
+            rows.append(row[first])
+    if len(names) < 2:
+        return True
     data = np.frombuffer(b" ".join([*kept, b""]), np.uint8)
     start, end = word_bounds(data)
-    if not same_strings(data, start, end, rolling.of(rolling.sums(data), start, end))[0]:
-        return False
-    rows = np.unique(np.concatenate(shingles), axis=0) if shingles else np.zeros((0, 1), np.uint64)
-    return len(np.unique(rows[:, 0])) == len(rows)
+    return same_strings(data, start, end, rolling.of(rolling.sums(data), start, end))[0] and same_rows(np.concatenate(names), np.concatenate(rows))[0]
 
 
 def plain_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -342,7 +364,7 @@ def trie_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None =
     while at < n:
         # The batch's sets walk together; a step is a set at a node, with the overlap on the way there.
         # Batches grow, since what the first sets link is left by the later ones.
-        i = np.arange(at, min(n, at + min(batch, 1 + at // 4)))
+        i = np.arange(at, min(n, at + min(batch, 1 + at // 2)))
         at += len(i)
         own = np.array([find(x) for x in order])
         change = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, n)
@@ -450,13 +472,18 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
             at += len(group)
         if len(sets) < 2:
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        if not names_hold([raw[k] for k in keys], size, rolling):
-            sets = plain_sets([raw[k] for k in keys], size)
+
+        def links(sets: list[np.ndarray]) -> np.ndarray:
+            names = np.unique(np.concatenate(sets))
+            rank = np.empty(len(names), np.uint32)
+            rank[np.lexsort((names, -counts.value[(names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)))] = np.arange(len(names))
+            return trie_links([np.sort(rank[np.searchsorted(names, s)]) for s in sets], percent, table["known"].to_numpy()[keys])
+
+        got = links(sets)
+        linked = np.flatnonzero(np.bincount(got, minlength=len(got))[got] > 1)
+        if not names_hold([raw[keys[k]] for k in linked], size, rolling):
+            got = links(plain_sets([raw[k] for k in keys], size))
         del raw
-        names = np.unique(np.concatenate(sets))
-        rank = np.empty(len(names), np.uint32)
-        rank[np.lexsort((names, -counts.value[(names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)))] = np.arange(len(names))
-        got = trie_links([np.sort(rank[np.searchsorted(names, s)]) for s in sets], percent, table["known"].to_numpy()[keys])
         ids = table["class"].to_numpy()[keys]
         return pd.DataFrame({"a": ids, "b": ids[got]})
 
