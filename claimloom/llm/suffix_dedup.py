@@ -160,10 +160,17 @@ def repeats(data: np.ndarray, size: np.ndarray, left: np.ndarray, half: np.ndarr
     Phrases are consecutive in ``data``; the first ``left`` bytes of each end with its trigger.
     """
     begin = np.cumsum(size) - size
-    place = np.arange(depth)
-    reach = lambda at, n: np.where(place < n[:, None], data[np.clip(at, 0, len(data) - 1)], 0)
-    dictionary = reach((begin + left - 1)[:, None] - place, left)
-    parse = reach((begin + left - GRAM)[:, None] + place, size - left + GRAM)
+
+    def part(first: np.ndarray, step: int, n: np.ndarray) -> np.ndarray:
+        """Up to ``depth`` bytes from ``first`` on, in either direction, zeros after ``n``."""
+        out = np.zeros((len(n), depth), np.uint8)
+        for k in range(depth):
+            rows = np.flatnonzero(n > k)
+            out[rows, k] = data[first[rows] + step * k]
+        return out
+
+    dictionary = part(begin + left - 1, -1, left)
+    parse = part(begin + left - GRAM, 1, size - left + GRAM)
     d_order, d_common = suffix_array(dictionary)
     p_order, p_common = suffix_array(parse)
     suffix, following = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
