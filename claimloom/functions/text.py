@@ -40,10 +40,12 @@ def words(text: Column, keep_stop_words: bool = True) -> Column:
 
 
 def word_ngrams(ws: Column, n: int) -> Column:
-    """Distinct n-grams, in order."""
-    last = F.size(ws) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams, in order. ``ws`` stays outside of lambdas, where it would be evaluated for each n-gram."""
+    many = F.greatest(F.size(ws) - n + 1, F.lit(0))
+    grams = F.slice(ws, 1, many)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(ws, k + 1, many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

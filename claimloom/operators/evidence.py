@@ -32,13 +32,22 @@ RATING_WORDS = [
 ]
 
 
+#: Rows of a table of words that is still broadcast, some 50 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def beside(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as the smaller side of a join: broadcast if it has at most ``most`` rows, else left to the optimizer."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def relevant_documents(claims: DataFrame, docs: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` documents of each claim by relevance, clamp(2.5 Jaccard + 0.5 share of claim words)."""
     def tokens(df: DataFrame, key: str) -> DataFrame:
         ws = df.select(key, T.words(F.col("text"), False).alias("ws"))  # distinct already
         return ws.select(key, F.size("ws").cast("long").alias("n_" + key), F.explode("ws").alias("w"))
 
-    met = tokens(docs, "doc_id").join(tokens(claims, "item_id"), "w").groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("common"))
+    met = tokens(docs, "doc_id").join(beside(tokens(claims, "item_id")), "w").groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("common"))
     both = F.col("common").cast("double")
     score = F.least(F.lit(1.0), both / (F.col("n_item_id") + F.col("n_doc_id") - F.col("common")) * 2.5 + both / F.col("n_item_id") * 0.5)
     ranked = met.withColumn("relevance", F.round(score, 6)).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("relevance").desc(), "doc_id")))
