@@ -155,9 +155,24 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Joins on keys of which one may hold a large part of ``left``; ``right`` has a row for each
-    key and is repeated for each salt, so such a key's rows go to ``salts`` tasks."""
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+#: Keys that are dealt to several tasks at most, and the rows from which on one is.
+HOT_KEYS, HOT_ROWS = 1000, 500
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner", every: bool = False) -> DataFrame:
+    """Joins on keys of which a few may hold a large part of ``left``; ``right`` has a row for each key.
+    A count finds the ``HOT_KEYS`` with the most rows; their rows go to ``salts`` tasks, and theirs alone
+    are repeated in ``right``. Any other key holds less than one row in ``HOT_KEYS``. ``every``: without
+    a count, where ``left`` is the dearer side by far, all of ``right`` is repeated."""
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    if every:
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    many = left.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
+    hot = written(many.orderBy(F.col("_rows").desc()).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(each)).drop("_hot")
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -88,7 +88,7 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, size: int =
         met = tokens(parts, -1).join(F.broadcast(written(prefix.unionByName(blank), "prefix")), "token").withColumn("start", start)
     else:
         prefix = written(prefix, "prefix")
-        found = salted_join(tokens(parts, 0).select("row", "c", "at", "token"), prefix.drop("win"), ["token"]).select("row", "c", "win_id", "n", start.alias("start"))
+        found = salted_join(tokens(parts, 0).select("row", "c", "at", "token"), prefix.drop("win"), ["token"], every=True).select("row", "c", "win_id", "n", start.alias("start"))
         met = parts.join(found.hint("merge"), ["row", "c"]).join(prefix.select("win_id", "win").hint("merge"), "win_id")
     inner = F.col("start") - F.col("base")
     whole = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")) & (F.slice("ws", F.greatest(inner + 1, F.lit(1)), F.col("n")) == F.col("win"))
