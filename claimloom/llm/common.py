@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +66,8 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 #: Joins of whole texts with a filtered table of ids drop most other texts before the shuffle, by Spark's
-#: runtime Bloom filter: 2 MB at any size of input; where it fills up, more texts are shuffled.
+#: runtime Bloom filter: 2 MB at any size of input; where it fills up, more texts are shuffled. Spark only
+#: makes one from a side with a comparison in its filter, as in ``class >= 0``; ``is not null`` won't do.
 BLOOM = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in {
     "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1GB", "expectedNumItems": "2000000", "numBits": str(1 << 24)}.items()}
 
@@ -122,6 +125,14 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return spark.table(table)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: workers outlive their tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def size_of(df: DataFrame) -> int:
     """The optimizer's size of ``df`` in bytes: file sizes, for a scan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

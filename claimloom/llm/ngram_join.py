@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, ranges_for, salted_join, settings, written
+from .common import BLOOM, give_back, ranges_for, salted_join, settings, written
 from .graph import components
 from .slabs import NO_ID, Rolling, mix, pack, unpack
 
@@ -265,6 +265,8 @@ def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
             total += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([pack([(x, 6)]) for x in np.split(total, parts)], pa.binary())], names=["part", "blob"])
+        del total
+        give_back()
 
     def add(table: pd.DataFrame) -> pd.DataFrame:
         total = sum(unpack(b, [6])[0].astype(np.int64) for b in table["blob"])
@@ -431,6 +433,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32(), pa.binary()], strict=True)],
                                              names=["doc_id", "n", "node", "other", "bucket", "blob"])
+        give_back()
 
     made = written(docs.mapInArrow(prefixes, "doc_id long, n long, node long, other long, bucket int, blob binary"), "prefixes")
     members = made.where("n is not null").select("doc_id", "n", "node", "other")
@@ -483,13 +486,14 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
         linked = np.flatnonzero(np.bincount(got, minlength=len(got))[got] > 1)
         if not names_hold([raw[keys[k]] for k in linked], size, rolling):
             got = links(plain_sets([raw[k] for k in keys], size))
-        del raw
+        del raw, sets
+        give_back()
         ids = table["class"].to_numpy()[keys]
         return pd.DataFrame({"a": ids, "b": ids[got]})
 
     def compared(wanted: DataFrame) -> DataFrame:
         """Components of the links of ``wanted`` (doc_id, node, class, known, block, meet): classes that meet in a task."""
-        texts = keyed.join(written(wanted, "wanted").where("class is not null"), "doc_id").select("block", "meet", "node", "class", "known", "text")
+        texts = keyed.join(written(wanted, "wanted").where("class >= 0"), "doc_id").select("block", "meet", "node", "class", "known", "text")
         with settings(spark, BLOOM):
             return written(texts.groupBy("block", "meet").applyInPandas(join, "a long, b long").where("a != b"), "links")
 
