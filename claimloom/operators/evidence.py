@@ -58,6 +58,28 @@ def first_wins(evidence: DataFrame, key: str, order: str) -> DataFrame:
     return evidence.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
+#: Titles of one domain with this share of common words are one title (fixed value).
+SAME_TITLE = 0.80
+
+
+def dedup_greedy(evidence: DataFrame) -> DataFrame:
+    """Rows of (claim_id, ord, title, canonical_url, domain) that no kept row of their claim before them is like: by
+    URL, by title, or by domain and most words of the title. Likeness isn't transitive, so a claim's rows, which
+    retrieval bounds, are folded in order; all other columns stay out of the fold."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+    rows = evidence.select("claim_id", F.struct("ord", F.coalesce("canonical_url", F.lit("")).alias("url"), F.lower(F.coalesce("domain", F.lit(""))).alias("domain"), bare.alias("t"),
+                                                F.array_remove(F.array_distinct(F.split(bare, " ")), "").alias("ws")).alias("row"))
+    claims = rows.groupBy("claim_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+    def alike(old, new):
+        close = (old["domain"] != "") & (old["domain"] == new["domain"]) & (T.jaccard(old["ws"], new["ws"]) >= SAME_TITLE)
+        return (old["url"] == new["url"]) | ((new["t"] != "") & (old["t"] == new["t"])) | close
+
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda have, row: F.when(F.exists(have, lambda old: alike(old, row)), have).otherwise(F.concat(have, F.array(row))))
+    ids = claims.select("claim_id", F.explode(F.transform(kept, lambda r: r["ord"])).alias("ord"))
+    return evidence.join(ids, ["claim_id", "ord"], "left_semi")
+
+
 def rate(ratings: DataFrame) -> DataFrame:
     """Verdict and stance of ``rating``: the table, else words in it, else Unverified and neutral."""
     key = F.lower(F.trim("rating"))
