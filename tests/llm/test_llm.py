@@ -99,7 +99,7 @@ def test_trie_links_of_random_sets():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = c.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, SF)
