@@ -35,7 +35,7 @@ from .graph import components
 
 BLOCK = 8
 #: Vectors at home in a leaf, vectors in a task, levels of splits, and vectors that go to the driver to find splits and centres.
-LEAF, TASK, LEVELS, SAMPLE, CENTRES = 4096, 16384, 12, 16384, 1024
+LEAF, TASK, LEVELS, SAMPLE, CENTRES = 16384, 49152, 12, 16384, 1024
 #: Vectors of the sample near a centre, from which on its ball is crowded.
 CROWD = 5
 SLACK = 1e-9
