@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom.functions import lexicon as W
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
 from claimloom.operators import claims as K
@@ -31,11 +32,12 @@ def candidate_sentences(spark, sf_dir):
     return sentences(spark, sf_dir).select("doc_id", "n", K.is_candidate(F.col("s")).alias("candidate"))
 
 
-CANDIDATE_SQL = rf"""
-WITH {SENTENCES}, w AS (SELECT *, trim(s) AS t, lower(trim(s)) AS l, len(string_split_regex(trim(s), '\s+')) AS k FROM s)
-SELECT doc_id, n, length(t) >= 8 AND k >= 3 AND NOT ends_with(t, '?') AND NOT regexp_matches(t, '{K.GREETING}') AND NOT regexp_matches(t, '{K.BOILERPLATE}')
-  AND NOT (k < 12 AND ({' OR '.join(f"starts_with(l, '{o}') OR contains(l, ' {o} ')" for o in K.OPINIONS)})) AND (k >= 4 OR regexp_matches(l, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(K.AUXILIARIES)})([^\p{{L}}\p{{N}}_]|$)')) AS candidate FROM w
-"""
+#: What a claim may not look like, written out again for the oracle.
+ASKING = r"(?i)^(could|is|are|will|can|should|what if|why|how)\s+.*\?"
+CANDIDATE = rf"""length({{0}}) >= 8 AND len(string_split_regex({{0}}, '\s+')) >= 3 AND NOT ends_with({{0}}, '?') AND NOT regexp_matches({{0}}, '{ASKING}') AND NOT regexp_matches({{0}}, '{K.GREETING}')
+  AND NOT regexp_matches({{0}}, '{K.BOILERPLATE}') AND NOT (len(string_split_regex({{0}}, '\s+')) < 12 AND ({' OR '.join(f"starts_with(lower({{0}}), '{o}') OR contains(lower({{0}}), ' {o} ')" for o in K.OPINIONS)}))
+  AND (len(string_split_regex({{0}}, '\s+')) >= 4 OR {W.has_word_sql('{0}', W.event_words() + W.AUXILIARIES)})"""
+CANDIDATE_SQL = f"WITH {SENTENCES}, w AS (SELECT doc_id, n, trim(s) AS t FROM s) SELECT doc_id, n, {CANDIDATE.replace('{0}', 't')} AS candidate FROM w"
 
 
 def claim_types(spark, sf_dir):
@@ -86,7 +88,7 @@ def _list(*parts):
     return "list_concat(" * (len(parts) - 1) + parts[0] + "".join(f", {p})" for p in parts[1:])
 
 
-ROUTING_SQL = f"""
+ROUTING_SQL = rf"""
 WITH b AS ({CLAIM_FIELDS.replace('array()', '[]::VARCHAR[]').replace('array(', 'list_value(')}),
  k AS (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z0-9$%€₹-]+'), lambda w: len(w) > 1 AND lower(w) NOT IN ({quoted(T.QUERY_STOP_WORDS)}))[1:7] AS ws, {_list("CASE WHEN speaker IS NULL THEN []::VARCHAR[] ELSE [speaker] END", "organizations[1:2]", "persons[1:2]", "locations[1:2]")} AS es FROM b),
  t AS (SELECT *, list_filter(ws, lambda w: NOT list_contains(es, w))[1:3] AS ts, coalesce(organizations[1], persons[1]) AS anchor FROM k),
@@ -164,23 +166,6 @@ WITH m AS (SELECT doc_id, lower({MENTIONS}) AS t, [{quoted(V.MONTHS[:12])}][doc_
 SELECT doc_id, CASE WHEN NOT list_has_any(a, b) THEN b[1] END AS month FROM f
 """
 
-STANCE_VIEW = """
-SELECT doc_id, doc_id % 13 = 0 AS critical, doc_id % 11 = 0 AS numeric, CAST(doc_id % 10 AS DOUBLE) / 10 AS relevance, n_chars, doc_id % 7 AS common, doc_id % 2 = 0 AS action, doc_id % 4 = 0 AS action_supported, doc_id % 6 AS n_supported FROM documents
-"""
-
-
-def stance(spark, sf_dir):
-    given = spark.sql(STANCE_VIEW.replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`"))
-    return given.withColumn("stance", V.stance()).select("doc_id", "stance", V.stance_confidence(F.col("stance")).alias("confidence"))
-
-
-STANCE_SQL = f"""
-WITH v AS ({STANCE_VIEW}), s AS (SELECT *, CASE WHEN critical OR numeric THEN 'CONTRADICTING' WHEN relevance < 0.18 OR n_chars < 40 OR common < 2 THEN 'INSUFFICIENT'
-  WHEN (action AND NOT action_supported) OR (NOT action AND n_supported < 2) THEN 'NEUTRAL' ELSE 'SUPPORTING' END AS stance FROM v)
-SELECT doc_id, stance, (CASE WHEN critical THEN 0.9 WHEN numeric THEN 0.88 WHEN stance = 'INSUFFICIENT' THEN 0.7 WHEN stance = 'NEUTRAL' THEN 0.8 ELSE round(least(0.95, 0.75 + 0.06 * n_supported), 2) END)::DOUBLE AS confidence FROM s
-"""
-
-
 def clusters(spark, sf_dir):
     """Claims of 20 documents each; equal texts are duplicates, equal lengths modulo 7 syndicated."""
     docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("claim_id"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("h"), (F.col("n_chars") % 31).alias("m"))
@@ -222,9 +207,9 @@ SELECT * FROM t WHERE total <= 10000 OR rank <= 2
 
 QUERIES = {
     "candidate_sentences": candidate_sentences, "claim_types": claim_types, "claim_similarity": claim_similarity, "query_routing": query_routing, "url_validate": url_validate, "source_age": source_age,
-    "wire_agencies": wire_agencies, "temporal_discrepancy": temporal_discrepancy, "stance": stance, "clusters": clusters, "evidence_packet": evidence_packet,
+    "wire_agencies": wire_agencies, "temporal_discrepancy": temporal_discrepancy, "clusters": clusters, "evidence_packet": evidence_packet,
 }
 ORACLES = {
     "candidate_sentences": CANDIDATE_SQL, "claim_types": CLAIM_TYPES_SQL, "claim_similarity": SIMILARITY_SQL, "query_routing": ROUTING_SQL, "url_validate": URL_SQL, "source_age": SOURCE_AGE_SQL,
-    "wire_agencies": WIRE_SQL, "temporal_discrepancy": TEMPORAL_SQL, "stance": STANCE_SQL, "clusters": CLUSTERS_SQL, "evidence_packet": PACKET_SQL,
+    "wire_agencies": WIRE_SQL, "temporal_discrepancy": TEMPORAL_SQL, "clusters": CLUSTERS_SQL, "evidence_packet": PACKET_SQL,
 }

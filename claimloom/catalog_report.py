@@ -48,13 +48,23 @@ DUPLICATE_CLUSTERS_SQL = f"""WITH {REP} SELECT claim_id, cluster, representative
 
 
 def cluster_consensus(spark, sf_dir):
-    return R.cluster_consensus(evidence(spark, sf_dir))
+    """With some items of no cluster and some without a comparison."""
+    given = evidence(spark, sf_dir).withColumn("cluster", F.when(F.col("n_chars") % 19 > 0, F.col("cluster"))).withColumn("stance", F.when(F.col("n_chars") % 7 > 2, F.col("stance")))
+    return R.cluster_consensus(given)
 
 
-CONSENSUS = f"""{REP}, per AS (SELECT claim_id, count(*) FILTER (cluster_stance = 'SUPPORTING') AS independent_supporting, count(*) FILTER (cluster_stance = 'CONTRADICTING') AS independent_contradicting FROM rep GROUP BY 1),
- raw AS (SELECT claim_id, count(*) FILTER (stance = 'SUPPORTING') AS supporting, count(*) AS items, count(fact_checker) AS fact_checks FROM e GROUP BY 1),
+def consensus_cte(rep):
+    """``rep``: CTEs to e and o. Adds raw, per and con."""
+    return f"""{rep}, un AS (SELECT *, coalesce(cluster, 'item ' || evidence_id) AS unit FROM o), md AS (SELECT claim_id, unit, stance AS most FROM (SELECT claim_id, unit, stance, count(*) AS n FROM un WHERE stance IS NOT NULL GROUP BY ALL)
+   QUALIFY row_number() OVER (PARTITION BY claim_id, unit ORDER BY n DESC, stance) = 1), us AS (SELECT claim_id, coalesce(stance, most) AS unit_stance FROM (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY claim_id, unit ORDER BY origin DESC, evidence_id) = 1) LEFT JOIN md USING (claim_id, unit)),
+ per AS (SELECT claim_id, count(*) FILTER (unit_stance = 'SUPPORTING') AS independent_supporting, count(*) FILTER (unit_stance = 'CONTRADICTING') AS independent_contradicting FROM us GROUP BY 1),
+ raw AS (SELECT claim_id, count(*) FILTER (stance = 'SUPPORTING') AS supporting, count(stance) AS items, count(fact_checker) FILTER (stance IS NOT NULL) AS fact_checks FROM e GROUP BY 1),
  con AS (SELECT *, CASE WHEN independent_supporting + independent_contradicting > 0 THEN round(independent_supporting::DOUBLE / (independent_supporting + independent_contradicting), 3) ELSE 0.0::DOUBLE END AS agreement_ratio FROM raw JOIN per USING (claim_id))"""
-CONSENSUS_SQL = f"""WITH {CONSENSUS} SELECT *, CASE WHEN independent_supporting > 0 AND independent_contradicting = 0 THEN independent_supporting || ' independent source(s) corroborate the claim (' || supporting || ' total article(s)).'
+
+
+CONSENSUS = consensus_cte(REP)
+PARTED = REP.replace(f"e AS ({EVIDENCE})", f"e0 AS ({EVIDENCE}), e AS (SELECT * REPLACE (CASE WHEN n_chars % 19 > 0 THEN cluster END AS cluster, CASE WHEN n_chars % 7 > 2 THEN stance END AS stance) FROM e0)")
+CONSENSUS_SQL = f"""WITH {consensus_cte(PARTED)} SELECT *, CASE WHEN independent_supporting > 0 AND independent_contradicting = 0 THEN independent_supporting || ' independent source(s) corroborate the claim (' || supporting || ' total article(s)).'
   WHEN independent_supporting > 0 THEN 'Conflicting reporting: ' || independent_supporting || ' independent source(s) support, while ' || independent_contradicting || ' contradict (' || round_even(round(agreement_ratio * 100, 6), 0)::INTEGER || '% agreement).'
   WHEN independent_contradicting > 0 THEN independent_contradicting || ' independent source(s) contradict the claim.' ELSE 'No conclusive supporting or contradicting evidence found across ' || items || ' retrieved item(s).' END AS summary FROM con"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.functions import lexicon as W
 from claimloom.functions import numbers as N
 from claimloom.functions import text as T
 from claimloom.operators import signals as S
@@ -57,8 +58,8 @@ def claim_normalize(spark, sf_dir):
     return planted(spark, sf_dir).select("doc_id", T.digest(out).alias("digest"), F.substring(F.reverse(out), 1, 60).alias("end_reversed"))
 
 
-def _normal_sql():
-    out = "trim(t)"
+def _normal_sql(text="t"):
+    out = f"trim({text})"
     for pattern, long in S.ABBREVIATIONS.items():
         out = f"regexp_replace({out}, {q(pattern)}, {q(long)}, 'g')"
     for pattern, code in S.CURRENCIES.items():
@@ -66,13 +67,14 @@ def _normal_sql():
     return out
 
 
-CLAIM_NORMALIZE_SQL = rf"""
-WITH p AS ({PLANTED}), a AS (SELECT doc_id, {_normal_sql()} AS t FROM p),
- b AS (SELECT doc_id, string_split_regex(t, {q(S.POINTS)}) AS gaps, regexp_extract_all(t, {q(S.POINTS)}, 1) AS points FROM a),
- c AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i <= len(points) THEN (points[i]::INTEGER / 100.0)::DOUBLE::VARCHAR || '%' ELSE '' END), ''), '\s+', ' ', 'g')) AS t FROM b),
- d AS (SELECT doc_id, CASE WHEN t = '' OR regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS t FROM c)
-SELECT doc_id, sha256(t) AS digest, left(reverse(t), 60) AS end_reversed FROM d
-"""
+def normalize_sql(source):
+    """CTE ``source``_n: ``source`` (t, ...) with its normal form ``normal``."""
+    return rf"""{source}_na AS (SELECT *, {_normal_sql()} AS n0 FROM {source}), {source}_nb AS (SELECT *, string_split_regex(n0, {q(S.POINTS)}) AS gaps, regexp_extract_all(n0, {q(S.POINTS)}, 1) AS points FROM {source}_na),
+ {source}_nc AS (SELECT * EXCLUDE (n0, gaps, points), trim(regexp_replace(array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i <= len(points) THEN (points[i]::INTEGER / 100.0)::DOUBLE::VARCHAR || '%' ELSE '' END), ''), '\s+', ' ', 'g')) AS n1 FROM {source}_nb),
+ {source}_n AS (SELECT * EXCLUDE (n1), CASE WHEN n1 = '' OR regexp_matches(n1, '[.!?]$') THEN n1 ELSE n1 || '.' END AS normal FROM {source}_nc)"""
+
+
+CLAIM_NORMALIZE_SQL = f"WITH p AS ({PLANTED}), {normalize_sql('p')} SELECT doc_id, sha256(normal) AS digest, left(reverse(normal), 60) AS end_reversed FROM p_n"
 
 
 def sentences(spark, sf_dir):
@@ -87,10 +89,9 @@ def factual_signals(spark, sf_dir):
     return sentences(spark, sf_dir).select("doc_id", "n", S.is_factual(F.col("s")).alias("factual"))
 
 
-FACTUAL_SQL = rf"""
-WITH {SENTENCES} SELECT doc_id, n, regexp_matches(s, '[0-9]') OR regexp_matches(s, '(?i){S.CURRENCY}') OR regexp_matches(s, {q(edge('|'.join([S.DAYS, S.CAUSES, *S.event_words(), *S.SAYING])))})
-  OR regexp_matches(s, '(?i)(^|[^\p{{L}}\p{{N}}_])(is|are|was|were)($|[^\p{{L}}\p{{N}}_.?!])([^.?!]{{0,59}}[^\p{{L}}\p{{N}}_.?!])?(tallest|longest|largest|biggest|smallest|shortest|oldest|newest|first|last|only|visible|located|situated|invented|discovered|founded|headquartered)($|[^\p{{L}}\p{{N}}_])') AS factual FROM s
-"""
+FACTUAL = rf"""(regexp_matches({{0}}, '[0-9]') OR regexp_matches({{0}}, '(?i){S.CURRENCY}') OR regexp_matches({{0}}, {q(edge('|'.join([S.DAYS, S.CAUSES])))}) OR {W.has_word_sql('{0}', W.event_words() + W.SAYING)}
+  OR regexp_matches({{0}}, '(?i)(^|[^\p{{{{L}}}}\p{{{{N}}}}_])(is|are|was|were)($|[^\p{{{{L}}}}\p{{{{N}}}}_.?!])([^.?!]{{{{0,59}}}}[^\p{{{{L}}}}\p{{{{N}}}}_.?!])?(tallest|longest|largest|biggest|smallest|shortest|oldest|newest|first|last|only|visible|located|situated|invented|discovered|founded|headquartered)($|[^\p{{{{L}}}}\p{{{{N}}}}_])'))""".replace("{{", "{").replace("}}", "}")
+FACTUAL_SQL = f"WITH {SENTENCES} SELECT doc_id, n, {FACTUAL.replace('{0}', 's')} AS factual FROM s"
 
 
 def claim_attribution(spark, sf_dir):
@@ -109,14 +110,21 @@ def claim_entities(spark, sf_dir):
     return e.select("doc_id", F.size("e").cast("long").alias("n"), *[F.array_join(S.entity_texts(F.col("e"), *k), "|").alias(name) for name, k in (("dates", ["DATE"]), ("numbers", ["MONEY", "PERCENT"]), ("locations", ["GPE"]))])
 
 
-ENTITIES_SQL = rf"""
-WITH p AS ({PLANTED}), f AS (SELECT doc_id, list_concat({', '.join(f"list_transform(regexp_extract_all(t, {q(p)}), lambda x: {{'label': '{k}', 'text': trim(x)}})" for k, p in S.ENTITIES[:2])}) AS a,
-   {', '.join(f"list_transform(regexp_extract_all(t, {q(p)}), lambda x: {{'label': '{k}', 'text': trim(x)}}) AS l{j}" for j, (k, p) in enumerate(S.ENTITIES[2:]))} FROM p),
- g AS (SELECT doc_id, list_concat(list_concat(list_concat(a, l0), l1), l2) AS a FROM f),
- e AS (SELECT doc_id, list_filter(a, lambda x, i: x.label = 'GPE' OR len(list_filter(a[1:i - 1], lambda y: lower(y.text) = lower(x.text))) = 0) AS a FROM g),
- k AS (SELECT doc_id, len(a) AS n, list_transform(list_filter(a, lambda x: x.label = 'DATE'), lambda x: x.text) AS d, list_transform(list_filter(a, lambda x: x.label IN ('MONEY', 'PERCENT')), lambda x: x.text) AS m,
-   list_transform(list_filter(a, lambda x: x.label = 'GPE'), lambda x: x.text) AS l FROM e)
-SELECT doc_id, n::BIGINT AS n, {', '.join(f"array_to_string(list_filter({c}, lambda x, i: list_position({c}, x) = i), '|') AS {name}" for c, name in (('d', 'dates'), ('m', 'numbers'), ('l', 'locations')))} FROM k
+def entities_sql(source, key):
+    """CTE ``source``_e: ``source`` (key, t) with a, its entities in order, and the lists dates, numbers and locations."""
+    distinct = lambda labels: f"list_filter(list_transform(list_filter(a, lambda x: x.label IN ({labels})), lambda x: x.text), lambda x, i: list_position(list_transform(list_filter(a, lambda y: y.label IN ({labels})), lambda y: y.text), x) = i)"
+    found = ", ".join(f"list_transform(regexp_extract_all(t, {q(p)}), lambda x: {{'label': '{k}', 'text': trim(x)}}) AS l{j}" for j, (k, p) in enumerate(S.ENTITIES))
+    joined = "l0"
+    for j in range(1, len(S.ENTITIES)):
+        joined = f"list_concat({joined}, l{j})"
+    return f"""{source}_f AS (SELECT *, {found} FROM {source}), {source}_g AS (SELECT *, {joined} AS all_ FROM {source}_f),
+ {source}_h AS (SELECT *, list_filter(all_, lambda x, i: x.label = 'GPE' OR len(list_filter(all_[1:i - 1], lambda y: lower(y.text) = lower(x.text))) = 0) AS a FROM {source}_g),
+ {source}_e AS (SELECT * EXCLUDE (all_, {', '.join(f'l{j}' for j in range(len(S.ENTITIES)))}), {distinct("'DATE'")} AS dates, {distinct("'MONEY', 'PERCENT'")} AS numbers, {distinct("'GPE'")} AS locations FROM {source}_h)"""
+
+
+ENTITIES_SQL = f"""
+WITH p AS ({PLANTED}), {entities_sql('p', 'doc_id')}
+SELECT doc_id, len(a)::BIGINT AS n, {', '.join(f"array_to_string({c}, '|') AS {c}" for c in ('dates', 'numbers', 'locations'))} FROM p_e
 """
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import lexicon as W
 from claimloom.functions import text as T
 
 #: Openings, opinions, boilerplate and the words behind claim types (fixed values).
@@ -19,7 +20,7 @@ OPINIONS = (
     "in my opinion", "i think", "i feel", "i believe", "we believe", "experts believe this could", "could change everything", "is this the beginning",
     "many people say", "some may argue", "to be honest", "needless to say", "in my view", "personally speaking", "pure speculation",
 )
-AUXILIARIES = "is are was were be been has have had do does did".split()
+RHETORICAL = r"(?i)^(could|is|are|will|can|should|what if|why|how)\s+.*\?"
 FINANCIAL = ("repo rate", "inflation", "gdp", "profit", "revenue", "loss", "budget", "tax", "emi", "inr", "usd", "$", "₹")
 STATISTIC = ("percent", "%", "crore", "lakh", "billion", "million")
 POLICY = ("approved", "bill", "law", "policy", "cabinet", "ban", "guidelines", "decree", "rule")
@@ -36,14 +37,14 @@ def any_of(text: Column, parts) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
 
 
-def is_candidate(text: Column, verbs=AUXILIARIES) -> Column:
+def is_candidate(text: Column, verbs: list[str] | None = None) -> Column:
     """Sentences worth a claim: long enough, no question, greeting, boilerplate or short opinion; of
-    three words only with one of ``verbs`` (the lexicon is a parameter, auxiliaries by default)."""
+    three words only with one of ``verbs`` (words of events and auxiliaries by default)."""
     s = F.trim(text)
     low, n = F.lower(s), F.size(F.split(s, r"\s+"))
     opinion = reduce(lambda a, b: a | b, [low.startswith(o) | F.contains(low, F.lit(f" {o} ")) for o in OPINIONS])
-    verb = low.rlike(r"\b(" + "|".join(verbs) + r")\b")
-    return (F.length(s) >= 8) & (n >= 3) & ~s.endswith("?") & ~s.rlike(GREETING) & ~s.rlike(BOILERPLATE) & ~(opinion & (n < 12)) & ((n >= 4) | verb)
+    plain = ~s.endswith("?") & ~s.rlike(RHETORICAL) & ~s.rlike(GREETING) & ~s.rlike(BOILERPLATE)
+    return (F.length(s) >= 8) & (n >= 3) & plain & ~(opinion & (n < 12)) & ((n >= 4) | W.has_word(s, verbs or W.event_words() + W.AUXILIARIES))
 
 
 def claim_type(text: Column, attributed: Column, numbers: Column, persons: Column, organizations: Column, dated: Column) -> Column:

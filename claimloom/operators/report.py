@@ -20,14 +20,20 @@ REPUTABLE, LOW_META, LOW_RELIABILITY = 75, 0.40, 40
 LEVELS = {"HIGH": 1.0, "MEDIUM": 0.7, "LOW": 0.3}
 
 
-def representatives(evidence: DataFrame) -> DataFrame:
-    """(claim_id, cluster, representative, size): the item of a cluster with the highest origin score, the first of equal ones."""
+def origin_score() -> Column:
+    """How likely an item is the origin of its cluster."""
     category = F.col("category")
     origin = F.when(category.isin("GOVERNMENT", "REGULATORY"), 50.0).when(category == "FACT_CHECKER", 40.0).when(F.col("domain").isin(*WIRE_DOMAINS), 45.0).otherwise(0.0)
     score = (origin + F.when(F.col("primary"), 20.0).otherwise(0.0) + F.col("meta_score") * 10.0 + F.least(F.coalesce("n_chars", F.lit(0)) / 100.0, F.lit(15.0))
              + F.when(F.coalesce("published_at", F.lit("")) != "", 10.0).otherwise(0.0))
-    best = F.max(F.struct(F.round(score, 6).alias("score"), (-F.col("evidence_id")).alias("id")))
-    return evidence.groupBy("claim_id", "cluster").agg((-best["id"]).alias("representative"), F.count("*").alias("size"))
+    return F.round(score, 6)
+
+
+def representatives(evidence: DataFrame) -> DataFrame:
+    """(claim_id, cluster, representative, size): the item of a cluster with the highest origin score, the first of equal ones.
+    Ids may be of any type with an order."""
+    best = F.min(F.struct((-origin_score()).alias("score"), F.col("evidence_id").alias("id")))
+    return evidence.groupBy("claim_id", "cluster").agg(best["id"].alias("representative"), F.count("*").alias("size"))
 
 
 def item_status(evidence: DataFrame) -> DataFrame:
@@ -45,13 +51,23 @@ def duplicate_clusters(evidence: DataFrame) -> DataFrame:
     return met.groupBy("claim_id", "cluster", "representative", "size").agg(others.alias("others"))
 
 
+def units(evidence: DataFrame, *also: Column) -> DataFrame:
+    """A row for each independent unit of a claim, a cluster or an item of none, with ``also`` aggregated: its stance is its
+    representative's or, where that has none, the most frequent of its items (of equally frequent ones the first by name)."""
+    unit = F.struct("cluster", F.when(F.col("cluster").isNull(), F.col("evidence_id")).alias("item"))
+    best = F.min(F.struct((-origin_score()).alias("score"), F.col("evidence_id").alias("id"), F.col("stance").alias("stance")))
+    mode = F.mode("stance", True)
+    return evidence.withColumn("unit", unit).groupBy("claim_id", "unit").agg(F.coalesce(best["stance"], mode).alias("unit_stance"), *also)
+
+
 def cluster_consensus(evidence: DataFrame) -> DataFrame:
-    """Stance counts of items and, by their representatives' stances, of clusters; agreement and a summary."""
-    stances = evidence.select("claim_id", F.col("evidence_id").alias("representative"), F.col("stance").alias("cluster_stance"))
-    per = representatives(evidence).join(stances, ["claim_id", "representative"]).groupBy("claim_id").agg(
-        F.count_if(F.col("cluster_stance") == "SUPPORTING").alias("independent_supporting"), F.count_if(F.col("cluster_stance") == "CONTRADICTING").alias("independent_contradicting"))
-    raw = evidence.groupBy("claim_id").agg(F.count_if(F.col("stance") == "SUPPORTING").alias("supporting"), F.count("*").alias("items"), F.count("fact_checker").alias("fact_checks"))
-    out = raw.join(per, "claim_id")
+    """Stance counts of items and of their independent units, agreement and a summary, of the items with a stance: one pass
+    over the evidence, clusters being a first level of groups."""
+    told = F.col("stance").isNotNull()
+    per = units(evidence, F.count_if(F.col("stance") == "SUPPORTING").alias("supporting"), F.count_if(told).alias("items"), F.count(F.when(told, F.col("fact_checker"))).alias("fact_checks"))
+    total = lambda c: F.sum(c).alias(c)
+    out = per.groupBy("claim_id").agg(total("supporting"), total("items"), total("fact_checks"), F.count_if(F.col("unit_stance") == "SUPPORTING").alias("independent_supporting"),
+                                      F.count_if(F.col("unit_stance") == "CONTRADICTING").alias("independent_contradicting"))
     s, c = F.col("independent_supporting"), F.col("independent_contradicting")
     out = out.withColumn("agreement_ratio", F.when(s + c > 0, F.round(s / (s + c), 3)).otherwise(0.0))
     share = F.bround(F.round(F.col("agreement_ratio") * 100, 6)).cast("int")
@@ -86,18 +102,32 @@ def penalties(evidence: DataFrame) -> DataFrame:
 
 
 def claim_figures(evidence: DataFrame) -> DataFrame:
-    """What the score components of a claim are made of, by one pass over its evidence."""
-    up = F.col("stance") == "SUPPORTING"
-    official = F.col("source_type").isin(*OFFICIAL_TYPES) | F.col("category").isin(*OFFICIAL_CATEGORIES)
-    check = F.when(F.col("fact_checker").isNotNull(), F.when(up, 1.0).when(F.col("stance") == "CONTRADICTING", 0.0).otherwise(0.5))
+    """What the score components and the penalties of a claim are made of: one pass over its evidence, with the independent
+    units as a first level of groups. A unit's discrepancies go on as a list, at most one entry for each of its items."""
+    up, down = F.col("stance") == "SUPPORTING", F.col("stance") == "CONTRADICTING"
+    official = F.col("category").isin(*OFFICIAL_CATEGORIES)
+    check = F.when(F.col("fact_checker").isNotNull(), F.when(up, 1.0).when(down, 0.0).otherwise(0.5))
     shown = F.when(F.col("meta_score") > 0, F.col("meta_score")).otherwise(S.mapped(F.col("transparency"), LEVELS, 0.5))
-    per = evidence.groupBy("claim_id").agg(
-        F.count_if(up).alias("supporting"), F.count_if(F.col("stance") == "CONTRADICTING").alias("contradicting"), F.count_if(F.col("stance") == "NEUTRAL").alias("neutral"),
-        F.avg(F.when(up, F.col("reliability"))).alias("support_reliability"), F.avg("reliability").alias("mean_reliability"), F.avg(check).alias("fact_check_mean"),
-        F.bool_or(up & official).alias("official"), F.bool_or(up & F.col("primary")).alias("primary_support"), F.round(F.avg(shown), 6).alias("transparency_mean"))
-    independent = cluster_consensus(evidence).select("claim_id", F.col("independent_supporting").alias("independent"))
-    lost = penalties(evidence).groupBy("claim_id").agg(F.sum("amount").alias("penalty"))
-    return per.join(independent, "claim_id").join(lost, "claim_id", "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    low = F.when(F.col("meta_score") > 0, F.col("meta_score") < LOW_META).otherwise(F.col("transparency") == "LOW")
+    means = {"support_reliability": F.when(up, F.col("reliability")), "mean_reliability": F.col("reliability"), "fact_check_mean": check, "transparency_mean": shown}
+    sums = [x for k, v in means.items() for x in (F.sum(v).alias(f"{k}_sum"), F.count(v).alias(f"{k}_n"))]
+    counts = {"supporting": up, "contradicting": down, "neutral": F.col("stance") == "NEUTRAL", "strong": down & ((F.col("reliability") >= REPUTABLE) | official)}
+    flags = {"official": F.bool_or(up & (F.col("source_type").isin(*OFFICIAL_TYPES) | official)), "primary_support": F.bool_or(up & F.col("primary")),
+             "dim": F.every(F.when(up, low)), "weak": F.every(F.when(up, F.col("reliability") < LOW_RELIABILITY))}
+    points = C.penalty_points(F.upper(F.coalesce("severity", F.lit("MAJOR"))))
+    found = F.when(F.col("kind").isNotNull(), F.struct("kind", "aspect", F.col("evidence_id").alias("id"), points.alias("points")))
+    per = units(evidence, *sums, *[F.count_if(v).alias(k) for k, v in counts.items()], *[v.alias(k) for k, v in flags.items()],
+                F.collect_list(found).alias("found"), F.collect_set(F.when(down, F.col("fact_checker"))).alias("checkers"))
+    whole = per.groupBy("claim_id").agg(
+        *[F.sum(k).alias(k) for k in counts], *[(F.sum(f"{k}_sum") / F.nullif(F.sum(f"{k}_n"), F.lit(0))).alias(k) for k in means],
+        F.bool_or("official").alias("official"), F.bool_or("primary_support").alias("primary_support"), F.every("dim").alias("dim"), F.every("weak").alias("weak"),
+        F.count_if(F.col("unit_stance") == "SUPPORTING").alias("independent"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("checkers")))).alias("checkers"))
+    # sorted by kind, aspect and id: the first of each kind and aspect counts
+    first = F.filter("found", lambda x, i: (i == 0) | ~F.struct(x["kind"], x["aspect"]).eqNullSafe(F.struct(F.get("found", i - 1)["kind"], F.get("found", i - 1)["aspect"])))
+    lost = F.aggregate(first, F.lit(0.0), lambda a, x: a + x["points"])
+    refuted = F.when(F.col("checkers") > 0, F.col("checkers") * C.REFUTATION).when(F.col("strong") > 0, C.REFUTATION).otherwise(0.0)
+    anonymous = F.when((F.col("supporting") > 0) & (F.coalesce("dim", F.lit(False)) | F.coalesce("weak", F.lit(False))), C.ANONYMOUS).otherwise(0.0)
+    return whole.withColumn("penalty", lost + refuted + anonymous).withColumn("transparency_mean", F.round("transparency_mean", 6)).drop("found", "checkers", "dim", "weak", "strong")
 
 
 def breakdown(components: DataFrame, lost: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ TARGET_SOURCES, LEAST_INDEPENDENT, LEAST_DECISIVE = 3, 2, 2
 IMPORTANCE = {"HIGH": 1.0, "MEDIUM": 0.7, "LOW": 0.4}
 
 
-def components(claims: DataFrame) -> DataFrame:
-    """(claim_id, factor, raw, contribution) of per-claim figures."""
+def _components() -> Column:
+    """(factor, raw, contribution) of a row of per-claim figures, in the order of the factors."""
     s, c = F.col("supporting"), F.col("contradicting")
     raw = {
         "evidence_agreement": F.when(s + c > 0, s / (s + c)).when(F.col("neutral") > 0, 0.5).otherwise(0.0),
@@ -24,8 +24,12 @@ def components(claims: DataFrame) -> DataFrame:
         "official_evidence": F.when(F.col("official"), 1.0).when(F.col("primary_support"), 0.8).otherwise(0.0),
         "transparency": F.coalesce("transparency_mean", F.lit(0.5)),
     }
-    rows = F.array(*[F.struct(F.lit(k).alias("factor"), v.cast("double").alias("raw"), F.round(v * w * 100.0, 2).alias("contribution")) for (k, w), v in zip(FACTORS.items(), raw.values(), strict=True)])
-    return claims.select("claim_id", F.inline(rows))
+    return F.array(*[F.struct(F.lit(k).alias("factor"), v.cast("double").alias("raw"), F.round(v * w * 100.0, 2).alias("contribution")) for (k, w), v in zip(FACTORS.items(), raw.values(), strict=True)])
+
+
+def components(claims: DataFrame) -> DataFrame:
+    """(claim_id, factor, raw, contribution) of per-claim figures."""
+    return claims.select("claim_id", F.inline(_components()))
 
 
 def classification(score: Column) -> Column:
@@ -42,8 +46,7 @@ def penalty_points(severity: Column) -> Column:
 
 def claim_scores(claims: DataFrame) -> DataFrame:
     """(claim_id, score, classification): half-even, null where evidence is insufficient."""
-    total = components(claims).groupBy("claim_id").agg(F.sum("contribution").alias("total"))
-    out = claims.join(total, "claim_id")
+    out = claims.withColumn("total", F.aggregate(_components(), F.lit(0.0), lambda a, x: a + x["contribution"]))
     lacking = (F.col("independent") < LEAST_INDEPENDENT) | (F.col("supporting") + F.col("contradicting") < LEAST_DECISIVE)
     score = F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("total") - F.col("penalty"))), 6)).cast("int")
     out = out.withColumn("score", F.when(~lacking, score))

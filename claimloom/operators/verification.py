@@ -46,18 +46,6 @@ def month_conflict(claim_dates: Column, evidence: Column) -> Column:
     return F.when((F.size(claimed) > 0) & ~F.arrays_overlap(claimed, found), F.get(found, F.lit(0)))
 
 
-def stance() -> Column:
-    """Stance over critical, numeric, relevance, n_chars, common, action, action_supported, n_supported."""
-    weak = (F.col("relevance") < 0.18) | (F.col("n_chars") < 40) | (F.col("common") < 2)
-    neutral = F.when(F.col("action"), ~F.col("action_supported")).otherwise(F.col("n_supported") < 2)
-    return F.when(F.col("critical") | F.col("numeric"), "CONTRADICTING").when(weak, "INSUFFICIENT").when(neutral, "NEUTRAL").otherwise("SUPPORTING")
-
-
-def stance_confidence(of: Column) -> Column:
-    return (F.when(of == "CONTRADICTING", F.when(F.col("critical"), 0.9).otherwise(0.88)).when(of == "INSUFFICIENT", 0.7).when(of == "NEUTRAL", 0.8)
-            .otherwise(F.round(F.least(F.lit(0.95), 0.75 + 0.06 * F.col("n_supported")), 2)))
-
-
 def clusters(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
     """(claim_id, ord, cluster, cluster_type, confidence, independent): dependent ``pairs`` (claim_id, a < b,
     duplicate) join items. Retrieval keeps at most 20 items of a claim, so a claim's pairs fit in one row."""
