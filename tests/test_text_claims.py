@@ -145,11 +145,11 @@ def test_stance_from_texts(spark):
 
 
 def test_figures_and_months_conflict(spark):
-    claim = "The firm announced a rise of 5% for Gujarat in a plan of 5 March 2024."
-    got = A.judge(pairs(spark, claim, ["The firm announced a rise of 7% for Gujarat in its plan for April.", "The firm announced a rise of 5% for Gujarat, not 7%, on 5 March 2024."])).orderBy("doc_id").collect()
+    claim = "The firm announced a rise of 5 percent for Gujarat in a plan of 5 March 2024."
+    got = A.judge(pairs(spark, claim, ["The firm announced a rise of 7 percent for Gujarat in its plan for April.", "The firm announced a rise of 5 percent for Gujarat, not 7 percent, on 5 March 2024."])).orderBy("doc_id").collect()
     assert [(r.stance, r.confidence, len(r.conflicts), r.late_month) for r in got] == [("CONTRADICTING", 0.88, 1, "april"), ("SUPPORTING", 0.95, 0, None)]
     amount = [a for a in got[0].aspects if a.kind == "AMOUNT"][0]
-    assert (amount.status, amount.evidence_value) == ("CONTRADICTED", "7%")
+    assert (amount.status, amount.evidence_value) == ("CONTRADICTED", "7 percent")
 
 
 def test_best_quotes_take_the_first_of_equal_sentences(spark):
