@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom import catalog_claims, catalog_relations, catalog_report, catalog_signals, catalog_text
+from claimloom import catalog_checks, catalog_claims, catalog_relations, catalog_report, catalog_signals, catalog_text
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
 from claimloom.operators import evidence as E
+from claimloom.operators import factchecks as FC
 from claimloom.operators import scoring as C
 from claimloom.operators import sources as S
 
@@ -182,18 +183,21 @@ RATING_ROWS = [
 
 
 def rating_map(spark, sf_dir):
-    return E.rate(spark.createDataFrame([(x,) for x in RATING_ROWS], "rating string"))
+    """Ratings as they stand at the end of a review's snippet."""
+    snippet = F.concat(F.lit("Reviewed. Rating: "), F.element_at(F.array(*[F.lit(x) for x in RATING_ROWS]), (F.col("doc_id") % len(RATING_ROWS) + 1).cast("int")), F.lit(".\n"), F.coalesce("text", F.lit("")))
+    given = table(spark, sf_dir, "documents").select("doc_id", snippet.alias("snippet"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return E.rate(given.select("doc_id", FC.raw_rating().alias("rating")))
 
 
 RATING_SQL = f"""
-WITH g AS (SELECT unnest([{quoted(RATING_ROWS)}]) AS rating), t AS (SELECT * FROM (VALUES {', '.join("('%s', '%s', '%s')" % (k, *v) for k, v in E.RATINGS.items())}) AS v(k, verdict, stance)),
- r AS (SELECT rating, lower(trim(rating)) AS c FROM g), h AS (SELECT rating, c, CASE
+WITH g AS (SELECT doc_id, trim(rating) AS rating FROM (SELECT doc_id, [{quoted(RATING_ROWS)}][doc_id % {len(RATING_ROWS)} + 1] AS rating FROM documents)), t AS (SELECT * FROM (VALUES {', '.join("('%s', '%s', '%s')" % (k, *v) for k, v in E.RATINGS.items())}) AS v(k, verdict, stance)),
+ r AS (SELECT doc_id, rating, lower(rating) AS c FROM g), h AS (SELECT doc_id, rating, c, CASE
   WHEN regexp_matches(c, 'pants on fire|fake|fabricated|hoax|debunked|untrue|unfounded|bust|disproven') THEN 'False:CONTRADICTING' WHEN regexp_matches(c, 'misleading|distort') THEN 'Misleading:CONTRADICTING'
   WHEN regexp_matches(c, 'mostly false|mostly incorrect') THEN 'Mostly False:CONTRADICTING' WHEN regexp_matches(c, 'false|incorrect') AND regexp_matches(c, 'half|partly|mixture|partially') THEN 'Partly False:NEUTRAL'
   WHEN regexp_matches(c, 'false|incorrect') THEN 'False:CONTRADICTING' WHEN regexp_matches(c, 'mostly true|mostly correct|mostly accurate') THEN 'Mostly True:SUPPORTING'
   WHEN regexp_matches(c, 'true|correct|accurate|verified|confirmed') AND regexp_matches(c, 'half|partly|mixture|partially') THEN 'Partly True:NEUTRAL' WHEN regexp_matches(c, 'true|correct|accurate|verified|confirmed') THEN 'True:SUPPORTING'
   WHEN regexp_matches(c, 'half|mixture|mixed|unproven|unverified|inconclusive|context|disputed') THEN 'Needs Context:NEUTRAL' ELSE 'Unverified:NEUTRAL' END AS guess FROM r)
-SELECT rating, coalesce(t.verdict, split_part(guess, ':', 1)) AS verdict, coalesce(stance, split_part(guess, ':', 2)) AS stance FROM h LEFT JOIN t ON c = k
+SELECT doc_id, rating, coalesce(t.verdict, split_part(guess, ':', 1)) AS verdict, coalesce(stance, split_part(guess, ':', 2)) AS stance FROM h LEFT JOIN t ON c = k
 """
 
 
@@ -217,12 +221,12 @@ def claims_view(spark, sf_dir):
 
 COMPONENT_CTE = f"""
 {catalog_report.FIGURES}, c AS (SELECT claim_id, unnest(['evidence_agreement', 'source_quality', 'independent_sources', 'fact_checks', 'official_evidence', 'transparency']) AS factor,
-  unnest([CASE WHEN supporting + contradicting > 0 THEN supporting::DOUBLE / (supporting + contradicting) WHEN neutral > 0 THEN 0.5 ELSE 0 END, coalesce(support_reliability / 100.0::DOUBLE, mean_reliability / 100.0::DOUBLE * 0.5::DOUBLE, 0),
+  unnest([CASE WHEN independent + independent_contradicting > 0 THEN independent::DOUBLE / (independent + independent_contradicting) WHEN neutral > 0 THEN 0.5 ELSE 0 END, coalesce(support_reliability / 100.0::DOUBLE, mean_reliability / 100.0::DOUBLE * 0.5::DOUBLE, 0),
           least(independent / 3.0::DOUBLE, 1), coalesce(fact_check_mean, 0.5), CASE WHEN official THEN 1 WHEN primary_support THEN 0.8 ELSE 0 END, coalesce(transparency_mean, 0.5)]::DOUBLE[]) AS raw,
   unnest([0.25, 0.15, 0.20, 0.15, 0.20, 0.05]::DOUBLE[]) AS w FROM v), kk AS (SELECT claim_id, factor, raw, round((raw * w * 100)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE AS contribution FROM c)"""
 LABELS_SQL = "CASE WHEN score IS NULL THEN 'INSUFFICIENT EVIDENCE' WHEN score >= 90 THEN 'STRONGLY SUPPORTED' WHEN score >= 75 THEN 'MOSTLY SUPPORTED' WHEN score >= 50 THEN 'MIXED / UNCERTAIN' WHEN score >= 25 THEN 'WEAKLY SUPPORTED' ELSE 'STRONGLY CONTRADICTED' END AS classification"
 SCORE_CTE = f"""{COMPONENT_CTE}, t AS (SELECT claim_id, sum(contribution) AS total FROM kk GROUP BY 1),
- s AS (SELECT claim_id, doc, importance, CASE WHEN independent >= 2 AND supporting + contradicting >= 2 THEN round_even(round(greatest(0, least(100, total - penalty)), 6), 0)::INTEGER END AS score FROM v JOIN t USING (claim_id))"""
+ s AS (SELECT claim_id, doc, importance, CASE WHEN sources >= 2 AND supporting + contradicting >= 2 THEN round_even(round(greatest(0, least(100, total - penalty)), 6), 0)::INTEGER END AS score FROM v JOIN t USING (claim_id))"""
 
 
 def score_components(spark, sf_dir):
@@ -230,7 +234,7 @@ def score_components(spark, sf_dir):
 
 
 def claim_score(spark, sf_dir):
-    return C.claim_scores(claims_view(spark, sf_dir))
+    return C.claim_scores(claims_view(spark, sf_dir)).drop("agreement")
 
 
 def document_score(spark, sf_dir):
@@ -254,7 +258,7 @@ ORACLES = {
     "canonical_url": CANONICAL_SQL, "evidence_dedup_exact": DEDUP_SQL, "domain_category": DOMAIN_SQL, "content_ids": CONTENT_IDS_SQL, "trigram_similarity": TRIGRAM_SQL,
     "source_reliability": RELIABILITY_SQL, "rating_map": RATING_SQL, "stance_consensus": CONSENSUS_SQL, "score_components": COMPONENTS_SQL, "claim_score": CLAIM_SCORE_SQL, "document_score": DOCUMENT_SCORE_SQL,
 }
-QUERIES |= catalog_text.QUERIES | catalog_claims.QUERIES | catalog_signals.QUERIES | catalog_report.QUERIES | catalog_relations.QUERIES
-ORACLES |= catalog_text.ORACLES | catalog_claims.ORACLES | catalog_signals.ORACLES | catalog_report.ORACLES | catalog_relations.ORACLES | {"score_breakdown": catalog_report.breakdown_sql(COMPONENT_CTE)}
+QUERIES |= catalog_checks.QUERIES | catalog_text.QUERIES | catalog_claims.QUERIES | catalog_signals.QUERIES | catalog_report.QUERIES | catalog_relations.QUERIES
+ORACLES |= catalog_checks.ORACLES | catalog_text.ORACLES | catalog_claims.ORACLES | catalog_signals.ORACLES | catalog_report.ORACLES | catalog_relations.ORACLES | {"score_breakdown": catalog_report.breakdown_sql(COMPONENT_CTE), "cross_verified_scores": catalog_checks.cross_sql(SCORE_CTE, LABELS_SQL)}
 DOMAINS_SQL = f"SELECT unnest([{quoted(catalog_signals.DOMAINS)}]) AS domain UNION ALL SELECT DISTINCT domain FROM ({CANONICAL_SQL})"
 ORACLES["registry_lookup"] = catalog_signals.registry_sql(DOMAINS_SQL, DOMAIN_SQL.replace(f"SELECT unnest([{quoted(DOMAINS)}]) AS domain UNION ALL SELECT DISTINCT domain FROM ({CANONICAL_SQL})", DOMAINS_SQL))

@@ -130,16 +130,21 @@ DATES = ["2026-04-05T12:00:00Z", "2026-04-05T12:00:00+05:30", "2026-04-05T12:00:
 
 
 def source_age(spark, sf_dir):
-    given = spark.createDataFrame([(x,) for x in DATES], "published_at string")
+    """Event times as sources write them, and odd dates."""
+    ts, k = F.col("ts"), F.col("event_id") % 6
+    forms = {0: "yyyy-MM-dd'T'HH:mm:ss'Z'", 1: "yyyyMMdd'T'HHmmss", 2: "yyyyMMdd", 3: "yyyy-MM-dd", 4: "yyyyMMdd'T'HHmmss'Z'"}
+    raw = F.element_at(F.array(*[F.lit(x) for x in DATES]), (F.col("event_id") % len(DATES) + 1).cast("int"))
+    given = table(spark, sf_dir, "events").select("event_id", F.coalesce(*[F.when(k == n, F.date_format(ts, f)) for n, f in forms.items()], raw).alias("published_at"))
     return given.withColumn("days", V.age_days(F.col("published_at"), AS_OF)).withColumn("age", V.age_label(F.col("days")))
 
 
 SOURCE_AGE_SQL = rf"""
-WITH g AS (SELECT unnest([{quoted(DATES)}]) AS published_at),
- t AS (SELECT published_at, CASE WHEN regexp_matches(published_at, '^\d{{8}}$') THEN try_strptime(published_at, '%Y%m%d') WHEN regexp_matches(published_at, '^\d{{8}}T\d{{6}}Z?$') THEN try_strptime(replace(published_at, 'Z', ''), '%Y%m%dT%H%M%S')
+WITH g AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y%m%dT%H%M%S') WHEN 2 THEN strftime(ts, '%Y%m%d') WHEN 3 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN strftime(ts, '%Y%m%dT%H%M%SZ')
+   ELSE [{quoted(DATES)}][event_id % {len(DATES)} + 1] END AS published_at FROM events),
+ t AS (SELECT event_id, published_at, CASE WHEN regexp_matches(published_at, '^\d{{8}}$') THEN try_strptime(published_at, '%Y%m%d') WHEN regexp_matches(published_at, '^\d{{8}}T\d{{6}}Z?$') THEN try_strptime(replace(published_at, 'Z', ''), '%Y%m%dT%H%M%S')
    WHEN regexp_matches(published_at, '^\d{{4}}-\d{{2}}-\d{{2}}') THEN coalesce(TRY_CAST(published_at AS TIMESTAMP), TRY_CAST(published_at[1:10] AS TIMESTAMP)) END AS ts FROM g),
- d AS (SELECT published_at, CASE WHEN ts IS NOT NULL THEN greatest(floor(({AS_OF} - epoch(ts)) / 86400)::BIGINT, 0) END AS days FROM t)
-SELECT published_at, days, CASE WHEN days IS NULL THEN 'UNKNOWN' WHEN days <= 30 THEN 'VERY_RECENT' WHEN days <= 365 THEN 'RECENT' ELSE 'OLDER' END AS age FROM d
+ d AS (SELECT event_id, published_at, CASE WHEN ts IS NOT NULL THEN greatest(floor(({AS_OF} - epoch(ts)) / 86400)::BIGINT, 0) END AS days FROM t)
+SELECT event_id, published_at, days, CASE WHEN days IS NULL THEN 'UNKNOWN' WHEN days <= 30 THEN 'VERY_RECENT' WHEN days <= 365 THEN 'RECENT' ELSE 'OLDER' END AS age FROM d
 """
 
 #: Documents with planted mentions.

@@ -96,7 +96,7 @@ FIGURES = f"""{CONSENSUS}, {PENALTIES}, fig AS (SELECT claim_id, count(*) FILTER
    bool_or(stance = 'SUPPORTING' AND (source_type IN ('OFFICIAL', 'PRIMARY_DOCUMENT') OR category IN ('GOVERNMENT', 'REGULATORY', 'INTERNATIONAL_ORGANIZATION', 'ACADEMIC'))) AS official, bool_or(stance = 'SUPPORTING' AND primary_) AS primary_support,
    round(avg(CASE WHEN meta_score > 0 THEN meta_score ELSE CASE transparency WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.7 WHEN 'LOW' THEN 0.3 ELSE 0.5 END END), 6) AS transparency_mean FROM e GROUP BY 1),
  lost AS (SELECT claim_id, sum(amount) AS penalty FROM pen GROUP BY 1),
- v AS (SELECT fig.*, claim_id // 5 AS doc, {IMPORTANCE} AS importance, con.independent_supporting AS independent, coalesce(penalty, 0.0::DOUBLE) AS penalty FROM fig JOIN con USING (claim_id) LEFT JOIN lost USING (claim_id))"""
+ v AS (SELECT fig.*, claim_id // 5 AS doc, {IMPORTANCE} AS importance, con.independent_supporting AS independent, con.independent_contradicting, (SELECT count(DISTINCT unit) FROM un WHERE un.claim_id = fig.claim_id) AS sources, coalesce(penalty, 0.0::DOUBLE) AS penalty FROM fig JOIN con USING (claim_id) LEFT JOIN lost USING (claim_id))"""
 
 
 def claims(spark, sf_dir):

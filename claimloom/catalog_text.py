@@ -96,12 +96,12 @@ def claim_groups(spark, sf_dir):
     return got.select("doc_id", F.col("claim_index").cast("long").alias("claim_index"), "claim_id", "duplicate_of", T.digest(F.array_join("equivalents", "|")).alias("equivalents"))
 
 
-def claim_pairs(spark, sf_dir):
-    """Claims of the benchmark passages, each with its three most relevant documents."""
+def claim_pairs(spark, sf_dir, docs=None):
+    """Claims of the benchmark passages, documents (doc_id, text), and each claim's three most relevant ones."""
     none = F.array().cast("array<string>")
     made = X.extract_claims(rows(spark, sf_dir, CLAIMED).select("item_id", F.lit(None).cast("string").alias("title"), F.col("t").alias("text")), "item_id")
     claims = made.select(F.concat_ws(":", "item_id", "claim_id").alias("claim_id"), F.col("normalized").alias("claim"), "speaker", "entities", "dates", "numbers", "locations", none.alias("persons"), none.alias("organizations"))
-    docs = rows(spark, sf_dir, REPORTED).select("doc_id", F.col("t").alias("text"))
+    docs = docs or rows(spark, sf_dir, REPORTED).select("doc_id", F.col("t").alias("text"))
     top = E.relevant_documents(claims.select(F.col("claim_id").alias("item_id"), F.col("claim").alias("text")), docs).select(F.col("item_id").alias("claim_id"), "doc_id")
     return claims, docs, top
 
@@ -122,8 +122,9 @@ _DENIED = " OR ".join(f"regexp_matches(x, {CS.q('(?i)' + d)})" for d in S.DENIAL
 _ACTION = "CASE " + " ".join(rf"WHEN regexp_matches(lower(claim), '\b({b}|{w})\b') THEN '{b}'" for b, w in A.ACTIONS.items()) + " END"
 _BORNE = "CASE v " + " ".join(rf"WHEN '{b}' THEN regexp_matches(lower(ev), '\b({w})\b')" for b, w in A.ACTIONS.items()) + " ELSE false END"
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in V.MONTHS) + "]"
-STANCE_SQL = rf"""
-WITH r AS ({CLAIMED}), b AS (SELECT item_id, NULL::VARCHAR AS title, t FROM r), {claims_sql('b', 'item_id')}, dd AS ({REPORTED}),
+def stance_sql(docs):
+    """CTEs up to v0: the claims of the passages against their documents of ``docs`` (doc_id, t)."""
+    return rf"""r AS ({CLAIMED}), b AS (SELECT item_id, NULL::VARCHAR AS title, t FROM r), {claims_sql('b', 'item_id')}, dd AS ({docs}),
  q0 AS (SELECT item_id || ':' || claim_id AS claim_id, normal AS claim, speaker, a, dates, numbers, locations, {CONTENT.format('normal')} AS cw FROM claims), d0 AS (SELECT doc_id, t AS ev, {CONTENT.format('t')} AS dw FROM dd),
  m AS (SELECT claim_id, doc_id, len(cw) AS nc, len(dw) AS nd, len(list_intersect(cw, dw)) AS common FROM q0, d0 WHERE len(list_intersect(cw, dw)) > 0),
  s AS (SELECT *, least(1.0, common::DOUBLE / (nc + nd - common) * 2.5 + common::DOUBLE / nc * 0.5) AS rel FROM m),
@@ -144,11 +145,15 @@ WITH r AS ({CLAIMED}), b AS (SELECT item_id, NULL::VARCHAR AS title, t FROM r),
  x0 AS (SELECT claim_id, doc_id, cw, unnest(list_filter(ss, lambda x: len(x) > 5)) AS quote, unnest(range(len(list_filter(ss, lambda x: len(x) > 5)))) AS pos FROM k2 JOIN (SELECT claim_id, cw AS cw FROM q0) USING (claim_id)),
  x1 AS (SELECT *, len(list_intersect(cw, regexp_extract_all(lower(quote), '[\p{{L}}\p{{N}}_]{{3,}}'))) AS overlap FROM x0),
  x2 AS (SELECT * FROM x1 WHERE overlap >= 2 QUALIFY row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY overlap DESC, pos) = 1),
- v0 AS (SELECT *, CASE WHEN denied OR len(conf) > 0 THEN 'CONTRADICTING' WHEN rel < 0.18 OR len(ev) < 40 OR common < 2 THEN 'INSUFFICIENT' WHEN (acts AND NOT borne) OR (supported < 2 AND NOT borne) THEN 'NEUTRAL' ELSE 'SUPPORTING' END AS stance FROM y)
+ v0 AS (SELECT *, CASE WHEN denied OR len(conf) > 0 THEN 'CONTRADICTING' WHEN rel < 0.18 OR len(ev) < 40 OR common < 2 THEN 'INSUFFICIENT' WHEN (acts AND NOT borne) OR (supported < 2 AND NOT borne) THEN 'NEUTRAL' ELSE 'SUPPORTING' END AS stance FROM y)""".replace("k2 JOIN (SELECT claim_id, cw AS cw FROM q0) USING (claim_id)", "k2")
+
+
+STANCE_SQL = f"""
+WITH {stance_sql(REPORTED)}
 SELECT claim_id, doc_id, round(rel, 2) AS relevance, common::BIGINT AS common, denied, len(conf)::BIGINT AS n_conflicts, late_month, aspects, supported::BIGINT AS supported, stance,
   (CASE WHEN denied THEN 0.9 WHEN len(conf) > 0 THEN 0.88 WHEN stance = 'INSUFFICIENT' THEN 0.7 WHEN stance = 'NEUTRAL' THEN 0.8 ELSE round(least(0.95, 0.75 + 0.06 * supported), 2) END)::DOUBLE AS confidence, overlap::BIGINT AS overlap, sha256(quote) AS quote
 FROM v0 LEFT JOIN (SELECT claim_id, doc_id, overlap, quote FROM x2) USING (claim_id, doc_id)
-""".replace("k2 JOIN (SELECT claim_id, cw AS cw FROM q0) USING (claim_id)", "k2")
+"""
 
 QUERIES = {"extract_claims": extract_claims, "claim_groups": claim_groups, "stance": stance}
 #: Which claim comes first decides on duplicates one by one: tested against a loop.

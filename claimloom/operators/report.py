@@ -121,7 +121,8 @@ def claim_figures(evidence: DataFrame) -> DataFrame:
     whole = per.groupBy("claim_id").agg(
         *[F.sum(k).alias(k) for k in counts], *[(F.sum(f"{k}_sum") / F.nullif(F.sum(f"{k}_n"), F.lit(0))).alias(k) for k in means],
         F.bool_or("official").alias("official"), F.bool_or("primary_support").alias("primary_support"), F.every("dim").alias("dim"), F.every("weak").alias("weak"),
-        F.count_if(F.col("unit_stance") == "SUPPORTING").alias("independent"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("checkers")))).alias("checkers"))
+        F.count_if(F.col("unit_stance") == "SUPPORTING").alias("independent"), F.count_if(F.col("unit_stance") == "CONTRADICTING").alias("independent_contradicting"), F.count("*").alias("sources"),
+        F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("checkers")))).alias("checkers"))
     # sorted by kind, aspect and id: the first of each kind and aspect counts
     first = F.filter("found", lambda x, i: (i == 0) | ~F.struct(x["kind"], x["aspect"]).eqNullSafe(F.struct(F.get("found", i - 1)["kind"], F.get("found", i - 1)["aspect"])))
     lost = F.aggregate(first, F.lit(0.0), lambda a, x: a + x["points"])

@@ -15,7 +15,7 @@ IMPORTANCE = {"HIGH": 1.0, "MEDIUM": 0.7, "LOW": 0.4}
 
 def _components() -> Column:
     """(factor, raw, contribution) of a row of per-claim figures, in the order of the factors."""
-    s, c = F.col("supporting"), F.col("contradicting")
+    s, c = F.col("independent"), F.col("independent_contradicting")
     raw = {
         "evidence_agreement": F.when(s + c > 0, s / (s + c)).when(F.col("neutral") > 0, 0.5).otherwise(0.0),
         "source_quality": F.coalesce(F.col("support_reliability") / 100.0, F.col("mean_reliability") / 100.0 * 0.5, F.lit(0.0)),
@@ -45,12 +45,12 @@ def penalty_points(severity: Column) -> Column:
 
 
 def claim_scores(claims: DataFrame) -> DataFrame:
-    """(claim_id, score, classification): half-even, null where evidence is insufficient."""
-    out = claims.withColumn("total", F.aggregate(_components(), F.lit(0.0), lambda a, x: a + x["contribution"]))
-    lacking = (F.col("independent") < LEAST_INDEPENDENT) | (F.col("supporting") + F.col("contradicting") < LEAST_DECISIVE)
+    """(claim_id, doc, importance, agreement, score, classification): half-even, null where sources or decisive items are too few."""
+    out = claims.withColumn("parts", _components()).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["contribution"]))
+    lacking = (F.col("sources") < LEAST_INDEPENDENT) | (F.col("supporting") + F.col("contradicting") < LEAST_DECISIVE)
     score = F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("total") - F.col("penalty"))), 6)).cast("int")
     out = out.withColumn("score", F.when(~lacking, score))
-    return out.select("claim_id", "doc", "importance", "score", classification(F.col("score")).alias("classification"))
+    return out.select("claim_id", "doc", "importance", F.get("parts", F.lit(0))["raw"].alias("agreement"), "score", classification(F.col("score")).alias("classification"))
 
 
 def document_scores(scores: DataFrame) -> DataFrame:
