@@ -12,6 +12,7 @@ from claimloom.operators import evidence as E
 from claimloom.operators import factchecks as FC
 from claimloom.operators import grounding as G
 from claimloom.operators import neighbours as N
+from claimloom.operators import tfidf
 from claimloom.operators import scoring as C
 
 #: Snippets of reviews that documents get, by doc_id.
@@ -156,11 +157,24 @@ WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBL
 SELECT vec_id, cluster, (count(*) OVER (PARTITION BY cluster))::BIGINT AS size FROM c
 """
 
+def tfidf_matches(spark, sf_dir):
+    """Every twentieth document against all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return tfidf.tfidf_matches(docs, "doc_id", docs.where(F.col("doc_id") % 20 == 0)).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
+
+
+TFIDF_SQL = rf"""
+WITH t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+ f AS (SELECT w, count(*) AS df FROM t GROUP BY 1), r AS (SELECT doc_id, w, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS raw FROM t JOIN f USING (w)),
+ v AS (SELECT doc_id, w, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS x FROM r), s AS (SELECT a.doc_id AS query, b.doc_id, sum(a.x * b.x) AS cosine FROM v a JOIN v b ON a.w = b.w AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query, doc_id, round(cosine, 6) AS cosine FROM s WHERE cosine >= 0.85
+"""
+
 QUERIES = {
     "fact_check_alignment": fact_check_alignment, "cross_verified_scores": cross_verified_scores, "finding_validation": finding_validation, "name_grounding": name_grounding, "grounded_claims": grounded_claims,
-    "embedding_clusters": embedding_clusters,
+    "embedding_clusters": embedding_clusters, "tfidf_matches": tfidf_matches,
 }
 #: Likeness by longest blocks has no SQL form: name_grounding and grounded_claims are tested against loops. cross_verified_scores gets its oracle in ``catalog``.
-ORACLES = {"fact_check_alignment": ALIGNMENT_SQL, "finding_validation": FINDING_SQL, "embedding_clusters": EMBEDDING_SQL}
+ORACLES = {"fact_check_alignment": ALIGNMENT_SQL, "finding_validation": FINDING_SQL, "embedding_clusters": EMBEDDING_SQL, "tfidf_matches": TFIDF_SQL}
 
 

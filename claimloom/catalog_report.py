@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.operators import assembly as A
 from claimloom.operators import report as R
 from claimloom.operators import scoring as C
 
@@ -194,11 +195,60 @@ GAPS_SQL = f"""WITH e AS ({EVIDENCE}), p AS (SELECT claim_id, CASE WHEN claim_id
    WHEN total > 0 AND supporting = 0 AND claim_id % 3 <> 1 THEN list_append(gs, 'No supporting evidence was retrieved for this claim in the searched sources; no independent source corroborates the assertion.') ELSE gs END AS gs FROM g)
 SELECT claim_id, array_to_string(gs, '|') AS gaps, array_to_string(list_transform(gs, lambda x: 'evidence_gap'), ',') AS types FROM a"""
 
+def claim_rows(spark, sf_dir):
+    """Claims of the evidence, of which some have none: five to a document."""
+    return evidence(spark, sf_dir).select("claim_id").distinct().select("claim_id", F.floor(F.col("claim_id") / 5).alias("doc"), (F.col("claim_id") % 5).alias("place"), F.expr(IMPORTANCE).alias("importance"),
+                                                                       F.concat(F.lit("Claim "), "claim_id").alias("claim_text"))
+
+
+def reports(spark, sf_dir):
+    got = A.reports(claim_rows(spark, sf_dir), evidence(spark, sf_dir).where(F.col("claim_id") % 17 != 3))
+    cards = lambda c, s: F.array_join(F.transform(c[f"{s}_evidence"], lambda x: x["evidence_id"].cast("string")), "+")
+    told = F.array_join(F.transform("claims", lambda c: F.concat_ws("/", c["claim_id"].cast("string"), c["importance"], F.coalesce(c["score"].cast("string"), F.lit("-")), c["summary"], c["sources"].cast("string"), cards(c, "supporting"), cards(c, "contradicting"))), "|")
+    return got.select("doc", "score", "classification", "executive_summary", told.alias("claims"), *A.TOTALS, "sources")
+
+
+def report_totals(spark, sf_dir):
+    return A.totals(evidence(spark, sf_dir).withColumn("doc", F.floor(F.col("claim_id") / 5)))
+
+
+def _put(text, value):
+    return "'" + text.replace("'", "''").replace("{}", f"' || {value} || '") + "'"
+
+
+def reports_sql(scores, labels):
+    """``scores``: CTEs up to s (claim_id, doc, importance, score), v and k of the claims with evidence."""
+    some = scores.replace(f"e AS ({EVIDENCE})", f"e AS (SELECT * FROM ({EVIDENCE}) WHERE claim_id % 17 <> 3)")
+    texts = " ".join(f"WHEN classification = '{k}' THEN {_put(t, 'sources')}" for k, t in A.CLAIM_TEXTS.items())
+    count = lambda kinds, text: f"CASE WHEN count(*) FILTER (score IS NOT NULL AND classification IN ({kinds})) > 0 THEN count(*) FILTER (score IS NOT NULL AND classification IN ({kinds})) || ' {text}' END"
+    return f"""
+WITH all_claims AS (SELECT DISTINCT claim_id, claim_id // 5 AS doc, claim_id % 5 AS place, {IMPORTANCE} AS importance FROM ({EVIDENCE})),
+ got AS (WITH {some}, cnt AS (SELECT claim_id, count(*) AS items, count(*) FILTER (stance = 'SUPPORTING') AS supporting, count(*) FILTER (stance = 'CONTRADICTING') AS contradicting, count(*) FILTER (stance = 'NEUTRAL') AS neutral, count(*) FILTER (stance = 'INSUFFICIENT') AS insufficient,
+    count(fact_checker) AS fact_checks, string_agg(evidence_id::VARCHAR, '+' ORDER BY relevance DESC, evidence_id) FILTER (stance = 'SUPPORTING') AS sup, string_agg(evidence_id::VARCHAR, '+' ORDER BY relevance DESC, evidence_id) FILTER (stance = 'CONTRADICTING') AS con FROM e GROUP BY 1)
+   SELECT claim_id, score, sources, (SELECT count(DISTINCT kind || ':' || aspect || ':' || lower(value)) FROM e WHERE e.claim_id = s.claim_id AND kind IS NOT NULL) AS discrepancies, cnt.* EXCLUDE (claim_id) FROM s JOIN (SELECT claim_id, sources FROM v) USING (claim_id) JOIN cnt USING (claim_id)),
+ c0 AS (SELECT a.claim_id, doc, place, importance, score, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*A.TOTALS, 'sources', 'discrepancies'))}, coalesce(sup, '') AS sup, coalesce(con, '') AS con, {labels} FROM all_claims a LEFT JOIN got USING (claim_id)),
+ c1 AS (SELECT *, CASE WHEN score IS NULL THEN {_put(A.TOO_LITTLE, 'sources')} ELSE concat_ws(' ', CASE {texts} END, CASE WHEN fact_checks > 0 THEN fact_checks || ' verified fact-check review(s) were analyzed.' END,
+   CASE WHEN discrepancies > 0 THEN discrepancies || ' factual discrepancy(ies) were identified against reporting.' END) END AS summary, CASE importance WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END AS w FROM c0),
+ d0 AS (SELECT doc, round_even(round(sum(w * score) FILTER (score IS NOT NULL) / sum(w) FILTER (score IS NOT NULL), 6), 0)::INTEGER AS score, count(*) AS n, count(score) AS n_scored, {', '.join(f'sum({c})::BIGINT AS {c}' for c in (*A.TOTALS, 'sources'))},
+   concat_ws(', ', {count("'STRONGLY SUPPORTED', 'MOSTLY SUPPORTED'", 'supported by independent evidence')}, {count("'STRONGLY CONTRADICTED', 'WEAKLY SUPPORTED'", 'contradicted or contested')}, {count("'MIXED / UNCERTAIN'", 'with mixed evidence')},
+     CASE WHEN count(*) > count(score) THEN (count(*) - count(score)) || ' with insufficient corroboration' END) AS parts,
+   string_agg(claim_id || '/' || importance || '/' || coalesce(score::VARCHAR, '-') || '/' || summary || '/' || sources || '/' || sup || '/' || con, '|' ORDER BY CASE importance WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, place) AS claims FROM c1 GROUP BY doc),
+ d1 AS (SELECT *, {labels} FROM d0)
+SELECT doc, score, classification, {', '.join(A.TOTALS)}, sources, claims, 'The submitted content contains ' || n || ' material factual claim(s). ' || CASE WHEN n_scored = 0 THEN '{A.ALL_BELOW}' ELSE 'Analysis indicates: ' || parts || '. ' ||
+  CASE WHEN score IS NOT NULL THEN 'The overall document credibility is evaluated as ''' || classification || ''' (' || score || '/100).' ELSE 'Overall document assessment is ''' || classification || '''.' END END || ' {A.CAVEAT}' AS executive_summary FROM d1
+"""
+
+
+TOTALS_SQL = f"""WITH e AS (SELECT *, claim_id // 5 AS doc FROM ({EVIDENCE})) SELECT doc, claim_id, CASE GROUPING(doc, claim_id) WHEN 0 THEN 'claim' WHEN 1 THEN 'document' ELSE 'all' END AS level, count(*) AS items, count(*) FILTER (stance = 'SUPPORTING') AS supporting,
+ count(*) FILTER (stance = 'CONTRADICTING') AS contradicting, count(*) FILTER (stance = 'NEUTRAL') AS neutral, count(*) FILTER (stance = 'INSUFFICIENT') AS insufficient, count(fact_checker) AS fact_checks, count(DISTINCT cluster) AS sources FROM e GROUP BY ROLLUP (doc, claim_id)"""
+
 QUERIES = {
+    "reports": reports, "report_totals": report_totals,
     "representatives": representatives, "duplicate_clusters": duplicate_clusters, "cluster_consensus": cluster_consensus, "key_discrepancies": key_discrepancies, "penalties": penalties, "claim_figures": claim_figures,
     "score_breakdown": score_breakdown, "evidence_cards": evidence_cards, "evidence_summary": evidence_summary, "document_summary": document_summary, "report_order": report_order, "citations": citations, "absence_gaps": absence_gaps,
 }
 ORACLES = {
+    "report_totals": TOTALS_SQL,
     "representatives": REPRESENTATIVES_SQL, "duplicate_clusters": DUPLICATE_CLUSTERS_SQL, "cluster_consensus": CONSENSUS_SQL, "key_discrepancies": DISCREPANCIES_SQL, "penalties": PENALTIES_SQL, "claim_figures": FIGURES_SQL,
     "evidence_cards": CARDS_SQL, "evidence_summary": SUMMARY_SQL, "document_summary": DOCUMENT_SUMMARY_SQL, "report_order": ORDER_SQL, "citations": CITATIONS_SQL, "absence_gaps": GAPS_SQL,
 }

@@ -101,9 +101,10 @@ def penalties(evidence: DataFrame) -> DataFrame:
     return d.unionByName(r).unionByName(s).unionByName(a)
 
 
-def claim_figures(evidence: DataFrame) -> DataFrame:
+def claim_figures(evidence: DataFrame, card: Column | None = None) -> DataFrame:
     """What the score components and the penalties of a claim are made of: one pass over its evidence, with the independent
-    units as a first level of groups. A unit's discrepancies go on as a list, at most one entry for each of its items."""
+    units as a first level of groups. A unit's discrepancies go on as a list, at most one entry for each of its items, and so do
+    the values of ``card``, as cards, in their order."""
     up, down = F.col("stance") == "SUPPORTING", F.col("stance") == "CONTRADICTING"
     official = F.col("category").isin(*OFFICIAL_CATEGORIES)
     check = F.when(F.col("fact_checker").isNotNull(), F.when(up, 1.0).when(down, 0.0).otherwise(0.5))
@@ -115,16 +116,20 @@ def claim_figures(evidence: DataFrame) -> DataFrame:
     flags = {"official": F.bool_or(up & (F.col("source_type").isin(*OFFICIAL_TYPES) | official)), "primary_support": F.bool_or(up & F.col("primary")),
              "dim": F.every(F.when(up, low)), "weak": F.every(F.when(up, F.col("reliability") < LOW_RELIABILITY))}
     points = C.penalty_points(F.upper(F.coalesce("severity", F.lit("MAJOR"))))
-    found = F.when(F.col("kind").isNotNull(), F.struct("kind", "aspect", F.col("evidence_id").alias("id"), points.alias("points")))
-    per = units(evidence, *sums, *[F.count_if(v).alias(k) for k, v in counts.items()], *[v.alias(k) for k, v in flags.items()],
+    value = F.lower("value") if "value" in evidence.columns else F.lit("")
+    found = F.when(F.col("kind").isNotNull(), F.struct("kind", "aspect", F.col("evidence_id").alias("id"), points.alias("points"), value.alias("value")))
+    counts |= {"insufficient": F.col("stance") == "INSUFFICIENT", "fact_checks": F.col("fact_checker").isNotNull(), "items": F.lit(True)}
+    cards = [] if card is None else [F.collect_list(card).alias("cards")]
+    per = units(evidence, *cards, *sums, *[F.count_if(v).alias(k) for k, v in counts.items()], *[v.alias(k) for k, v in flags.items()],
                 F.collect_list(found).alias("found"), F.collect_set(F.when(down, F.col("fact_checker"))).alias("checkers"))
     whole = per.groupBy("claim_id").agg(
         *[F.sum(k).alias(k) for k in counts], *[(F.sum(f"{k}_sum") / F.nullif(F.sum(f"{k}_n"), F.lit(0))).alias(k) for k in means],
         F.bool_or("official").alias("official"), F.bool_or("primary_support").alias("primary_support"), F.every("dim").alias("dim"), F.every("weak").alias("weak"),
         F.count_if(F.col("unit_stance") == "SUPPORTING").alias("independent"), F.count_if(F.col("unit_stance") == "CONTRADICTING").alias("independent_contradicting"), F.count("*").alias("sources"),
-        F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("checkers")))).alias("checkers"))
+        *[F.array_sort(F.flatten(F.collect_list("cards"))).alias("cards") for _ in cards], F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("checkers")))).alias("checkers"))
     # sorted by kind, aspect and id: the first of each kind and aspect counts
     first = F.filter("found", lambda x, i: (i == 0) | ~F.struct(x["kind"], x["aspect"]).eqNullSafe(F.struct(F.get("found", i - 1)["kind"], F.get("found", i - 1)["aspect"])))
+    whole = whole.withColumn("discrepancies", F.size(F.array_distinct(F.transform("found", lambda x: F.struct(x["kind"], x["aspect"], x["value"])))))
     lost = F.aggregate(first, F.lit(0.0), lambda a, x: a + x["points"])
     refuted = F.when(F.col("checkers") > 0, F.col("checkers") * C.REFUTATION).when(F.col("strong") > 0, C.REFUTATION).otherwise(0.0)
     anonymous = F.when((F.col("supporting") > 0) & (F.coalesce("dim", F.lit(False)) | F.coalesce("weak", F.lit(False))), C.ANONYMOUS).otherwise(0.0)

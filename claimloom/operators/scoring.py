@@ -44,13 +44,17 @@ def penalty_points(severity: Column) -> Column:
     return out
 
 
-def claim_scores(claims: DataFrame) -> DataFrame:
-    """(claim_id, doc, importance, agreement, score, classification): half-even, null where sources or decisive items are too few."""
+def scored(claims: DataFrame) -> DataFrame:
+    """``claims`` with parts, total, agreement, score and classification: half-even, null where sources or decisive items are too few."""
     out = claims.withColumn("parts", _components()).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["contribution"]))
     lacking = (F.col("sources") < LEAST_INDEPENDENT) | (F.col("supporting") + F.col("contradicting") < LEAST_DECISIVE)
     score = F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("total") - F.col("penalty"))), 6)).cast("int")
-    out = out.withColumn("score", F.when(~lacking, score))
-    return out.select("claim_id", "doc", "importance", F.get("parts", F.lit(0))["raw"].alias("agreement"), "score", classification(F.col("score")).alias("classification"))
+    out = out.withColumn("agreement", F.get("parts", F.lit(0))["raw"]).withColumn("score", F.when(~lacking, score))
+    return out.withColumn("classification", classification(F.col("score")))
+
+
+def claim_scores(claims: DataFrame) -> DataFrame:
+    return scored(claims).select("claim_id", "doc", "importance", "agreement", "score", "classification")
 
 
 def document_scores(scores: DataFrame) -> DataFrame:
