@@ -3,7 +3,8 @@
 Tokens are summed for each source; targets share the total by weight, each stops at ``cap``
 times its source's size and the excess is reshared by weight until none is above. A source's
 repetition rate is target / size; a document is taken floor(rate) times, plus once more with
-the fraction's probability, by a draw seeded with its doc_id, so reruns agree.
+the fraction's probability, by a draw seeded with its doc_id, so reruns agree. Rows that share a doc_id, null
+among them, are told apart by their places in their files, so that each has a draw of its own.
 
 The capped share has a closed form: with sources ordered by cap / weight, the level per unit
 of weight is the greatest of (total - caps before) / (weights from here on). It needs two sorts
@@ -17,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, word_count, written
+from .common import ROW, numbered, salted_join, word_count, written
 
 SEED = "mix-1"
 
@@ -58,26 +59,39 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return by.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(top).cast("double") * F.col("weight")).alias("target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """Uniform in [0, 1), by doc_id and seed."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed))
+def draw(doc_id: Column, seed: str = SEED, place: Column | None = None) -> Column:
+    """Uniform in [0, 1), by doc_id and seed, and by ``place`` where that isn't null."""
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed), *([] if place is None else [F.coalesce(F.concat(F.lit(":"), place.cast("string")), F.lit(""))]))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Ids that several rows share, 30 bytes each, while they are broadcast.
+REPEATED = 1 << 18
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (as of ``numbered``) with ``__place``: the row's number if others have its doc_id, else null."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    again = written(rows.groupBy(key.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key", F.lit(True).alias("__again")), "repeated")
+    few = again.count() <= REPEATED
+    keyed = rows.withColumn("__key", key)
+    met = keyed.join(F.broadcast(again), "__key", "left") if few else salted_join(keyed, again, ["__key"], how="left")
+    return met.withColumn("__place", F.when(F.col("__again"), F.col(ROW))).drop("__key", "__again")
+
+
 def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc, source_size, target, copies): ``doc`` holds the columns of ``docs``, whatever their names."""
+    """(doc, source_size, target, copies): ``doc`` holds the columns of ``docs`` (rows as of ``numbered``), whatever their names."""
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
+    given = placed(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != ROW]).alias("doc"), key.alias("key"), F.col("__place").alias("place"))
     out = salted_join(given, targets.select(key.alias("key"), "source_size", "target"), ["key"], how="left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return out.select("doc", "source_size", "target", (F.floor(rate) + (draw(F.col("doc.doc_id"), seed) < rate - F.floor(rate)).cast("long")).alias("copies"))
+    return out.select("doc", "source_size", "target", (F.floor(rate) + (draw(F.col("doc.doc_id"), seed, F.col("place")) < rate - F.floor(rate)).cast("long")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED) -> DataFrame:
-    """Each document as often as it is taken, numbered from 1 by ``copy`` (``copy_``, ... where ``docs`` has that name).
-    Rows with the same doc_id, null among them, have the same draw; they are taken one by one."""
+    """Each document as often as it is taken, numbered from 1 by ``copy`` (``copy_``, ... where ``docs`` has that name)."""
     targets = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, cap)
-    got = with_copies(docs, targets, seed).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("number"))
+    got = with_copies(numbered(docs), targets, seed).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("number"))
     name = "copy"
     while name in docs.columns:
         name += "_"
@@ -86,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = written(numbered(docs).select("doc_id", "source", word_count(F.col("text")).alias("size"), ROW), "sizes")
     return with_copies(sized, source_targets(sized)).select(
         "doc.doc_id", "doc.size", "source_size", "target", (F.col("copies") * F.col("doc.size")).alias("taken"))
 

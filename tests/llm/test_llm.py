@@ -442,3 +442,25 @@ def test_repeats_by_dictionary_and_parse_equal_brute_force():
             if any(y == x and number[j] < number[k] for j, _, y in windows):
                 want.add((k, w))
         assert set(zip(hit.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_repeated_ids_are_drawn_one_by_one(spark):
+    rows = [(None, "one two three four", "a")] * 300 + [(7, "one two three four", "a")] * 300 + [(k, "one two three four five six", "b") for k in range(1000, 1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    targets = {r.source: r.target for r in mixing.source_targets(docs.select("source", mixing.word_count(docs.text).alias("size"))).collect()}
+    got = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        got[r.source, r.doc_id if r.source == "a" else 0] += len(r.text.split())
+    taken = Counter()
+    for (source, _), n in got.items():
+        taken[source] += n
+    assert all(abs(taken[s] - t) < 0.12 * t for s, t in targets.items()), (taken, targets)
+    assert abs(got["a", None] - got["a", 7]) < 0.25 * taken["a"]
+
+
+def test_model_is_spread_by_value_and_long_texts_take_few_lanes():
+    model = gru_lm.Model(np.arange(2, 12, dtype=np.uint64) << np.uint64(6), np.ones(10, np.int64), np.ones(gru_lm.RARE, np.int64), np.ones(gru_lm.RARE, np.int64))
+    ids = np.random.default_rng(1).integers(0, 10, 5000 + 300)
+    n = np.array([5000] + [1] * 300)
+    alone = np.concatenate([model.score(ids[:5000], n[:1]), model.score(ids[5000:], n[1:])])
+    assert np.allclose(model.score(ids, n), alone, atol=1e-4)
