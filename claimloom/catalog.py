@@ -129,15 +129,7 @@ CONTENT_IDS_SQL = r"""SELECT doc_id, 'claim_' || substr(sha256(regexp_replace(lo
 
 def trigram_similarity(spark, sf_dir):
     """Benchmark passages against the documents that hold one of their word trigrams."""
-    def grams(df, key, size):  # the size goes before the explode, which would copy the array to every row
-        ws = df.select(key, T.words(F.col("text")).alias("ws"))  # a column of its own, else each n-gram would split the text anew
-        g = ws.select(key, T.word_ngrams(F.col("ws"), 3).alias("gs"))
-        return g.select(key, F.size("gs").alias(size), "gs").select(key, size, F.explode("gs").alias("g"))
-
-    items = grams(table(spark, sf_dir, "benchmark"), "item_id", "ni")
-    docs = grams(table(spark, sf_dir, "documents"), "doc_id", "nd")
-    met = docs.join(E.beside(items), "g").groupBy("item_id", "doc_id", "ni", "nd").agg(F.count("*").alias("shared"))
-    return met.select("item_id", "doc_id", "shared", F.round(F.col("shared") / (F.col("ni") + F.col("nd") - F.col("shared")), 6).alias("similarity"))
+    return E.trigram_matches(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 TRIGRAM_SQL = f"""

@@ -10,11 +10,11 @@ from claimloom.functions import text as T
 from claimloom.operators import evidence as E
 from claimloom.operators import relations as L
 
-#: Documents as evidence, eight to a claim: the first words are the title, the source names publisher and domain.
+#: Documents as evidence, eight to a claim: the first line is the title, the rest the content, the source names publisher and domain.
 #: Every sixth document follows the one before it: as a reprint, under its title, with an agency, or citing its publisher.
 ITEMS = """
-SELECT CAST(floor(doc_id / 8) AS BIGINT) AS claim_id, doc_id AS ord, regexp_replace(substr(body, 1, 60), '\\\\s+\\\\S*$', '') AS title,
-  substr(body, 61, 700) AS content, CAST(NULL AS STRING) AS snippet, concat('https://', lower(src), '.example/', doc_id % 500) AS canonical_url, concat(lower(src), '.example') AS domain, concat('Outlet ', src) AS publisher
+SELECT CAST(floor(doc_id / 8) AS BIGINT) AS claim_id, doc_id AS ord, split_part(body, chr(10), 1) AS title,
+  substr(body, length(split_part(body, chr(10), 1)) + 2) AS content, CAST(NULL AS STRING) AS snippet, concat('https://', lower(src), '.example/', doc_id % 500) AS canonical_url, concat(lower(src), '.example') AS domain, concat('Outlet ', src) AS publisher
 FROM (SELECT doc_id, coalesce(source, '') AS src, CASE doc_id % 6 WHEN 1 THEN concat(coalesce(prior, ''), ' (Reuters)') WHEN 3 THEN concat(coalesce(text, ''), ' according to Outlet ', coalesce(prior_source, '')) WHEN 0 THEN concat(coalesce(text, ''), ' Reuters')
         ELSE coalesce(text, '') END AS body
       FROM (SELECT d.doc_id, d.source, d.text, p.text AS prior, p.source AS prior_source FROM documents AS d LEFT JOIN documents AS p ON p.doc_id = d.doc_id - 1))
@@ -34,8 +34,8 @@ def source_clusters(spark, sf_dir):
     return L.source_clusters(given, L.relations(given))
 
 
-#: Documents as retrieval results, twenty to a claim; titles are their first words, so copies share them.
-RESULTS = """SELECT CAST(floor(doc_id / 20) AS BIGINT) AS claim_id, doc_id AS ord, substr(coalesce(text, ''), 1, 40) AS title, concat('https://a.example/', n_chars) AS canonical_url, source AS domain FROM documents"""
+#: Documents as retrieval results, twenty to a claim; titles are their first lines, so copies share them.
+RESULTS = """SELECT CAST(floor(doc_id / 20) AS BIGINT) AS claim_id, doc_id AS ord, split_part(coalesce(text, ''), chr(10), 1) AS title, concat('https://a.example/', n_chars) AS canonical_url, source AS domain FROM documents"""
 
 
 def evidence_dedup_greedy(spark, sf_dir):

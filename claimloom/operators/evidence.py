@@ -42,18 +42,45 @@ def beside(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def relevant_documents(claims: DataFrame, docs: DataFrame, top: int = 3) -> DataFrame:
-    """The ``top`` documents of each claim by relevance, clamp(2.5 Jaccard + 0.5 share of claim words)."""
+    """The ``top`` documents of each claim by relevance, clamp(2.5 Jaccard + 0.5 share of claim words).
+
+    Documents are dealt by their ids once, as word lists, so that common words are counted where they are found; before
+    the shuffle by claim each task keeps the best of its own. The ids of ``docs`` must be distinct."""
     def tokens(df: DataFrame, key: str) -> DataFrame:
         ws = df.select(key, T.words(F.col("text"), False).alias("ws"))  # distinct already
-        return ws.select(key, F.size("ws").cast("long").alias("n_" + key), F.explode("ws").alias("w"))
+        return ws.select(key, F.size("ws").cast("long").alias("n_" + key), "ws")
 
-    met = tokens(docs, "doc_id").join(beside(tokens(claims, "item_id")), "w").groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("common"))
+    spread = lambda df, key: df.select(key, "n_" + key, F.explode("ws").alias("w"))
+    dealt = spread(tokens(docs, "doc_id").repartition("doc_id"), "doc_id")
+    met = dealt.join(beside(spread(tokens(claims, "item_id"), "item_id")), "w").groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("common"))
     both = F.col("common").cast("double")
     score = F.least(F.lit(1.0), both / (F.col("n_item_id") + F.col("n_doc_id") - F.col("common")) * 2.5 + both / F.col("n_item_id") * 0.5)
     ranked = met.withColumn("relevance", F.round(score, 6)).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("relevance").desc(), "doc_id")))
     return ranked.where(F.col("rank") <= top).select("item_id", "doc_id", "common", "relevance", "rank")
 
 
+def trigram_matches(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, shared, similarity) of the items and documents that share a word trigram.
+
+    Hashes of trigrams find the pairs, in one pass over the documents; only those that are found make their trigrams as text, and are
+    compared by them. The ids of both must be distinct."""
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        ws = df.select(key, T.words(F.col("text")).alias("ws"))  # a column of its own, else each trigram would split the text anew
+        n = F.greatest(F.size("ws") - 2, F.lit(0))
+        three = ws.select(key, F.explode(F.arrays_zip(*[F.slice("ws", k, n).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "c"))])).alias("g"))
+        return three.select(key, F.xxhash64("g.a", "g.b", "g.c").alias("h"))
+
+    def grams(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(key, T.words(F.col("text")).alias("ws")).select(key, T.word_ngrams(F.col("ws"), 3).alias(name))
+
+    found = hashed(docs, "doc_id").join(beside(hashed(items, "item_id").distinct()), "h").select("item_id", "doc_id").distinct()
+    mine = grams(docs.join(beside(found.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", "d")
+    met = found.join(mine, "doc_id").join(beside(grams(items, "item_id", "i")), "item_id")
+    shared = F.size(F.array_intersect("i", "d")).cast("long")
+    met = met.select("item_id", "doc_id", shared.alias("shared"), F.size("i").alias("ni"), F.size("d").alias("nd")).where("shared > 0")
+    return met.select("item_id", "doc_id", "shared", F.round(F.col("shared") / (F.col("ni") + F.col("nd") - F.col("shared")), 6).alias("similarity"))
+
+
 def first_wins(evidence: DataFrame, key: str, order: str) -> DataFrame:
     return evidence.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
