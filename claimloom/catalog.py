@@ -251,6 +251,6 @@ ORACLES = {
     "source_reliability": RELIABILITY_SQL, "rating_map": RATING_SQL, "stance_consensus": CONSENSUS_SQL, "score_components": COMPONENTS_SQL, "claim_score": CLAIM_SCORE_SQL, "document_score": DOCUMENT_SCORE_SQL,
 }
 QUERIES |= catalog_families.QUERIES | catalog_checks.QUERIES | catalog_text.QUERIES | catalog_claims.QUERIES | catalog_signals.QUERIES | catalog_report.QUERIES | catalog_relations.QUERIES
-ORACLES |= catalog_families.ORACLES | catalog_checks.ORACLES | catalog_text.ORACLES | catalog_claims.ORACLES | catalog_signals.ORACLES | catalog_report.ORACLES | catalog_relations.ORACLES | {"score_breakdown": catalog_report.breakdown_sql(COMPONENT_CTE), "cross_verified_scores": catalog_checks.cross_sql(SCORE_CTE, LABELS_SQL), "action_evidence": catalog_families.action_sql(CLAIM_EVIDENCE_SQL), "reports": catalog_report.reports_sql(SCORE_CTE, LABELS_SQL)}
+ORACLES |= catalog_families.ORACLES | catalog_checks.ORACLES | catalog_text.ORACLES | catalog_claims.ORACLES | catalog_signals.ORACLES | catalog_report.ORACLES | catalog_relations.ORACLES | {"score_breakdown": catalog_report.breakdown_sql(COMPONENT_CTE), "cross_verified_scores": catalog_checks.cross_sql(SCORE_CTE, LABELS_SQL), "action_evidence": catalog_families.action_sql(CLAIM_EVIDENCE_SQL), "reports": catalog_report.reports_sql(SCORE_CTE, LABELS_SQL), "score_texts": catalog_checks.texts_sql(SCORE_CTE, LABELS_SQL)}
 DOMAINS_SQL = f"SELECT unnest([{quoted(catalog_signals.DOMAINS)}]) AS domain UNION ALL SELECT DISTINCT domain FROM ({CANONICAL_SQL})"
 ORACLES["registry_lookup"] = catalog_signals.registry_sql(DOMAINS_SQL, DOMAIN_SQL.replace(f"SELECT unnest([{quoted(DOMAINS)}]) AS domain UNION ALL SELECT DISTINCT domain FROM ({CANONICAL_SQL})", DOMAINS_SQL))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import catalog_report as CR
@@ -12,6 +13,8 @@ from claimloom.operators import evidence as E
 from claimloom.operators import factchecks as FC
 from claimloom.operators import grounding as G
 from claimloom.operators import neighbours as N
+from claimloom.operators import reasoning as W
+from claimloom.operators import report as R
 from claimloom.operators import tfidf
 from claimloom.operators import scoring as C
 
@@ -170,11 +173,74 @@ WITH t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(string_s
 SELECT query, doc_id, round(cosine, 6) AS cosine FROM s WHERE cosine >= 0.85
 """
 
+def fallback_reasoning(spark, sf_dir):
+    """Packets of the first ten items of each claim; every ninth claim has none."""
+    e = CR.evidence(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("claim_id").orderBy("evidence_id")).cast("int")).where("rank <= 10")
+    label = F.when(F.col("reliability") >= 75, "high").when(F.col("reliability") >= 50, "medium").otherwise("low")
+    item = F.struct("rank", F.col("evidence_id").cast("string").alias("evidence_id"), F.col("domain").alias("publisher"), "stance", F.lower("category").alias("category"), label.alias("reliability"), F.lit(0.8).alias("confidence"),
+                    F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("Point "), "evidence_id")).alias("point"))
+    check = F.when(F.col("fact_checker").isNotNull(), F.struct("fact_checker", F.col("transparency").alias("raw_rating"), F.col("stance").alias("verdict"), "rank"))
+    conflict = F.when(F.col("kind") == "NUMERIC", F.struct("rank", "aspect", F.lit("5 crore").alias("claim_value"), F.col("value").alias("evidence_value")))
+    some = F.col("claim_id") % 9 > 0
+    packets = e.groupBy("claim_id").agg(F.collect_list(F.when(some, item)).alias("items"), F.array_sort(F.collect_list(F.when(some, F.struct("rank", check.alias("c"))))).alias("checks"), F.array_sort(F.collect_list(F.when(some, conflict))).alias("conflicts"))
+    sizes = e.where(some).groupBy("claim_id", "cluster").agg(F.count("*").alias("n")).groupBy("claim_id").agg(F.collect_list("n").alias("cluster_sizes"), F.count("*").alias("independent"))
+    checks = F.transform(F.filter("checks", lambda x: x["c"].isNotNull()), lambda x: F.struct(x["c"]["fact_checker"].alias("fact_checker"), x["c"]["raw_rating"].alias("raw_rating"), x["c"]["verdict"].alias("verdict")))
+    conflicts = F.transform("conflicts", lambda x: F.struct(x["aspect"].alias("aspect"), x["claim_value"].alias("claim_value"), x["evidence_value"].alias("evidence_value")))
+    got = W.fallback_reasoning(packets.join(sizes, "claim_id", "left").select("claim_id", "items", checks.alias("fact_checks"), conflicts.alias("discrepancies"), "cluster_sizes", "independent"))
+    told = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws("=", f["text"], F.array_join(f["evidence_ids"], "+"), f["importance"])), "|")
+    return got.select("claim_id", "summary", "uncertainty", told("supporting_findings").alias("supporting"), told("contradicting_findings").alias("contradicting"), told("key_findings").alias("key"),
+                      *[F.array_join(c, "|").alias(c) for c in ("important_discrepancies", "source_observations", "independence_observations", "fact_check_observations", "verification_gaps")])
+
+
+def _finding_sql(stance, otherwise, weight):
+    text = f"coalesce(point, domain || '{otherwise}') || '=' || evidence_id || '=' || {weight}"
+    return f"coalesce(string_agg({text}, '|' ORDER BY rank) FILTER (stance = '{stance}'), '')", f"first({text} ORDER BY rank) FILTER (stance = '{stance}')"
+
+
+_UP, _UP1 = _finding_sql("SUPPORTING", " reports corroboration for the claim.", "CASE WHEN reliability >= 75 THEN 'HIGH' ELSE 'MEDIUM' END")
+_DOWN, _DOWN1 = _finding_sql("CONTRADICTING", " contradicts or refutes the claim.", "'HIGH'")
+REASONING_SQL = f"""
+WITH e0 AS ({CR.EVIDENCE}), e1 AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY evidence_id) AS rank, CASE WHEN n_chars % 2 = 0 THEN 'Point ' || evidence_id END AS point FROM e0), e AS (SELECT * FROM e1 WHERE rank <= 10 AND claim_id % 9 > 0),
+ u AS (SELECT claim_id, count(*) AS n, count(*) FILTER (k > 1) AS many FROM (SELECT claim_id, cluster, count(*) AS k FROM e GROUP BY ALL) GROUP BY 1),
+ a AS (SELECT claim_id, count(*) AS items, count(*) FILTER (stance = 'SUPPORTING') AS up, count(*) FILTER (stance = 'CONTRADICTING') AS down, {_UP} AS supporting, {_DOWN} AS contradicting, {_UP1} AS up1, {_DOWN1} AS down1,
+   first(domain || ' discusses the topic, but provides inconclusive evidence.=' || evidence_id || '=LOW' ORDER BY rank) AS vague, bool_or(category = 'GOVERNMENT') AS prim, count(*) FILTER (reliability >= 75) AS high,
+   string_agg('Conflict on ' || aspect || ': claim asserts ''5 crore'', but evidence reports ''' || value || '''.', '|' ORDER BY rank) FILTER (kind = 'NUMERIC') AS conflicts, first('Conflict on ' || aspect || ': claim asserts ''5 crore'', but evidence reports ''' || value || '''.' ORDER BY rank) FILTER (kind = 'NUMERIC') AS conflict1,
+   string_agg('Fact check by ' || fact_checker || ' rated the claim ''' || transparency || ''' (' || stance || ').', '|' ORDER BY rank) FILTER (fact_checker IS NOT NULL) AS checks, first('A third-party fact check by ' || fact_checker || ' rated this claim ''' || stance || '''.' ORDER BY rank) FILTER (fact_checker IS NOT NULL) AS check1 FROM e GROUP BY 1),
+ j AS (SELECT c.claim_id, coalesce(items, 0) AS items, coalesce(up, 0) AS up, coalesce(down, 0) AS down, coalesce(supporting, '') AS supporting, coalesce(contradicting, '') AS contradicting, up1, down1, vague, coalesce(prim, false) AS prim, coalesce(high, 0) AS high, conflicts, conflict1, checks, check1, coalesce(n, 0) AS n, many
+   FROM (SELECT DISTINCT claim_id FROM e0) c LEFT JOIN a USING (claim_id) LEFT JOIN u USING (claim_id))
+SELECT claim_id, concat_ws(' ', check1, CASE WHEN n > 0 THEN 'Retrieved evidence resolved into ' || n || ' independent cluster(s) (' || up || ' supporting, ' || down || ' contradicting).' ELSE 'Evidence retrieval yielded no independent corroborating sources.' END, conflict1) AS summary,
+  CASE WHEN items = 0 OR down > 0 OR conflicts IS NOT NULL THEN 'HIGH' WHEN n < 2 OR up = 0 THEN 'MEDIUM' ELSE 'LOW' END AS uncertainty, supporting, contradicting, CASE WHEN up + down > 0 THEN concat_ws('|', up1, down1) ELSE coalesce(vague, '') END AS key,
+  coalesce(conflicts, '') AS important_discrepancies, concat_ws('|', CASE WHEN prim THEN '{W.HAS_PRIMARY}' ELSE '{W.NO_PRIMARY}' END, CASE WHEN high > 0 THEN high || ' high-reliability publisher(s) are present in the evidence corpus.' END) AS source_observations,
+  CASE WHEN many > 0 THEN many || ' multi-article syndication cluster(s) detected. Effective independent source count is ' || n || '.' WHEN n > 0 THEN '{W.DISTINCT}' ELSE 'Effective independent source count is ' || n || '.' END AS independence_observations,
+  coalesce(checks, '{W.NO_CHECKS}') AS fact_check_observations, concat_ws('|', CASE WHEN n < 2 THEN 'Limited independent corroboration: only ' || n || ' independent source group(s) found.' END, CASE WHEN NOT prim THEN '{W.GAPS['primary']}' END, CASE WHEN conflicts IS NOT NULL THEN '{W.GAPS['conflict']}' END,
+    CASE WHEN items = 0 THEN '{W.GAPS['none']}' END, CASE WHEN items > 0 AND up = 0 THEN '{R.NO_SUPPORT}' END) AS verification_gaps FROM j
+"""
+
+
+def score_texts(spark, sf_dir):
+    """Summaries and limitations of scores."""
+    lost = CR.penalties(spark, sf_dir)
+    text = F.concat_ws(" ", "penalty_type", "detail")
+    per = lost.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))).alias("lost"))
+    rows = C.scored(CR.claims(spark, sf_dir)).join(per, "claim_id", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<struct<place:int,text:string>>")))
+    own = F.transform(F.filter("lost", lambda x: x["place"] == 1), lambda x: x["text"])
+    return rows.select("claim_id", W.score_summary(F.get("lost", F.lit(0))["text"]).alias("summary"), F.array_join(W.score_limitations(own), "|").alias("limitations"))
+
+
+def texts_sql(scores, labels):
+    return f"""
+WITH {scores}, ls AS (SELECT s.*, {labels} FROM s), pt AS (SELECT claim_id, place, penalty_type || ' ' || detail AS text FROM pen), pa AS (SELECT claim_id, first(text ORDER BY place, text) AS top, string_agg(text, '|' ORDER BY text) FILTER (place = 1) AS own FROM pt GROUP BY 1),
+ sg AS (SELECT claim_id, list(replace(factor, '_', ' ') ORDER BY list_position([{', '.join(f"'{f}'" for f in C.FACTORS)}], factor)) FILTER (contribution > 5) AS strong FROM kk GROUP BY 1)
+SELECT claim_id, CASE WHEN score IS NULL THEN '{W.INSUFFICIENT}' ELSE concat_ws(' ', 'Claim evaluated as ''' || classification || ''' (score: ' || score || '/100).', CASE WHEN len(strong) > 0 THEN 'Strengths include strong ' || array_to_string(strong[1:2], ', ') || '.' END, 'Score reduced due to: ' || top) END AS summary,
+  concat_ws('|', CASE WHEN score IS NULL THEN '{W.UNMET}' END, CASE WHEN sources < 3 THEN 'Evaluation is based on ' || sources || ' independent source cluster(s). Additional corroboration from secondary outlets recommended.' END, own) AS limitations
+FROM ls JOIN (SELECT claim_id, sources FROM v) USING (claim_id) LEFT JOIN pa USING (claim_id) LEFT JOIN sg USING (claim_id)
+"""
+
 QUERIES = {
     "fact_check_alignment": fact_check_alignment, "cross_verified_scores": cross_verified_scores, "finding_validation": finding_validation, "name_grounding": name_grounding, "grounded_claims": grounded_claims,
-    "embedding_clusters": embedding_clusters, "tfidf_matches": tfidf_matches,
+    "embedding_clusters": embedding_clusters, "tfidf_matches": tfidf_matches, "fallback_reasoning": fallback_reasoning, "score_texts": score_texts,
 }
-#: Likeness by longest blocks has no SQL form: name_grounding and grounded_claims are tested against loops. cross_verified_scores gets its oracle in ``catalog``.
-ORACLES = {"fact_check_alignment": ALIGNMENT_SQL, "finding_validation": FINDING_SQL, "embedding_clusters": EMBEDDING_SQL, "tfidf_matches": TFIDF_SQL}
+#: Likeness by longest blocks has no SQL form: name_grounding and grounded_claims are tested against loops. cross_verified_scores and score_texts get their oracles in ``catalog``.
+ORACLES = {"fact_check_alignment": ALIGNMENT_SQL, "finding_validation": FINDING_SQL, "embedding_clusters": EMBEDDING_SQL, "tfidf_matches": TFIDF_SQL, "fallback_reasoning": REASONING_SQL}
 
 
