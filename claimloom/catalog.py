@@ -143,19 +143,23 @@ SELECT item_id, doc_id, shared, round(shared::DOUBLE / (ni + nd - shared), 6) AS
 
 EVIDENCE_VIEW = """
 SELECT doc_id, 'title ' || doc_id AS title, CASE WHEN doc_id % 5 > 0 THEN source END AS publisher, CASE WHEN doc_id % 3 > 0 THEN 'https://a.example/' || doc_id END AS canonical_url,
-       CASE WHEN doc_id % 7 > 0 THEN text END AS content, CAST(NULL AS {string}) AS snippet, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' END AS published_at, CASE WHEN doc_id % 4 = 0 THEN 'A' END AS author,
-       CASE WHEN doc_id % 6 = 0 THEN 'GOVERNMENT' WHEN doc_id % 6 = 1 THEN 'PERSONAL_BLOG' ELSE 'UNKNOWN' END AS category, CASE WHEN doc_id % 11 = 0 THEN CAST(95.0 AS DOUBLE) END AS reputation,
-       doc_id % 3 = 0 AS attributed, doc_id % 9 = 0 AS quoted, doc_id % 12 = 0 AS named_source, doc_id % 4 AS primary_signals FROM documents
+       CASE WHEN doc_id % 7 > 0 THEN t END AS content, CAST(NULL AS {string}) AS snippet, CASE WHEN doc_id % 4 = 0 THEN '2024-01-01' WHEN doc_id % 4 = 2 THEN '2024-05-20T10:00:00Z' END AS published_at, CASE WHEN doc_id % 4 = 0 THEN 'A' END AS author,
+       CASE WHEN doc_id % 6 = 0 THEN 'GOVERNMENT' WHEN doc_id % 6 = 1 THEN 'PERSONAL_BLOG' ELSE 'UNKNOWN' END AS category, CASE WHEN doc_id % 11 = 0 THEN CAST(95.0 AS DOUBLE) END AS reputation FROM ({planted})
 """
+PLANTED = catalog_signals.PLANTED.replace("SELECT doc_id", "SELECT doc_id, source")
+AS_OF = 1_717_200_000
 
 
 def source_reliability(spark, sf_dir):
-    given = spark.sql(EVIDENCE_VIEW.format(string="STRING").replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`"))
-    return S.analyze(given).select("doc_id", "meta_score", "transparency", "reliability", "label")
+    """Sources of documents, judged by their texts' own signals."""
+    given = spark.sql(EVIDENCE_VIEW.format(string="STRING", planted=PLANTED).replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`"))
+    return S.profile(given, AS_OF).select("doc_id", "meta_score", "transparency", "reliability", "label", F.array_join("positive", "|").alias("positive"), F.array_join("lacking", "|").alias("lacking"))
 
 
 RELIABILITY_SQL = f"""
-WITH v AS ({EVIDENCE_VIEW.format(string='VARCHAR')}),
+WITH sig AS (SELECT doc_id, attributed AS at0, has_quotes AS hq, named AS nm, signals AS sg FROM ({catalog_signals.SOURCE_SIGNALS_SQL})),
+     v AS (SELECT e.*, at0 AND content IS NOT NULL AS attributed, hq AND content IS NOT NULL AS quoted, content IS NOT NULL AND nm <> '' AS named_source, CASE WHEN content IS NULL OR sg = '' THEN 0 ELSE len(string_split(sg, ',')) END AS primary_signals, nm, sg
+           FROM ({EVIDENCE_VIEW.format(string='VARCHAR', planted=PLANTED)}) e JOIN sig USING (doc_id)),
      p AS (SELECT *, coalesce(trim(title), '') <> '' AS t, coalesce(trim(publisher), '') <> '' AS pb, coalesce(trim(canonical_url), '') <> '' AS cu, coalesce(length(trim(content)), 0) >= 20 AS co,
                   coalesce(published_at, '') <> '' AS pa, coalesce(author, '') <> '' AS au FROM v),
      m AS (SELECT *, round(0.2::DOUBLE * t::INT + 0.2::DOUBLE * pb::INT + 0.2::DOUBLE * cu::INT + 0.2::DOUBLE * co::INT + 0.1::DOUBLE * pa::INT + 0.1::DOUBLE * au::INT, 2) AS meta_score FROM p),
@@ -165,7 +169,12 @@ WITH v AS ({EVIDENCE_VIEW.format(string='VARCHAR')}),
                   + coalesce(reputation, CASE category WHEN 'GOVERNMENT' THEN 90 WHEN 'PERSONAL_BLOG' THEN 35 ELSE 45 END)::DOUBLE * 0.2::DOUBLE
                   + (CASE WHEN primary_signals = 0 THEN 40 ELSE least(70 + primary_signals * 15, 100) END)::DOUBLE * 0.15::DOUBLE AS raw FROM x),
      s AS (SELECT *, greatest(0, least(100, round_even(round(raw, 6), 0)::INTEGER)) AS reliability FROM r)
-SELECT doc_id, meta_score, transparency, reliability, CASE WHEN reliability >= 75 THEN 'HIGH' WHEN reliability >= 50 THEN 'MEDIUM' WHEN meta_score <= 0.2 AND category = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'LOW' END AS label FROM s
+SELECT doc_id, meta_score, transparency, reliability, CASE WHEN reliability >= 75 THEN 'HIGH' WHEN reliability >= 50 THEN 'MEDIUM' WHEN meta_score <= 0.2 AND category = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'LOW' END AS label,
+  concat_ws('|', 'Publisher clearly identified (' || CASE WHEN pb THEN publisher END || ')', CASE WHEN category = 'GOVERNMENT' THEN 'Official institutional or regulatory source' END, CASE WHEN au THEN 'Named author byline (' || author || ')' END,
+    CASE WHEN pa THEN 'Publication timestamp clearly recorded' END, CASE WHEN published_at LIKE '2024-05-20%' THEN 'Recent publication date (within last 30 days)' END, CASE WHEN attributed AND quoted THEN 'Contains direct quoted statements' END,
+    CASE WHEN attributed AND named_source THEN 'Attributes claims to cited sources (' || replace(nm, ',', ', ') || ')' END, CASE WHEN primary_signals > 0 THEN 'Firsthand reporting indicators detected (' || replace(sg, ',', ', ') || ')' END) AS positive,
+  concat_ws('|', CASE WHEN NOT pb THEN '{S.LACKS['publisher']}' END, CASE WHEN category = 'PERSONAL_BLOG' THEN '{S.BLOG}' END, CASE WHEN NOT au THEN '{S.LACKS['author']}' END, CASE WHEN NOT pa THEN '{S.LACKS['date']}' END,
+    CASE WHEN NOT attributed THEN '{S.LACKS['attribution']}' END, CASE WHEN NOT co THEN '{S.LACKS['content']}' END) AS lacking FROM s
 """
 
 RATING_ROWS = [

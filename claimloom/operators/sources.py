@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators import signals as G
+from claimloom.operators import verification as V
+
 #: Weights, sub-scores and baselines (fixed values).
 WEIGHTS = {"transparency": 0.25, "metadata": 0.20, "attribution": 0.20, "domain": 0.20, "primary": 0.15}
 TRANSPARENCY = {"HIGH": 100.0, "MEDIUM": 65.0, "LOW": 30.0, "UNKNOWN": 10.0}
@@ -52,3 +55,30 @@ def analyze(evidence: DataFrame) -> DataFrame:
     out = out.withColumn("reliability", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.round(raw, 6)).cast("int"))))
     return out.withColumn("label", F.when(F.col("reliability") >= HIGH, "HIGH").when(F.col("reliability") >= MEDIUM, "MEDIUM")
                           .when((F.col("meta_score") <= 0.2) & (F.col("category") == "UNKNOWN"), "UNKNOWN").otherwise("LOW"))
+
+
+#: What speaks for categories, and what is lacking (fixed values).
+FOR_CATEGORY = {"GOVERNMENT": "Official institutional or regulatory source", "REGULATORY": "Official institutional or regulatory source", "FACT_CHECKER": "Identified independent fact-checking desk",
+                "ACADEMIC": "Accredited academic or higher education domain"}
+BLOG = "Self-publishing or personal blog platform; independent corroboration advised"
+LACKS = {"publisher": "Publisher identity not clearly disclosed", "author": "Author byline missing or uncredited", "date": "Publication date is missing or unparseable",
+         "attribution": "No explicit external attribution or quotes detected in excerpt", "content": "Full article content unavailable; evaluated based on snippet only"}
+
+
+def profile(evidence: DataFrame, as_of: int) -> DataFrame:
+    """``analyze`` with signals of the text itself, its content, else its snippet, else its title, and what speaks for and against the source:
+    the arrays positive and lacking. ``evidence`` has title, publisher, canonical_url, content, snippet, published_at, author, category and reputation."""
+    filled = lambda c: F.when(present(c), F.col(c))
+    rows = evidence.withColumn("_text", F.coalesce(filled("content"), filled("snippet"), F.col("title"), F.lit("")))
+    rows = rows.withColumn("attributed", G.attributed(F.col("_text"))).withColumn("quoted", F.col("_text").rlike(G.QUOTED)).withColumn("_named", G.named_sources(F.col("_text"))).withColumn("_primary", G.primary_signals(F.col("_text"))).drop("_text")
+    out = analyze(rows.withColumn("named_source", F.size("_named") > 0).withColumn("primary_signals", F.size("_primary")))
+    said = lambda before, what, after=")": F.concat(F.lit(before), what, F.lit(after))
+    kind = F.coalesce(*[F.when(F.col("category") == k, F.lit(v)) for k, v in FOR_CATEGORY.items()])
+    dated = present("published_at")
+    positive = F.array(
+        F.when(present("publisher"), said("Publisher clearly identified (", F.col("publisher"))), kind, F.when(present("author"), said("Named author byline (", F.col("author"))), F.when(dated, "Publication timestamp clearly recorded"),
+        F.when(dated & (V.age_label(V.age_days(F.col("published_at"), as_of)) == "VERY_RECENT"), "Recent publication date (within last 30 days)"), F.when(F.col("attributed") & F.col("quoted"), "Contains direct quoted statements"),
+        F.when(F.col("attributed") & F.col("named_source"), said("Attributes claims to cited sources (", F.array_join("_named", ", "))), F.when(F.col("primary_signals") > 0, said("Firsthand reporting indicators detected (", F.array_join("_primary", ", "))))
+    lacking = F.array(F.when(~present("publisher"), LACKS["publisher"]), F.when(F.col("category") == "PERSONAL_BLOG", BLOG), F.when(~present("author"), LACKS["author"]), F.when(~dated, LACKS["date"]),
+                      F.when(~F.col("attributed"), LACKS["attribution"]), F.when(~has_content(), LACKS["content"]))
+    return out.withColumn("positive", F.array_compact(positive)).withColumn("lacking", F.array_compact(lacking)).drop("_named", "_primary")
