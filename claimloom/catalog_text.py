@@ -96,16 +96,26 @@ def claim_groups(spark, sf_dir):
     return got.select("doc_id", F.col("claim_index").cast("long").alias("claim_index"), "claim_id", "duplicate_of", T.digest(F.array_join("equivalents", "|")).alias("equivalents"))
 
 
-def claim_pairs(spark, sf_dir, docs=None):
-    """Claims of the benchmark passages, documents (doc_id, text), and each claim's three most relevant ones."""
+def passage_claims(spark, sf_dir):
     none = F.array().cast("array<string>")
     made = X.extract_claims(rows(spark, sf_dir, CLAIMED).select("item_id", F.lit(None).cast("string").alias("title"), F.col("t").alias("text")), "item_id")
-    claims = made.select(F.concat_ws(":", "item_id", "claim_id").alias("claim_id"), F.col("normalized").alias("claim"), "speaker", "entities", "dates", "numbers", "locations", none.alias("persons"), none.alias("organizations"))
+    return made.select(F.concat_ws(":", "item_id", "claim_id").alias("claim_id"), F.col("normalized").alias("claim"), "speaker", "entities", "dates", "numbers", "locations", none.alias("persons"), none.alias("organizations"))
+
+
+def claim_pairs(spark, sf_dir, docs=None):
+    """Claims of the benchmark passages, documents (doc_id, text), and each claim's three most relevant ones."""
+    claims = passage_claims(spark, sf_dir)
     docs = docs or rows(spark, sf_dir, REPORTED).select("doc_id", F.col("t").alias("text"))
     top = E.relevant_documents(claims.select(F.col("claim_id").alias("item_id"), F.col("claim").alias("text")), docs).select(F.col("item_id").alias("claim_id"), "doc_id")
     return claims, docs, top
 
 
+def claim_queries(spark, sf_dir):
+    """Search queries of the passages' claims, with their providers."""
+    claims = passage_claims(spark, sf_dir).withColumnRenamed("claim_id", "item_id").withColumnRenamed("claim", "text")
+    return CC.K.routed_queries(claims, "item_id")
+
+
 def stance(spark, sf_dir):
     """Stance of the most relevant documents on claims, with the best quote."""
     claims, docs, top = claim_pairs(spark, sf_dir)
@@ -155,6 +165,10 @@ SELECT claim_id, doc_id, round(rel, 2) AS relevance, common::BIGINT AS common, d
 FROM v0 LEFT JOIN (SELECT claim_id, doc_id, overlap, quote FROM x2) USING (claim_id, doc_id)
 """
 
-QUERIES = {"extract_claims": extract_claims, "claim_groups": claim_groups, "stance": stance}
+_FROM_CLAIMS = f"r AS ({CLAIMED}), b0 AS (SELECT item_id, NULL::VARCHAR AS title, t FROM r), {claims_sql('b0', 'item_id')}, b AS (SELECT item_id || ':' || claim_id AS item_id, normal AS text, speaker, []::VARCHAR[] AS organizations, []::VARCHAR[] AS persons, locations, numbers, dates FROM claims)"
+_TAIL = CC.ROUTING_SQL[CC.ROUTING_SQL.index(" k AS (SELECT *, list_filter(regexp_extract_all(text"):]
+CLAIM_QUERIES_SQL = f"WITH {_FROM_CLAIMS}, {_TAIL.replace(' r AS (SELECT * FROM (VALUES', ' routes AS (SELECT * FROM (VALUES').replace('FROM f JOIN r USING', 'FROM f JOIN routes USING')}"
+
+QUERIES = {"extract_claims": extract_claims, "claim_groups": claim_groups, "claim_queries": claim_queries, "stance": stance}
 #: Which claim comes first decides on duplicates one by one: tested against a loop.
-ORACLES = {"extract_claims": EXTRACT_SQL, "stance": STANCE_SQL}
+ORACLES = {"extract_claims": EXTRACT_SQL, "claim_queries": CLAIM_QUERIES_SQL, "stance": STANCE_SQL}
