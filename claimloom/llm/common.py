@@ -134,8 +134,13 @@ def give_back() -> None:
 
 
 def size_of(df: DataFrame) -> int:
-    """The optimizer's size of ``df`` in bytes: file sizes, for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's size of ``df`` in bytes: file sizes, for a scan; of several, their sum, where the optimizer
+    would take the product of the sides of a join."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() == 1:
+        return int(plan.stats().sizeInBytes())
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
 
 
 def ranges_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 12) -> int:
