@@ -65,6 +65,8 @@ def draw(doc_id: Column, seed: str = SEED, place: Column | None = None) -> Colum
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Sources, some 100 bytes each, while their targets are broadcast, so that whole texts stay where they are.
+SOURCES = 1 << 16
 #: Ids that several rows share, 30 bytes each, while they are broadcast.
 REPEATED = 1 << 18
 
@@ -83,7 +85,8 @@ def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFr
     """(doc, source_size, target, copies): ``doc`` holds the columns of ``docs`` (rows as of ``numbered``), whatever their names."""
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
     given = placed(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != ROW]).alias("doc"), key.alias("key"), F.col("__place").alias("place"))
-    out = salted_join(given, targets.select(key.alias("key"), "source_size", "target"), ["key"], how="left")
+    by = written(targets.select(key.alias("key"), "source_size", "target"), "targets")
+    out = given.join(F.broadcast(by), "key", "left") if by.count() <= SOURCES else salted_join(given, by, ["key"], how="left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return out.select("doc", "source_size", "target", (F.floor(rate) + (draw(F.col("doc.doc_id"), seed, F.col("place")) < rate - F.floor(rate)).cast("long")).alias("copies"))
 
