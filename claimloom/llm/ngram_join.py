@@ -62,6 +62,10 @@ SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
+#: Ids of texts that blocks need, 8 bytes each, while they are broadcast so that no other text is shuffled.
+NAMED = 1 << 20
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[True], SPACE[data], [True]]).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -493,7 +497,10 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, block_ro
 
     def compared(wanted: DataFrame) -> DataFrame:
         """Components of the links of ``wanted`` (doc_id, node, class, known, block, meet): classes that meet in a task."""
-        texts = keyed.join(written(wanted, "wanted").where("class >= 0"), "doc_id").select("block", "meet", "node", "class", "known", "text")
+        wanted = written(wanted, "wanted")
+        ids = written(wanted.select("doc_id").distinct(), "ids")
+        given = keyed.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= NAMED else keyed  # beyond, by the Bloom filter
+        texts = given.join(wanted.where("class >= 0"), "doc_id").select("block", "meet", "node", "class", "known", "text")
         with settings(spark, BLOOM):
             return written(texts.groupBy("block", "meet").applyInPandas(join, "a long, b long").where("a != b"), "links")
 
