@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions import text as T
+
 #: Patterns of quantities, in order, and names of units (fixed values).
 QUANTITIES = [
     r"(?i)(?:(?:₹|rs\.?|inr|\$|usd)\s*)?(\d+(?:,\d+)*(?:\.\d+)?)\s*(crore|cr|lakh|million|mn|billion|bn|trillion|percent|%|rupees?|dollars?|jobs?|workers?|employees?|bps|basis\s+points?)\b",
@@ -34,16 +36,18 @@ def number(text: Column) -> Column:
 
 def quantities(text: Column) -> Column:
     """(start, end, value, unit, phrase) by three patterns in order; a match inside one that is there already is left out."""
-    kept = None
-    for k, pattern in enumerate(QUANTITIES):
-        unit = (lambda v, p=pattern: F.lower(F.regexp_extract(v, p, 2))) if k == 0 else (lambda v: F.lit("currency"))
-        rows = F.transform(located(text, pattern), _row(pattern, unit))
-        if kept is not None:
-            rows = F.filter(rows, _outside(kept))
-        kept = rows if kept is None else F.concat(kept, rows)
+    patterns = [T.ascii_edges(p) for p in QUANTITIES]
+    currency = lambda v: F.lit("currency")
+    kept = F.transform(located(text, patterns[0]), _row(patterns[0], lambda v: F.lower(F.regexp_extract(v, patterns[0], 2))))
+    for p in patterns[1:]:
+        kept = T.once(kept, _with(F.transform(located(text, p), _row(p, currency))))
     return kept
 
 
+def _with(rows: Column):
+    return lambda kept: F.concat(kept, F.filter(rows, _outside(kept)))
+
+
 def _row(pattern: str, unit):
     return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), number(F.regexp_extract(m["value"], pattern, 1)).alias("value"), unit(m["value"]).alias("unit"), F.trim(m["value"]).alias("phrase"))
 
@@ -61,10 +65,10 @@ def numeric_conflicts(claim: Column, evidence: Column) -> Column:
     def conflict(c: Column, found: Column) -> Column:
         unit = unit_name(c["unit"])
         near = F.filter(found, lambda e: (unit_name(e["unit"]) == unit) | (unit == "currency"))
-        same = F.exists(near, lambda e: F.abs(e["value"] - c["value"]) < 1e-4)
-        return F.when((F.size(near) > 0) & ~same, F.struct(unit.alias("unit"), c["phrase"].alias("claim_value"), F.get(near, F.lit(0))["phrase"].alias("evidence_value")))
+        same = lambda near: F.exists(near, lambda e: F.abs(e["value"] - c["value"]) < 1e-4)
+        return T.once(near, lambda near: F.when((F.size(near) > 0) & ~same(near), F.struct(unit.alias("unit"), c["phrase"].alias("claim_value"), F.get(near, F.lit(0))["phrase"].alias("evidence_value"))))
 
-    return F.array_compact(F.transform(claim, lambda c: conflict(c, evidence)))
+    return T.once(evidence, lambda found: F.array_compact(F.transform(claim, lambda c: conflict(c, found))))
 
 
 def snippet(text: Column, target: Column, window: int = 100) -> Column:
