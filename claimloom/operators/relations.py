@@ -6,8 +6,12 @@ What a pair needs of one item (similarity form, words, n-grams, agencies) is com
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from claimloom.functions import similarity as M
 from claimloom.functions import text as T
@@ -23,6 +27,8 @@ DEPENDENT = ("EXACT_DUPLICATE", "NEAR_DUPLICATE", "SYNDICATED", "LIKELY_DERIVED"
 CITING = "according to|citing|reported by"
 #: Publishers of fewer characters are not looked for in other texts (fixed value).
 PUBLISHER_CHARS = 4
+#: Texts of an item that are compared besides its title (fixed values).
+LONG = ("own", "all", "brief")
 
 
 def _blank(c: str) -> Column:
@@ -52,27 +58,46 @@ def cites(text: Column, publisher: Column) -> Column:
     return F.coalesce((F.length(publisher) >= PUBLISHER_CHARS) & F.regexp_like(text, F.concat(F.lit(rf"(?i)\b({CITING})\s+"), quoted, F.lit(r"\b"))), F.lit(False))
 
 
+def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sequence part of each pair of beginnings, in place of the texts."""
+    for batch in batches:
+        for k in ("title", *LONG):
+            batch[k + "_seq"] = [M.ratio(x, y) for x, y in zip(batch.pop("a_" + k), batch.pop("b_" + k), strict=True)]
+        yield batch
+
+
 def compared(evidence: DataFrame) -> DataFrame:
-    """A row for each pair of a claim's items, a before b, with title, content, whole and brief similarity and what else decides."""
-    e = prepared(evidence)
+    """A row for each pair of a claim's items, a before b, with title, content, whole and brief similarity and what else decides.
+
+    Items are dealt and sorted by claim as they are; words and n-grams are made where the items meet, so they are neither shuffled nor
+    sorted, and what goes through Python are beginnings and figures alone."""
+    e = prepared(evidence.select("claim_id", "ord", "canonical_url", "domain", "publisher", "title", "snippet", "content").repartition("claim_id").sortWithinPartitions("claim_id"))
     a = e.select("claim_id", *[F.col(c).alias("a_" + c) for c in e.columns if c != "claim_id"])
     b = e.select("claim_id", *[F.col(c).alias("b_" + c) for c in e.columns if c != "claim_id"])
-    p = a.join(b, "claim_id").where("a_ord < b_ord")
+    p = a.hint("merge").join(b, "claim_id").where("a_ord < b_ord")
     c = lambda name: (F.col("a_" + name), F.col("b_" + name))
-    first = lambda x: F.substring(x, 1, M.SEQUENCE_CHARS)
-    p = p.withColumn("title_seq", M.sequence(*c("title_norm")))
-    for k in ("own", "all", "brief"):
-        p = p.withColumn(k + "_seq", M.sequence(*[first(x) for x in c(k + "_norm")]))
-    p = p.withColumn("title", M.title(*c("title_norm"), *c("title_words"), F.col("title_seq")))
-    for k in ("own", "all", "brief"):
-        p = p.withColumn(k, M.content(*c(k + "_norm"), *c(k + "_words"), *c(k + "_grams"), F.col(k + "_seq")))
     shared = M.phrases([F.col(f"a_phrases{n}") for n in M.PHRASE_WORDS], [F.col(f"b_phrases{n}") for n in M.PHRASE_WORDS])
     named = lambda x, y: F.coalesce((x != "") & (y != "") & (x == y), F.lit(False))
     both = (F.col("a_own") != "") & (F.col("b_own") != "")
     apart = F.coalesce((F.col("a_domain") != "") & (F.col("b_domain") != "") & (F.col("a_domain") != F.col("b_domain")), F.lit(False))
-    return p.select("claim_id", F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "title", F.when(both, F.col("own")).otherwise(0.0).alias("content"), "all", "brief", both.alias("both"),
-                    named(*c("url")).alias("same_url"), named(*c("domain")).alias("same_domain"), apart.alias("apart"), (F.col("a_title_norm") == F.col("b_title_norm")).alias("same_title"),
-                    (cites(F.col("b_all"), F.col("a_publisher")) | cites(F.col("a_all"), F.col("b_publisher"))).alias("derived"), F.arrays_overlap("a_wires", "b_wires").alias("wired"), F.size(shared).alias("n_phrases"))
+    none, same = {}, {}
+    for k in ("title", *LONG):
+        x, y = c(k + "_norm")
+        none[k], same[k] = (x == "") | (y == ""), x == y
+    figures = p.select(
+        "claim_id", F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), both.alias("both"), named(*c("url")).alias("same_url"), named(*c("domain")).alias("same_domain"), apart.alias("apart"),
+        (cites(F.col("b_all"), F.col("a_publisher")) | cites(F.col("a_all"), F.col("b_publisher"))).alias("derived"), F.arrays_overlap("a_wires", "b_wires").alias("wired"), F.size(shared).alias("n_phrases"),
+        *[none[k].alias(k + "_none") for k in none], *[same[k].alias(k + "_same") for k in same], *[T.jaccard(*c(k + "_words")).alias(k + "_jaccard") for k in none], *[T.jaccard(*c(k + "_grams")).alias(k + "_three") for k in LONG],
+        *[(x if k == "title" else F.substring(x, 1, M.SEQUENCE_CHARS)).alias(f"{s}_{k}") for k in none for s, x in zip("ab", c(k + "_norm"), strict=True)])
+    kept = [f for f in figures.schema.fields if f.name not in {f"{s}_{k}" for s in "ab" for k in none}]
+    told = figures.mapInPandas(sequences, StructType([*kept, *[StructField(k + "_seq", DoubleType()) for k in none]]))
+    shares = {"title": M.TITLE_SHARES, **dict.fromkeys(LONG, M.CONTENT_SHARES)}
+    for k, (one, two, *three) in shares.items():
+        mixed = one * F.col(k + "_jaccard") + two * F.col(k + "_seq")
+        mixed = mixed + three[0] * F.col(k + "_three") if three else mixed
+        told = told.withColumn(k, F.when(F.col(k + "_none"), 0.0).when(F.col(k + "_same"), 1.0).otherwise(F.round(mixed, 3)))
+    return told.select("claim_id", "a", "b", "title", F.when(F.col("both"), F.col("own")).otherwise(0.0).alias("content"), "all", "brief", "both",
+                       "same_url", "same_domain", "apart", F.col("title_same").alias("same_title"), "derived", "wired", "n_phrases")
 
 
 def relation() -> Column:
