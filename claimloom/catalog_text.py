@@ -104,9 +104,9 @@ def passage_claims(spark, sf_dir):
 
 def claim_pairs(spark, sf_dir, docs=None):
     """Claims of the benchmark passages, documents (doc_id, text), and each claim's three most relevant ones."""
-    claims = passage_claims(spark, sf_dir)
+    claims = passage_claims(spark, sf_dir).persist()  # read with the documents and by those who ask
     docs = docs or rows(spark, sf_dir, REPORTED).select("doc_id", F.col("t").alias("text"))
-    top = E.relevant_documents(claims.select(F.col("claim_id").alias("item_id"), F.col("claim").alias("text")), docs).select(F.col("item_id").alias("claim_id"), "doc_id")
+    top = E.relevant_documents(claims.select(F.col("claim_id").alias("item_id"), F.col("claim").alias("text")), docs).select(F.col("item_id").alias("claim_id"), "doc_id").persist()  # three rows for each claim, read up to four times
     return claims, docs, top
 
 
