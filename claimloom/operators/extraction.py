@@ -12,7 +12,7 @@ from claimloom.operators import signals as S
 
 #: Verbs by which an "and" is seen to begin a clause (fixed values).
 CLAUSE_VERBS = "will|is|are|was|were|has|have|had|announced|approved|banned|scheduled"
-CLAUSE = rf"(?i)\s+and\s+(?=[a-z\s]+(?:{CLAUSE_VERBS})\b)"
+CLAUSE = T.ascii_edges(rf"(?i)\s+and\s+(?=[a-z\s]+(?:{CLAUSE_VERBS})\b)")
 #: Likeness from which a claim is a duplicate, and from which it is one with the same figures.
 SAME, ALIKE = 0.75, 0.5
 

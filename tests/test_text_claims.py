@@ -51,6 +51,11 @@ def test_clauses(spark, statement, clauses):
         assert got == clauses
 
 
+def test_verbs_of_clauses_end_at_ascii_edges(spark):
+    parts = ["The cabinet approved the budget of 5 crore", "the mayor wasö in 7 of the towns"]
+    assert spark.range(1).select(X.clauses(F.lit(" and ".join(parts)))).first()[0] == [p + "." for p in parts]
+
+
 TEXTS = [
     (1, "State bans plastic bags in Kerala", "The cabinet approved a ban on plastic bags in Kerala on Monday and the law will start on 5 June 2025. Is it true? Ravi Kumar said that 300 shops were closed on Monday: it is done. Nice day. "
      "Ravi Kumar announced that 300 shops were closed on Monday. The cabinet approved a ban on plastic bags in Kerala on Monday!"),
