@@ -8,10 +8,10 @@ factor is the token's share, (count + 1) / (count of the class + 1 per token + 1
 distribution over every token.
 
 The network (embedding, one GRU layer, class-factored softmax) is trained in numpy by backpropagation
-through time, truncated after ``STEPS`` tokens with the state carried over. In each of ``ROUNDS`` rounds
-every worker trains on its own ``SHARE``-th of the training documents, other ones in each round, and the
-weights are averaged by tokens, so what the model learns from grows with the corpus and no task or driver holds
-it. Scoring runs documents in parallel lanes and carries each one's state from its first token to its end.
+through time, truncated after ``STEPS`` tokens with the state carried over. Every training document is trained
+on in one of ``ROUNDS`` rounds, by the worker that holds it, and after each round the weights are averaged by
+tokens, so the model learns from the whole training corpus and no task or driver holds it. Scoring runs
+documents in parallel lanes and carries each one's state from its first token to its end.
 
 Null texts are empty and have one token, the end. A null doc_id counts as training. Repeated rows are counted and
 scored one by one. A very long text is held whole by the task that scores it.
@@ -36,8 +36,11 @@ from .ngram_join import LOWERED, SPACE
 from .slabs import Rolling, Slab, by_bucket, each_slab, pack, slab_table, unpack, with_replies
 
 SHORT, RARE, EMBED, HIDDEN = 1023, 64, 24, 32
-SHARE, ROUNDS, LANES, STEPS = 24, 3, 128, 24
+ROUNDS, LANES, STEPS = 3, 256, 24
+#: Learning rates of the first rounds; later ones take the last.
 RATES = (0.02, 0.01, 0.005)
+#: Tokens whose softmax is taken at once, so that its cells stay in the processor's cache, and lanes of scoring.
+OUTPUT, SCORED = 4096, 384
 #: Pieces that weights are sent in, and partitions whose sums are added first.
 PARTS, TREE = 16, 64
 #: The end's key; words are hashed.
@@ -119,8 +122,8 @@ def count_tokens(slabs: DataFrame, buckets: int) -> DataFrame:
 
 
 class Model:
-    """Weights in float32. ``keys`` sorted; ids from len(keys) on are those of rare classes. ``tokens`` and ``kinds``:
-    sums of all training tokens by rare class."""
+    """Weights in float32. ``keys`` sorted; ids of words go by class, those from len(keys) on are of rare classes.
+    ``tokens`` and ``kinds``: sums of all training tokens by rare class."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, seed: int = 5):
         order = np.argsort(keys)
@@ -131,30 +134,28 @@ class Model:
         rare = np.maximum(tokens - np.bincount(own, count, RARE), 0)
         self.rest = rare + np.maximum(kinds - np.bincount(own, minlength=RARE), 0) + 1
         by = np.argsort(-count, kind="stable")
-        share = np.cumsum(np.sqrt(count[by])) / max(1e-9, np.sqrt(count).sum())
+        self.number = np.empty(n, np.int64)
+        self.number[by] = np.arange(n)
+        count = count[by]
+        share = np.cumsum(np.sqrt(count)) / max(1e-9, np.sqrt(count).sum())
         many = max(32, int(n**0.5))
-        cls = np.empty(n, np.int64)
-        cls[by] = np.minimum((share * many).astype(np.int64), many - 1)
-        used, cls = np.unique(cls, return_inverse=True)  # a class without words would hold probability
+        used, cls = np.unique(np.minimum((share * many).astype(np.int64), many - 1), return_inverse=True)  # a class without words would hold probability
         self.classes = len(used)
         self.cls = np.concatenate([cls, self.classes + np.arange(RARE)])
-        self.members = [np.flatnonzero(cls == c) for c in range(self.classes)]
-        self.place = np.zeros(n + RARE, np.int64)
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
+        self.edge = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
         self.p = {"emb": f(n + RARE, EMBED), "wx": f(EMBED, 3 * HIDDEN), "wh": f(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
                   "wc": f(HIDDEN, self.classes + RARE), "bc": np.zeros(self.classes + RARE, np.float32), "ww": f(n + RARE, HIDDEN), "bw": np.zeros(n + RARE, np.float32)}
         self.p["bw"][:n] = np.log(count + 1)
-        self.p["bc"][:] = np.log(np.concatenate([[count[m].sum() for m in self.members], rare]) + 1)
+        self.p["bc"][:] = np.log(np.concatenate([np.bincount(cls, count, self.classes), rare]) + 1)
 
     def ids(self, key: np.ndarray) -> np.ndarray:
         rare = len(self.keys) + (key & np.uint64(RARE - 1)).astype(np.int64)
         if not len(self.keys):
             return rare
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, rare)
+        return np.where(self.keys[at] == key, self.number[at], rare)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -167,43 +168,73 @@ class Model:
 
     def step(self, gates_x: np.ndarray, h: np.ndarray) -> tuple:
         gh = h @ self.p["wh"]
-        zr = 1 / (1 + np.exp(-(gates_x[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
+        zr = gates_x[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(gates_x[:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-        return h + z * (c - h), z, r, c, gh[:, 2 * HIDDEN :]
+        c = r * gh[:, 2 * HIDDEN :]
+        c += gates_x[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c, gh[:, 2 * HIDDEN :]
+
+    @staticmethod
+    def softmax(logit: np.ndarray, at: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ln P of the columns ``at``, and all P for ``grad``. Rows whose sum of powers leaves float32 take their greatest off first."""
+        rows = np.arange(len(at))
+        own = logit[rows, at]
+        with np.errstate(over="ignore"):
+            e = np.exp(logit)
+            total = e @ np.ones(logit.shape[1], e.dtype)
+        if not (total.min() > 1e-30 and total.max() < 1e30):
+            most = logit.max(1)
+            own, e = own - most, np.exp(logit - most[:, None])
+            total = e.sum(1)
+        if grad:
+            e /= total[:, None]
+        return own - np.log(total), e
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: bool = False):
         """log P of targets (of rare ones: of their class), and gradients."""
         p = self.p
-        logit = h @ p["wc"] + p["bc"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        prob = e / e.sum(1, keepdims=True)
-        cls = self.cls[target]
-        rows = np.arange(len(h))
-        out = np.log(prob[rows, cls] + 1e-30)
-        if grad:
-            d = prob
-            d[rows, cls] -= 1
-            g = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            dh = d @ p["wc"].T
-        for c in range(self.classes):
-            pick, m = np.flatnonzero(cls == c), self.members[c]
-            if not len(pick) or len(m) < 2:
-                continue
-            hc = h[pick]
-            logit = hc @ p["ww"][m].T + p["bw"][m]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            prob = e / e.sum(1, keepdims=True)
-            at = self.place[target[pick]]
-            out[pick] += np.log(prob[np.arange(len(pick)), at] + 1e-30)
+        order = np.argsort(self.cls[target].astype(np.int16 if self.classes + RARE < 1 << 15 else np.int64), kind="stable")
+        hs, ts = h[order], target[order]
+        cls = self.cls[ts]
+        out = np.empty(len(h), h.dtype)
+        g = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "ww", "bw")} if grad else None
+        dh = np.empty_like(hs) if grad else None
+        for a in range(0, len(hs), OUTPUT):
+            x, c = hs[a : a + OUTPUT], cls[a : a + OUTPUT]
+            logit = x @ p["wc"]
+            logit += p["bc"]
+            out[a : a + OUTPUT], d = self.softmax(logit, c, grad)
             if grad:
-                prob[np.arange(len(pick)), at] -= 1
-                g["ww"][m] += prob.T @ hc
-                g["bw"][m] += prob.sum(0)
-                dh[pick] += prob @ p["ww"][m]
-        return (out, g, dh) if grad else out
+                d[np.arange(len(c)), c] -= 1
+                g["wc"] += x.T @ d
+                g["bc"] += d.sum(0)
+                dh[a : a + OUTPUT] = d @ p["wc"].T
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        for c in range(self.classes):
+            lo, hi = self.edge[c], self.edge[c + 1]
+            for a in range(cuts[c], cuts[c + 1], OUTPUT) if hi > lo + 1 else ():
+                s = np.s_[a : min(a + OUTPUT, cuts[c + 1])]
+                logit = hs[s] @ p["ww"][lo:hi].T
+                logit += p["bw"][lo:hi]
+                at = ts[s] - lo
+                more, d = self.softmax(logit, at, grad)
+                out[s] += more
+                if grad:
+                    d[np.arange(len(at)), at] -= 1
+                    g["ww"][lo:hi] += d.T @ hs[s]
+                    g["bw"][lo:hi] += d.sum(0)
+                    dh[s] += d @ p["ww"][lo:hi]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (out[back], g, dh[back]) if grad else out[back]
 
     def window(self, source: np.ndarray, target: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
         """ln P of the targets (lane, step), the gradients of minus their sum, and the state that is carried on.
@@ -213,29 +244,35 @@ class Model:
         x = self.p["emb"][source]
         gx = x @ self.p["wx"] + self.p["b"]
         for k in range(steps):
-            h = h * ~first[:, k, None]
+            if first[:, k].any():
+                h = h * ~first[:, k, None]
             new, *rest = self.step(gx[:, k], h)
             past.append((h, *rest))
             hs.append(new)
             h = new
         out, g, dh = self.output(np.stack(hs, 1).reshape(-1, HIDDEN), target.ravel(), True)
         dh = dh.reshape(lanes, steps, HIDDEN)
-        g |= {"wh": np.zeros_like(self.p["wh"])}
-        dgx, back = np.zeros_like(gx), np.zeros((lanes, HIDDEN), gx.dtype)
+        dgx, dgh, back, turned = np.empty_like(gx), np.empty_like(gx), np.zeros((lanes, HIDDEN), gx.dtype), self.p["wh"].T.copy()
         for k in reversed(range(steps)):
             h0, z, r, c, ghc = past[k]
             d = dh[:, k] + back
-            dc = d * z * (1 - c * c)
-            dz = d * (c - h0) * z * (1 - z)
-            dr = dc * ghc * r * (1 - r)
-            dgx[:, k] = np.concatenate([dz, dr, dc], 1)
-            dgh = np.concatenate([dz, dr, dc * r], 1)
-            g["wh"] += h0.T @ dgh
-            back = (d * (1 - z) + dgh @ self.p["wh"].T) * ~first[:, k, None]
+            dz = d * z
+            keep = d - dz
+            dc = dz * (1 - c * c)
+            keep_z = (c - h0) * keep
+            keep_z *= z
+            dr = dc * r
+            dgx[:, k, :HIDDEN], dgx[:, k, HIDDEN : 2 * HIDDEN], dgx[:, k, 2 * HIDDEN :] = keep_z, dr * ghc * (1 - r), dc
+            dgh[:, k, : 2 * HIDDEN], dgh[:, k, 2 * HIDDEN :] = dgx[:, k, : 2 * HIDDEN], dr
+            back = dgh[:, k] @ turned
+            back += keep
+            if first[:, k].any():
+                back *= ~first[:, k, None]
+        g["wh"] = np.stack([step[0] for step in past], 1).reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
         flat = dgx.reshape(-1, 3 * HIDDEN)
         g["wx"], g["b"] = x.reshape(-1, EMBED).T @ flat, flat.sum(0)
-        g["emb"] = np.zeros_like(self.p["emb"])
-        np.add.at(g["emb"], source.ravel(), flat @ self.p["wx"].T)
+        cells = (source.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
+        g["emb"] = np.bincount(cells, (flat @ self.p["wx"].T).ravel(), self.p["emb"].size).reshape(-1, EMBED).astype(gx.dtype)
         return out, g, h
 
     def train(self, docs: list[np.ndarray], rate: float, moments: dict) -> int:
@@ -247,8 +284,8 @@ class Model:
         target, first = np.concatenate(docs), np.concatenate([np.arange(len(d)) == 0 for d in docs])
         source = np.where(first, end, np.concatenate([[end], target[:-1]]))
         lanes = min(LANES, max(1, len(target) // STEPS))
-        n = len(target) // lanes
-        cut = lambda x: x[: lanes * n].reshape(lanes, n)
+        seen, n = len(target), -(-len(target) // lanes)
+        cut = lambda x: np.resize(x, (lanes, n))  # noqa: E731  (what the last lane lacks is filled from the first one)
         target, first, source = cut(target), cut(first), cut(source)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, n, STEPS):
@@ -260,14 +297,13 @@ class Model:
                 m += np.float32(0.1) * (x - m)
                 v += np.float32(0.01) * (x * x - v)
                 self.p[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-4))
-        return lanes * n
+        return seen
 
     def score(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """ln P of every token (of rare ones: of their class); ``n``: tokens of each document."""
         end = int(self.ids(np.array([END]))[0])
         base = np.cumsum(n) - n
-        # no more lanes than fill the longest document's length: cells are at most about twice the tokens
-        lanes = int(max(1, min(384, len(n), n.sum() // n.max() + 1)))
+        lanes = max(1, min(SCORED, len(n)))
         load, where, begin = [0] * lanes, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         heap = [(0, k) for k in range(lanes)]
         for d in np.argsort(-n, kind="stable").tolist():
@@ -280,50 +316,51 @@ class Model:
         rank[order] = np.arange(lanes)
         live = np.array(load)[order]
         height = int(live[0])
-        lane = np.repeat(rank[where], n)
-        time = np.repeat(begin - base, n) + np.arange(len(ids))
+        # tokens by time and, within it, by lane: cells are as many as tokens, however long one lane is
+        wide = np.searchsorted(-live, -np.arange(height)).tolist()  # lanes longer than t
+        edge = np.cumsum([0, *wide])
+        place = edge[np.repeat(begin - base, n) + np.arange(len(ids))] + np.repeat(rank[where], n)
         source = np.concatenate([[end], ids[:-1]])
         source[base] = end
-        grid = np.zeros((height, lanes), np.int32)
-        grid[time, lane] = source
-        fresh = np.zeros((height, lanes), bool)
-        fresh[begin, rank[where]] = True
+        fed, aim = np.empty_like(ids), np.empty_like(ids)
+        fed[place], aim[place] = source, ids
+        fresh = np.zeros(height, bool)
+        fresh[begin] = True
+        starts = np.zeros(len(ids), bool)
+        starts[place[base]] = True
         table = self.p["emb"] @ self.p["wx"] + self.p["b"]
         out = np.empty(len(ids), np.float32)
-        at = np.full((height, lanes), -1, np.int32)
-        at[time, lane] = np.arange(len(ids))
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for block in range(0, height, 256):
-            hs, where_ = [], []
-            for t in range(block, min(height, block + 256)):
-                k = int(np.searchsorted(-live, -t))  # lanes longer than t
-                h = h[:k]
-                if fresh[t, :k].any():
-                    h = h * ~fresh[t, :k, None]
-                h = self.step(table[grid[t, :k]], h)[0]
+        edge, fresh, t = edge.tolist(), fresh.tolist(), 0
+        while t < height:
+            first, hs = edge[t], []
+            while t < height and edge[t] - first < 4 * OUTPUT:
+                s = np.s_[edge[t] : edge[t + 1]]
+                h = h[: wide[t]]
+                if fresh[t]:
+                    h = h * ~starts[s, None]
+                h = self.step(table[fed[s]], h)[0]
                 hs.append(h)
-                where_.append(at[t, :k])
-            w = np.concatenate(where_)
-            out[w] = self.output(np.concatenate(hs), ids[w])
-        return out
+                t += 1
+            out[first : edge[t]] = self.output(np.concatenate(hs), aim[first : edge[t]])
+        return out[place]
 
 
-def round_of(slab: Slab, share: int) -> np.ndarray:
-    """The round that each document is trained in: one ``share``-th of the training documents each; -1: in none."""
-    at = np.array([zlib.crc32(f"{i}:lm".encode()) % share for i in slab.ids], np.int64)
-    return np.where(held_out(slab) | (at >= ROUNDS), -1, at)
+def round_of(slab: Slab, rounds: int) -> np.ndarray:
+    """The round that each training document is trained in; -1: held out."""
+    return np.where(held_out(slab), -1, np.array([zlib.crc32(f"{i}:lm".encode()) % rounds for i in slab.ids], np.int64))
 
 
-def averaged(slabs: DataFrame, model: Model, number: int, share: int) -> np.ndarray | None:
+def averaged(slabs: DataFrame, model: Model, number: int, rounds: int) -> np.ndarray | None:
     """The weights after round ``number``, averaged over partitions by the tokens that each trained on."""
     shared = slabs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # by value: a broadcast is pickled by reference
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rolling, seen, moments = pickle.loads(shared.value), Rolling(), 0, {}
         for slab, _ in each_slab(batches):
-            texts = [t for t, r in zip(slab_texts(slab), round_of(slab, share).tolist(), strict=True) if r == number]
+            texts = [t for t, r in zip(slab_texts(slab), round_of(slab, rounds).tolist(), strict=True) if r == number]
             key, n = tokens(texts, rolling)
-            seen += own.train(np.split(own.ids(key), np.cumsum(n)[:-1]) if len(n) else [], RATES[number], moments)
+            seen += own.train(np.split(own.ids(key), np.cumsum(n)[:-1]) if len(n) else [], RATES[min(number, len(RATES) - 1)], moments)
         if seen:
             pieces = [x.astype("<f8").tobytes() for x in np.array_split(own.flat().astype(np.float64) * seen, PARTS)]
             task = TaskContext.get().partitionId()
@@ -343,27 +380,27 @@ def averaged(slabs: DataFrame, model: Model, number: int, share: int) -> np.ndar
     return np.concatenate([np.frombuffer(r["blob"], "<f8") / r["seen"] for r in got]) if got else None
 
 
-def learn(slabs: DataFrame, counts: DataFrame, share: int = SHARE) -> Model:
-    """The vocabulary from ``counts`` and weights trained on ``ROUNDS`` of ``share`` parts of the training documents."""
+def learn(slabs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The vocabulary from ``counts`` and weights trained on all training documents, each in one of ``rounds``."""
     by = {r["kind"]: (r["t"], r["k"]) for r in counts.where("slab is null and key is null").groupBy("kind").agg(F.sum("tokens").alias("t"), F.sum("kinds").alias("k")).collect()}
     sums, kinds = (np.array([int(by.get(k, (0, 0))[j] or 0) for k in range(RARE)], np.int64) for j in (0, 1))
     short = max(SHORT, int(kinds.sum() ** 0.5))
     top = counts.where("key is not null").select("key", "tokens").orderBy(F.col("tokens").desc(), "key").limit(short).collect()
     model = Model(np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64), sums, kinds)
-    for number in range(ROUNDS if len(top) else 0):
-        weights = averaged(slabs, model, number, share)
+    for number in range(rounds if len(top) else 0):
+        weights = averaged(slabs, model, number, rounds)
         if weights is not None:
             model.put(weights)
     return model
 
 
-def score_documents(docs: DataFrame, share: int = SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     docs = docs.select("doc_id", "text")
     own = buckets_for(docs)
     slabs = slab_table(docs)
     counts = count_tokens(slabs, ranges_for(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(learn(slabs, counts, share)))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(learn(slabs, counts, rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, model = Rolling(), pickle.loads(shared.value)

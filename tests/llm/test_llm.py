@@ -291,6 +291,19 @@ def test_gru_scores_in_lanes_and_windows_as_one_by_one():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_gru_trains_on_every_training_document_and_token():
+    slab = gru_lm.Slab(0, [*range(200), None], [0] * 201, b"")
+    rounds = [gru_lm.round_of(slab, k) for k in (gru_lm.ROUNDS, 4)]
+    assert all(((r >= 0) == ~gru_lm.held_out(slab)).all() for r in rounds)
+    assert set(rounds[0]) == {-1, *range(gru_lm.ROUNDS)}
+    model, r = small_model()
+    assert model.train([r.integers(0, 60, 4 * gru_lm.STEPS + 3)], 0.01, {}) == 4 * gru_lm.STEPS + 3
+    before = model.p["ww"].copy()
+    last = int(np.flatnonzero(np.diff(model.edge) > 1)[0])
+    model.train([np.array([*[45] * (4 * gru_lm.STEPS), model.edge[last]])], 0.01, {})  # a token that four lanes leave over
+    assert (model.p["ww"][model.edge[last]] != before[model.edge[last]]).any()
+
+
 def test_chats_round_trip(spark):
     got = registry.QUERIES["op3_chat_format"](spark, SF).collect()
     assert sum(r.recovered for r in got) >= 0.97 * len(got)
