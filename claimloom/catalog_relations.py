@@ -59,11 +59,16 @@ SELECT f.claim_id, ord FROM f JOIN w ON w.claim_id = f.claim_id AND w.n = f.n
 
 
 def distinctive_phrases(spark, sf_dir):
-    """Of neighbouring documents, the word sequences both hold."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.words(F.col("text")).alias("ws"))
-    grams = docs.select("doc_id", *[T.word_ngrams(F.col("ws"), n).alias(f"g{n}") for n in M.PHRASE_WORDS])
-    a, b = grams.alias("a"), grams.select((F.col("doc_id") - 1).alias("doc_id"), *[F.col(f"g{n}").alias(f"h{n}") for n in M.PHRASE_WORDS])
-    got = a.join(b, "doc_id").select("doc_id", M.phrases([F.col(f"g{n}") for n in M.PHRASE_WORDS], [F.col(f"h{n}") for n in M.PHRASE_WORDS]).alias("p"))
+    """Of neighbouring documents, the word sequences both hold. Texts are dealt and sorted as they are, once for each side; sequences are
+    made where the neighbours meet, so they are neither shuffled nor sorted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+    def sequences(side, name):
+        dealt = side.repartition("doc_id").sortWithinPartitions("doc_id").select("doc_id", T.words(F.col("text")).alias("ws"))
+        return dealt.select("doc_id", *[T.word_ngrams(F.col("ws"), n).alias(f"{name}{n}") for n in M.PHRASE_WORDS])
+
+    a, b = sequences(docs, "g"), sequences(docs.select((F.col("doc_id") - 1).alias("doc_id"), "text"), "h")
+    got = a.hint("merge").join(b, "doc_id").select("doc_id", M.phrases([F.col(f"g{n}") for n in M.PHRASE_WORDS], [F.col(f"h{n}") for n in M.PHRASE_WORDS]).alias("p"))
     return got.select("doc_id", F.size("p").cast("long").alias("n_phrases"), F.array_join("p", "|").alias("phrases"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from claimloom import catalog_relations as CR
 from claimloom import catalog_text as CT
 from claimloom.operators import relations as L
 from claimloom.operators import tfidf
@@ -30,3 +31,8 @@ def test_relations_deal_and_sort_items_as_they_are(spark):
 def test_retrieval_of_claims_is_read_again(spark):
     claims, _, top = CT.claim_pairs(spark, SMALL)
     assert claims.storageLevel.useMemory and top.storageLevel.useMemory
+
+
+def test_sequences_of_neighbours_are_made_after_texts_are_dealt(spark):
+    below = [part.split("Scan")[0] for part in plan(CR.distinctive_phrases(spark, SMALL)).split("Exchange")[1:]]
+    assert len(below) == 2 and not any("split(" in x for x in below)
