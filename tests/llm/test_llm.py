@@ -304,6 +304,15 @@ def test_gru_trains_on_every_training_document_and_token():
     assert (model.p["ww"][model.edge[last]] != before[model.edge[last]]).any()
 
 
+def test_bins_are_ranked_over_written_rows(spark, monkeypatch):
+    seen, real = [], secrets.random_bins
+    monkeypatch.setattr(secrets, "random_bins", lambda found, null, fdr: seen.append(null) or real(found, null, fdr))
+    docs = spark.createDataFrame([(1, "a word Zk3vB8qLmT5xYw2RnP7cHd9J and more")], "doc_id long, text string")
+    secrets.scan(docs)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()  # with the tests of randomness in it a driver of 750 MB ran out of memory
+    assert len(plan.splitlines()) == 1 and plan.startswith("Relation")
+
+
 def test_chats_round_trip(spark):
     got = registry.QUERIES["op3_chat_format"](spark, SF).collect()
     assert sum(r.recovered for r in got) >= 0.97 * len(got)
