@@ -36,3 +36,8 @@ def test_retrieval_of_claims_is_read_again(spark):
 def test_sequences_of_neighbours_are_made_after_texts_are_dealt(spark):
     below = [part.split("Scan")[0] for part in plan(CR.distinctive_phrases(spark, SMALL)).split("Exchange")[1:]]
     assert len(below) == 2 and not any("split(" in x for x in below)
+
+
+def test_pages_are_not_gathered_into_arrow_batches(spark):
+    lines = plan(CR.page_articles(spark, SMALL))
+    assert "BatchEvalPython" in lines and "ArrowEvalPython" not in lines
