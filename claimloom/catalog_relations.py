@@ -21,8 +21,14 @@ FROM (SELECT doc_id, coalesce(source, '') AS src, CASE doc_id % 6 WHEN 1 THEN co
 """
 
 
+#: What ``ITEMS`` takes of a document and of the one before it: of each text one of the two, so that the join deals it once.
+OWN = "(SELECT doc_id, source, CASE WHEN doc_id % 6 = 1 THEN NULL ELSE text END AS text FROM documents)"
+PRIOR = "(SELECT doc_id, source, CASE WHEN doc_id >= 0 AND doc_id % 6 = 0 THEN text END AS text FROM documents)"
+
+
 def items(spark, sf_dir):
-    return spark.sql(ITEMS.replace("documents AS", f"parquet.`{sf_dir}/documents.parquet` AS"))
+    taken = ITEMS.replace("documents AS d", f"{OWN} AS d").replace("documents AS p", f"{PRIOR} AS p")
+    return spark.sql(taken.replace("FROM documents)", f"FROM parquet.`{sf_dir}/documents.parquet`)"))
 
 
 def source_relations(spark, sf_dir):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from claimloom import catalog_relations as CR
 from claimloom import catalog_text as CT
+from claimloom.llm.common import settings
 from claimloom.operators import relations as L
 from claimloom.operators import tfidf
 
@@ -41,3 +42,11 @@ def test_sequences_of_neighbours_are_made_after_texts_are_dealt(spark):
 def test_pages_are_not_gathered_into_arrow_batches(spark):
     lines = plan(CR.page_articles(spark, SMALL))
     assert "BatchEvalPython" in lines and "ArrowEvalPython" not in lines
+
+
+def test_join_of_a_document_with_the_one_before_deals_each_text_once(spark):
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        dealt = plan(CR.items(spark, SMALL)).split("Exchange")[1:]
+    assert len(dealt) == 2 and all("CASE WHEN" in part for part in dealt)
+    whole = spark.sql(CR.ITEMS.replace("documents AS", f"parquet.`{SMALL}/documents.parquet` AS"))
+    assert CR.items(spark, SMALL).exceptAll(whole).isEmpty() and whole.exceptAll(CR.items(spark, SMALL)).isEmpty()
