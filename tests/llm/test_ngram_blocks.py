@@ -1,8 +1,10 @@
 """Candidates of the n-gram join: told apart without texts, in blocks of any size, by tables that workers share."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from claimloom.llm import ngram_join as N
 
@@ -53,3 +55,17 @@ def test_texts_that_share_rare_words_alone_are_not_dealt(spark, monkeypatch):
 
 def test_blocks_share_tables():
     assert N.tables() is N.tables()
+
+
+def test_counts_hold_one_table_and_send_parts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))) for _ in range(700)] + [None, "x"]
+    value = N.shingle_sets([(t or "").encode() for t in texts], 5, N.Rolling())[0]
+    want = np.bincount((value >> np.uint64(64 - N.SKETCH_BITS)).astype(np.int64), minlength=1 << N.SKETCH_BITS)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert (N.shingle_counts(docs, 5) == want).all()
+    tracemalloc.start()
+    sent = [b.nbytes for b in N.counted(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in enumerate(texts)], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))]), 5)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sent) == N.COUNT_PARTS and max(sent) < 1 << 20 and most < 40 << 20
