@@ -27,17 +27,29 @@ def specific(word: Column) -> Column:
 
 
 def expansions(senses: DataFrame, parents: DataFrame) -> DataFrame:
-    """(lemma, kind, other): kind is synonym (of a lemma itself too), hypernym, or above, for specific hypernyms of up to two steps."""
+    """(lemma, kind, synset), from which relations of words are joined when asked: name for the synsets that a lemma is a name of, sense for
+    those of its expanded senses, hypernym for their parents, and above for what the specific names of these lead to in turn.
+
+    It grows with the lexicon: pairs of words that a synset relates, as many as the square of its names, are never made."""
     clean = F.lower(F.trim(F.regexp_replace("lemma", "_", " ")))
     names = senses.withColumn("lemma", clean).where((F.length("lemma") > 2) | F.contains("lemma", F.lit(" ")))
-    top = names.withColumn("_n", F.row_number().over(Window.partitionBy("lemma").orderBy("rank", "synset"))).where(F.col("_n") <= SENSES).select("lemma", "synset")
-    of = names.select("synset", F.col("lemma").alias("other"))
-    synonym = top.join(of, "synset").select("lemma", "other").unionByName(top.select("lemma", F.col("lemma").alias("other"))).distinct()
-    hypernym = top.join(parents, "synset").select("lemma", F.col("parent").alias("synset")).join(of, "synset").select("lemma", "other").distinct()
-    one = hypernym.where(specific(F.col("other")))
-    two = one.select("lemma", F.col("other").alias("via")).join(one.select(F.col("lemma").alias("via"), "other"), "via").select("lemma", "other")
-    kind = lambda df, k: df.select("lemma", F.lit(k).alias("kind"), "other")
-    return kind(synonym, "synonym").unionByName(kind(hypernym, "hypernym")).unionByName(kind(one.unionByName(two).distinct(), "above"))
+    top = names.withColumn("_n", F.row_number().over(Window.partitionBy("lemma").orderBy("rank", "synset"))).where(F.col("_n") <= SENSES).select("lemma", "synset").distinct()
+    names = names.select("lemma", "synset").distinct()
+    hypernym = top.join(parents, "synset").select("lemma", F.col("parent").alias("synset")).distinct()
+    on = names.where(specific(F.col("lemma"))).withColumnRenamed("synset", "via").join(hypernym, "lemma").select("via", "synset").distinct()
+    above = hypernym.withColumnRenamed("synset", "via").join(on, "via").select("lemma", "synset").distinct()
+    kind = lambda df, k: df.select("lemma", F.lit(k).alias("kind"), "synset")
+    return kind(names, "name").unionByName(kind(top, "sense")).unionByName(kind(hypernym, "hypernym")).unionByName(kind(above, "above"))
+
+
+def of_kind(expanded: DataFrame, lemma: str, synset: str, *kinds: str) -> DataFrame:
+    return expanded.where(F.col("kind").isin(*kinds)).select(F.col("lemma").alias(lemma), F.col("synset").alias(synset)).distinct()
+
+
+def synonymous(pairs: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of which b is a name of one of a's senses, or a itself with a sense."""
+    named = pairs.join(of_kind(expanded, "a", "synset", "sense"), "a").join(of_kind(expanded, "b", "synset", "name"), ["b", "synset"]).select("a", "b")
+    return named.unionByName(pairs.where("a = b").select("a", "b").join(of_kind(expanded, "a", "synset", "sense"), "a", "left_semi")).distinct()
 
 
 def related(pairs: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -45,12 +57,16 @@ def related(pairs: DataFrame, expanded: DataFrame) -> DataFrame:
     way, a shared specific hypernym, or one of up to two steps either way."""
     given = pairs.select("a", "b").distinct()
     open_ = given.where((F.col("a") != F.col("b")) & ~F.col("a").isin(GENERIC) & ~F.col("b").isin(GENERIC))
-    led = expanded.select(F.col("lemma").alias("a"), F.col("other").alias("b")).distinct()
-    back = led.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    steps = open_.join(led.unionByName(back).distinct(), ["a", "b"], "left_semi")
-    up = expanded.where((F.col("kind") == "hypernym") & specific(F.col("other")))
-    side = lambda s: up.select(F.col("lemma").alias(s), F.col("other").alias("via"))
-    shared = open_.join(side("a"), "a").join(side("b"), ["b", "via"]).select("a", "b")
+    both = open_.select("a", "b", F.col("a").alias("lemma"), F.col("b").alias("other")).unionByName(open_.select("a", "b", F.col("b").alias("lemma"), F.col("a").alias("other")))
+    up = both.join(expanded.where("kind != 'name'"), "lemma").where((F.col("kind") != "above") | specific(F.col("other")))
+    steps = up.join(of_kind(expanded, "other", "synset", "name"), ["other", "synset"], "left_semi").select("a", "b")
+    # hypernyms are shared where a specific name is one of both synsets
+    side = lambda s: of_kind(expanded, s, f"of_{s}", "hypernym")
+    parents = open_.join(side("a"), "a").join(side("b"), "b")
+    name = lambda s: of_kind(expanded.where(specific(F.col("lemma"))), "via", f"of_{s}", "name")
+    asked = parents.select("of_a", "of_b").distinct()
+    common = asked.join(name("a"), "of_a").join(name("b"), ["of_b", "via"]).select("of_a", "of_b").distinct()
+    shared = parents.join(common, ["of_a", "of_b"], "left_semi").select("a", "b")
     return given.where("a = b").unionByName(steps).unionByName(shared).distinct()
 
 
@@ -58,9 +74,11 @@ def family_words(reference: DataFrame, expanded: DataFrame) -> DataFrame:
     """(word): lemmas of the lexicon that belong to the families of ``reference`` (word): themselves or by their synonyms or specific
     hypernyms of up to two steps a reference word or one of its synonyms. The reference isn't led upwards itself."""
     given = reference.select(F.lower("word").alias("lemma")).distinct()
-    surface = expanded.where(F.col("kind") == "synonym").join(given, "lemma", "left_semi").select(F.col("other").alias("word")).unionByName(given.select(F.col("lemma").alias("word"))).distinct()
-    led = expanded.where(specific(F.col("other"))).select(F.col("lemma").alias("own"), F.col("other").alias("word"))
-    return led.join(surface, "word", "left_semi").select(F.col("own").alias("word")).unionByName(surface.where(specific(F.col("word")))).distinct()
+    senses = of_kind(expanded, "lemma", "synset", "sense").join(given, "lemma", "left_semi").select("synset").distinct()
+    named = of_kind(expanded, "word", "synset", "name")
+    surface = named.join(senses, "synset", "left_semi").select("word").unionByName(given.select(F.col("lemma").alias("word"))).distinct().where(specific(F.col("word")))
+    reached = named.join(surface, "word", "left_semi").select("synset").distinct()
+    return of_kind(expanded, "word", "synset", "sense", "hypernym", "above").join(reached, "synset", "left_semi").select("word").unionByName(surface).distinct()
 
 
 def words_of(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -82,13 +100,16 @@ def action_matches(asked: DataFrame, expanded: DataFrame, key: list[str]) -> Dat
     rows = asked.select(*key, F.lower("action").alias("action"), F.coalesce(low, F.lit(" ")).alias("line"))
     within = lambda phrase: F.contains("line", F.concat(F.lit(" "), phrase, F.lit(" ")))
     verbatim = rows.where(within(F.col("action"))).select(*key, F.lit(1).alias("tier"))
-    verbs = expanded.select("lemma").distinct().withColumnRenamed("lemma", "word")
+    verbs = of_kind(expanded, "word", "synset", "sense").select("word").distinct()
     spoken = words_of(asked, key).join(beside(verbs), "word").join(asked.select(*key, F.lower("action").alias("action")), key)
-    synonyms = expanded.where(F.col("kind") == "synonym").select(F.col("lemma").alias("action"), F.col("other").alias("word"))
-    by_synonym = spoken.join(synonyms, ["action", "word"], "left_semi").select(*key, F.lit(2).alias("tier"))
-    near = related(spoken.select(F.col("action").alias("a"), F.col("word").alias("b")), expanded).select(F.col("a").alias("action"), F.col("b").alias("word"))
+    said = spoken.select(F.col("action").alias("a"), F.col("word").alias("b")).distinct()
+    by_synonym = spoken.join(synonymous(said, expanded).toDF("action", "word"), ["action", "word"], "left_semi").select(*key, F.lit(2).alias("tier"))
+    near = related(said, expanded).select(F.col("a").alias("action"), F.col("b").alias("word"))
     by_relation = spoken.where(~F.col("action").isin(GENERIC)).join(near, ["action", "word"], "left_semi").select(*key, F.lit(3).alias("tier"))
-    by_phrase = rows.join(synonyms.where(F.contains("word", F.lit(" "))), "action").where(within(F.col("word"))).select(*key, F.lit(4).alias("tier"))
+    phrases = of_kind(expanded.where(F.contains("lemma", F.lit(" "))), "word", "synset", "name")
+    phrases = of_kind(expanded, "action", "synset", "sense").join(phrases, "synset").select("action", "word").unionByName(
+        of_kind(expanded, "action", "synset", "sense").where(F.contains("action", F.lit(" "))).select("action", F.col("action").alias("word"))).distinct()
+    by_phrase = rows.join(phrases, "action").where(within(F.col("word"))).select(*key, F.lit(4).alias("tier"))
     best = verbatim.unionByName(by_synonym).unionByName(by_relation).unionByName(by_phrase).groupBy(*key).agg(F.min("tier").alias("tier"))
     name = F.element_at(F.array(*[F.lit(t) for t in ("verbatim", "synonym", "related", "phrase")]), F.col("tier"))
     return rows.select(*key).join(best.withColumn("tier", name), key, "left")

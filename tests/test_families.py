@@ -1,6 +1,7 @@
 """Families of verbs over a small lexicon, against sets."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.operators import families as W
 
@@ -65,3 +66,10 @@ def test_actions(spark, expanded):
     rows = [(1, "surge", "Prices surge"), (2, "surge", "Prices soar, then fall"), (3, "surge", "Prices climb"), (4, "rise", "They go up"), (5, "walk", "They run"), (6, "run", "They walk"), (7, "plummet", "It may fall"), (8, "fall", None), (9, "unknown", "unknown")]
     got = {r.k: r.tier for r in W.action_matches(spark.createDataFrame(rows, "k int, action string, text string"), expanded, ["k"]).collect()}
     assert got == {1: "verbatim", 2: "synonym", 3: "related", 4: "phrase", 5: "synonym", 6: "synonym", 7: "related", 8: None, 9: "verbatim"}
+
+
+def test_lexicon_makes_no_pairs_of_names(spark):
+    senses = spark.range(2000).selectExpr("concat('word', id) AS lemma", "if(id % 2 = 0, 's', 't') AS synset", "0 AS rank")
+    made = W.expansions(senses, spark.createDataFrame([("s", "t")], "synset string, parent string")).cache()
+    assert made.count() <= 4 * 2000
+    assert {r[0] for r in W.related(spark.createDataFrame([("word1", "word4"), ("word4", "word6"), ("word4", "none")], "a string, b string"), made).select(F.concat("a", "b")).collect()} == {"word1word4", "word4word6"}
