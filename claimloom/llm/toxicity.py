@@ -189,19 +189,20 @@ def score(docs: DataFrame, model: dict, cut: float = 0.3, name: str = "toxicity"
     columns = docs.columns
     while name in columns:
         name += "_"
-    given = docs.select("*", F.col("text").cast("string").alias(f"{name}_text"))
+    plain = dict(docs.dtypes).get("text") == "string"  # then whole texts don't go to workers twice
+    given, at = (docs, columns.index("text")) if plain else (docs.select("*", F.col("text").cast("string").alias(f"{name}_text")), len(columns))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = machine(model["terms"], model["exceptions"])
         a, b, c = model["curve"]
         for batch in batches:
-            got = [evidence(t.as_py(), found) for t in batch.column(len(columns))]
+            got = [evidence(t.as_py(), found) for t in batch.column(at)]
             p = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * any_ + c * dense)))) for any_, dense, _, _ in got]
             out = pa.StructArray.from_arrays(
                 [pa.array(p, pa.float64()), pa.array([int(x >= cut) for x in p], pa.int32()), pa.array([g[2] for g in got], pa.int64()),
                  pa.array([[{"start": s, "end": e} for s, e in g[3]] for g in got], span)], ["score", "predicted", "n_words", "spans"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], out], names=[*columns, name])
 
     made = T.StructType().add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("n_words", T.LongType()).add(
         "spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))

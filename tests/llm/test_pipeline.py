@@ -117,3 +117,10 @@ def test_pipeline_equals_brute_force(spark):
         for d in left.values():
             if d[2] == s:
                 assert int(rate) <= copies[d[0]] <= int(rate) + 1
+
+
+def test_toxicity_sends_texts_once(spark):
+    docs = spark.createDataFrame([(1, "a plain text"), (2, None)], "doc_id long, text string")
+    made = toxicity.score(docs, {"terms": {" bad ": 2.0}, "exceptions": [], "curve": [-3.0, 1.0, 1.0]})
+    assert "toxicity_text" not in made._jdf.queryExecution().toString() and made.columns == ["doc_id", "text", "toxicity"]
+    assert sorted((r.doc_id, r.text, r.toxicity.predicted) for r in made.collect()) == [(1, "a plain text", 0), (2, None, 0)]
