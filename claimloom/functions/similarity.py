@@ -7,6 +7,7 @@ one text costs a few operations on as many bits as the other text has characters
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,25 @@ SEQUENCE_CHARS = 500
 TITLE_SHARES = (0.60, 0.40)
 CONTENT_SHARES = (0.45, 0.35, 0.20)
 PHRASE_WORDS, MOST_PHRASES = (6, 5), 5
+#: Characters up to which bits are set one by one.
+SHORT = 1000
+
+
+def positions(a: str) -> dict[str, int]:
+    """Of each character the places it has, as bits."""
+    where: dict[str, int] = {}
+    if len(a) <= SHORT:
+        for k, c in enumerate(a):
+            where[c] = where.get(c, 0) | 1 << k
+        return where
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for i, j in zip(starts, [*starts[1:], len(a)], strict=True):
+        bits = np.zeros(len(a), np.uint8)
+        bits[order[i:j]] = 1
+        where[chr(codes[order[i]])] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return where
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -41,6 +61,34 @@ def ratio(a: str | None, b: str | None) -> float:
     return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
+def ratios(texts: list[str], wanted: np.ndarray) -> np.ndarray:
+    """``ratio`` of each two texts that are ``wanted``, 0 elsewhere. Of each text all longer ones it meets are one row of bits, with one that
+    stays clear between them, so that its characters are gone through once, not once a pair."""
+    out, order = np.zeros((len(texts), len(texts))), sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    places: dict[int, dict[str, int]] = {}
+    for k, j in enumerate(order):
+        others = [i for i in order[:k] if wanted[i, j] or wanted[j, i]]
+        if not others or not texts[j]:
+            continue
+        where, full, starts, at = dict.fromkeys(texts[j], 0), 0, [], 0
+        for i in others:
+            if i not in places:
+                places[i] = positions(texts[i])
+            for c in where:
+                where[c] |= places[i].get(c, 0) << at
+            full |= (1 << len(texts[i])) - 1 << at
+            starts.append(at)
+            at += len(texts[i]) + 1
+        row = full
+        for c in texts[j]:
+            hit = row & where[c]
+            row = ((row + hit) | (row - hit)) & full
+        for i, start in zip(others, starts, strict=True):
+            common = len(texts[i]) - (row >> start & (1 << len(texts[i])) - 1).bit_count()
+            out[i, j] = out[j, i] = 2 * common / (len(texts[i]) + len(texts[j]))
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def sequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
